@@ -168,8 +168,8 @@ CTES: dict[str, str] = {
     "chat_found": f"""
         select id, {strip("ltrim(" + strip("m[1]") + ", '<s>')")} as question,
                {strip("rtrim(" + strip("m[2]") + ", '</s>')")} as answer
-        from (select id, regexp_extract(text, '(?s)\\[INST\\](.*?)\\[/INST\\](.*)', ['x', 'y']) as g,
-                     [g.x, g.y] as m, text from chat_text)
+        from (select id, text, [regexp_extract(text, '(?s)\\[INST\\](.*?)\\[/INST\\](.*)', 1),
+                                regexp_extract(text, '(?s)\\[INST\\](.*?)\\[/INST\\](.*)', 2)] as m from chat_text)
         where regexp_matches(text, '(?s)\\[INST\\](.*?)\\[/INST\\](.*)')""",
     "chat_pairs": "select * from chat_found where question <> '' and length(answer) >= 20",
     "cleaned": f"""
@@ -345,7 +345,7 @@ def _guards() -> dict[str, str]:
         "wordsets": f"""
             select *, {keyset.format(x="reference")} as rw, {keyset.format(x="coalesce(answer, '')")} as aw
             from clean_answers""",
-        "overlaps": """
+        "overlapped": """
             select *, case when len(rw) > 0 then len(list_intersect(rw, aw)) / len(rw) end as overlap from wordsets""",
         "evaled": f"""
             select *, case when clean in {listed(v.EVAL_NON_ANSWERS)} then 'non_answer'
@@ -353,7 +353,7 @@ def _guards() -> dict[str, str]:
                            when contains(clean, ref) then 'match'
                            when {words} < 3 then 'too_short'
                            when overlap >= 0.55 then 'overlap' else 'model' end as route
-            from overlaps""",
+            from overlapped""",
     }
 
 
@@ -416,7 +416,7 @@ def _profile(name: str) -> str:
 
 
 def _numeric_score() -> str:
-    small = r"list_filter(regexp_extract_all(reply, '\b(\d+)\b', 1), lambda x: length(ltrim(x, '0')) <= 2 and ('0' || ltrim(x, '0'))::int <= 10)"
+    small = r"list_filter(regexp_extract_all(reply, '\b(\d+)\b', 1), lambda x: coalesce(try_cast(x as decimal(38,0)), 99) <= 10)"
     clamp = lambda x: f"case when length(ltrim({x}, '0')) > 9 then 10 else least(('0' || ltrim({x}, '0'))::bigint, 10) end"
     return (
         f"case when labelled <> '' then {clamp('labelled')} "
@@ -559,13 +559,13 @@ def all_oracles() -> dict[str, str]:
     q["guard_live"] = sql(
         f"""select id, route, case when route <> 'model' then 0 end as score, {_LIVE_FEEDBACK} as feedback from live""",
         "pairs", "answers", **live)
-    evaled = {k: guards[k] for k in ("clean_answers", "wordsets", "overlaps", "evaled")}
+    evaled = {k: guards[k] for k in ("clean_answers", "wordsets", "overlapped", "evaled")}
     q["guard_eval"] = sql(
         """select id, route, case route when 'match' then 10 when 'overlap' then 9 when 'model' then null else 0 end as score
            from evaled""", "pairs", "answers", **evaled)
     q["keyword_overlap"] = sql(
-        "select id, round(overlap, 6) as overlap, coalesce(overlap >= 0.55, false) as hit from overlaps",
-        "pairs", "answers", **{k: guards[k] for k in ("clean_answers", "wordsets", "overlaps")})
+        "select id, round(overlap, 6) as overlap, coalesce(overlap >= 0.55, false) as hit from overlapped",
+        "pairs", "answers", **{k: guards[k] for k in ("clean_answers", "wordsets", "overlapped")})
     slots = dict(question="Question", reference="Reference_Answer", answer="coalesce(Domain, '')")
     q["render_prompt"] = sql(
         f"select ID as id, md5({template(v.LIVE_PROMPT, **slots)}) as live, md5({template(v.EVAL_PROMPT, **slots)}) as eval from bank",

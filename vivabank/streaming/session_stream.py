@@ -20,6 +20,7 @@ TURN_SCHEMA = (
     "session bigint, seq bigint, pos int, level string, q_num int, score int, total bigint, possible bigint, "
     "medium_score int, next_level string, next_q_num int, done boolean, reason string"
 )
+_Turn = Row(*[field.split()[0] for field in TURN_SCHEMA.split(", ")])
 _LIMITS = [PHASE_LIMITS[x] for x in LEVELS]
 _MOST = sum(_LIMITS)
 _PASS = round(PASS_THRESHOLD * _LIMITS[1] * MAX_MARKS)
@@ -63,7 +64,7 @@ class SessionProcessor(StatefulProcessor):
 
     @staticmethod
     def _refused(session, row) -> Row:
-        return Row(session, row.seq, None, None, None, row.score, None, None, None, None, None, None, "session complete")
+        return _Turn(session, row.seq, None, None, None, row.score, None, None, None, None, None, None, "session complete")
 
     @staticmethod
     def _skip_empty(state: list, limits: list[int]) -> None:
@@ -82,7 +83,7 @@ class SessionProcessor(StatefulProcessor):
         state[4] += 1
         medium = state[2] if level == _MEDIUM else None
         self._skip_empty(state, limits)
-        return Row(
+        return _Turn(
             session, row.seq, state[4], LEVELS[level], q_num, row.score, state[3], state[4] * MAX_MARKS,
             medium, LEVELS[state[0]], None if state[5] else state[1] + 1, state[5], None,
         )
