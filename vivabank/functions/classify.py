@@ -12,9 +12,15 @@ from .text import strip
 
 
 def keyword_hits(lowered: Column, words: Sequence[str]) -> Column:
-    """How many of ``words`` occur in the text as substrings (presence only)."""
-    listed = F.array(*[F.lit(w) for w in words])
-    return F.size(F.filter(listed, lambda w: F.contains(lowered, w)))
+    """How many of ``words`` occur in the text as substrings (presence only).
+
+    A plain sum stays in generated code; a lambda over the word list takes three
+    times as long.
+    """
+    hits = F.lit(0)
+    for word in words:
+        hits += F.contains(lowered, F.lit(word)).cast("int")
+    return hits
 
 
 def infer_domain(

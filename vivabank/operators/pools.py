@@ -33,6 +33,8 @@ from .positions import with_position
 SMALL_POOL = 32
 # Draws per wanted question in a larger pool.
 DRAWS = 4
+# Draws for a single next question.
+NEXT_DRAWS = 16
 # Puts whole-pool clocks behind the draws.
 AFTER_DRAWS = 1_000_000.0
 _HASH_RANGE = 2.0**60
@@ -73,8 +75,11 @@ def build_pools(bank: DataFrame) -> Pools:
     ranked = durable(
         with_position(named, ["core_id", "id"], ["domain", "level"], out="rank"), "pool-rows"
     )
-    cores = ranked.groupBy("domain", "level", "core_id").agg(
-        F.min("rank").alias("first_rank"), F.count(F.lit(1)).alias("weight")
+    cores = durable(
+        ranked.groupBy("domain", "level", "core_id").agg(
+            F.min("rank").alias("first_rank"), F.count(F.lit(1)).alias("weight")
+        ),
+        "pool-cores",
     )
     sizes = cores.groupBy("domain", "level").agg(
         F.sum("weight").alias("n_rows"), F.count(F.lit(1)).alias("n_cores")
@@ -102,6 +107,17 @@ def _copy_rank(seed: int) -> Column:
     return F.col("first_rank") + pick % F.col("weight")
 
 
+def _by_session(requests: DataFrame) -> DataFrame:
+    """Spread the short request rows by session before they grow to candidates.
+
+    With a bank small enough to be broadcast, the candidates of a session are then
+    already together and are not shuffled again. The number of partitions is
+    given, or the few bytes would be put into one task.
+    """
+    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return requests.repartition(n, "session")
+
+
 _CANDIDATE = ["session", "domain", "level", "ord", "core_id", "rank"]
 
 
@@ -122,9 +138,11 @@ def _drawn(requests: DataFrame, rows: DataFrame, seed: int) -> DataFrame:
     ).select(
         "session", "domain", "level",
         F.col("attempt").cast("double").alias("ord"),
-        (
+        # Never null; said so, Spark does not test it first and hash twice.
+        F.coalesce(
             _hash60(F.lit(seed), F.lit("row"), F.col("session"), F.col("level"), F.col("attempt"))
-            % F.col("n_rows")
+            % F.col("n_rows"),
+            F.lit(0),
         ).alias("rank"),
     )
     return attempts.join(rows.drop("id"), ["domain", "level", "rank"]).select(_CANDIDATE)
@@ -153,7 +171,8 @@ def draw_next(sessions: DataFrame, asked: DataFrame, bank: DataFrame, seed: int
     A session whose pool is exhausted is missing from the result (session, id).
     """
     pools = build_pools(bank)
-    requests = sessions.select("session", "domain", F.lower("level").alias("level"), F.lit(10 * DRAWS).alias("draws"))
+    requests = sessions.select("session", "domain", F.lower("level").alias("level"), F.lit(NEXT_DRAWS).alias("draws"))
+    requests = _by_session(requests)
     # The asked question by name, whatever its level.
     seen = durable(
         asked.join(pools.rows.select("id", "core_id"), "id").select("session", "core_id").distinct(), "asked"
@@ -236,7 +255,8 @@ def question_plan(
             ]
         )
     )
-    requests = sessions.select("session", "domain", per_level.alias("r")).select("session", "domain", "r.*")
+    requests = _by_session(sessions.select("session", "domain")).select("session", "domain", per_level.alias("r"))
+    requests = requests.select("session", "domain", "r.*")
     folded = durable(_fold_picks(_candidates(requests, pools, seed), limits), "plan")
 
     # A large pool always holds enough unseen questions, so a short count there means

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import fixed_values as v
 from ..functions.text import BLANKS
-from ..operators.pools import AFTER_DRAWS, DRAWS, SMALL_POOL
+from ..operators.pools import AFTER_DRAWS, DRAWS, NEXT_DRAWS, SMALL_POOL
 from .bindings import DOMAINS, PRIORITY_LEVELS, REQUESTS, SYLLABLES
 
 _BLANK_SQL = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -544,7 +544,7 @@ def all_oracles() -> dict[str, str]:
               qualify place = 1) t
            join poolrows r on r.domain = t.domain and r.level = t.level and r.rank = t.rank""",
         *_POOLS, "sessions", "asked",
-        wanted=f"select session, domain, level, {10 * DRAWS} as draws from sessions",
+        wanted=f"select session, domain, level, {NEXT_DRAWS} as draws from sessions",
         tried=CTES["tried"],
         seen="select distinct session, core_id from asked join poolrows using (id)")
     q["question_plan"] = sql("select session, level, q_num, id from plan", *_POOLS, "sessions", **plan("sessions"))
