@@ -1,10 +1,16 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+_HERE = Path(__file__).resolve().parent
+sys.path.insert(0, str(_HERE.parent))
+# Python workers import the package and the models of the tests.
+os.environ["PYTHONPATH"] = os.pathsep.join(
+    [str(_HERE.parent), str(_HERE), *filter(None, [os.environ.get("PYTHONPATH")])]
+)
 
 
 @pytest.fixture(scope="session")

@@ -69,6 +69,25 @@ def _with_limits(first: DataFrame, limits: DataFrame | None, on_empty_easy: str)
     return first.join(capped, "session")
 
 
+def _level_and_place(df: DataFrame) -> DataFrame:
+    """Add level and q_num of the answer at ``pos``."""
+    easy, med, _ = _phases()
+    level = (
+        F.when(F.col("pos") <= easy, F.lit("Easy"))
+        .when(F.col("pos") <= easy + med, F.lit("Medium"))
+        .otherwise(F.lit("Hard"))
+    )
+    before = F.when(F.col("level") == "Easy", F.lit(0)).when(F.col("level") == "Medium", easy).otherwise(easy + med)
+    return df.withColumn("level", level).withColumn("q_num", (F.col("pos") - before).cast("int"))
+
+
+def place_answers(first: DataFrame, limits: DataFrame | None = None, on_empty_easy: str = "reject") -> DataFrame:
+    """Level and q_num of answers not scored yet, as far as the phases go."""
+    easy, med, hard = _phases()
+    placed = _with_limits(first, limits, on_empty_easy).where(F.col("pos") <= easy + med + hard)
+    return _level_and_place(placed).drop("_e", "_m", "_h", "pos")
+
+
 def used_answers(first: DataFrame, limits: DataFrame | None = None, on_empty_easy: str = "reject") -> DataFrame:
     """Answers that count, with level, q_num and the state of the Medium gate.
 
@@ -86,19 +105,7 @@ def used_answers(first: DataFrame, limits: DataFrame | None = None, on_empty_eas
     passed = (F.col("_n") >= easy + med) & (F.col("_medium_sum") >= _MEDIUM_PASS)
     gated = gated.withColumn("_passed", passed)
     last = F.when(F.col("_passed"), easy + med + hard).otherwise(easy + med)
-    level = (
-        F.when(F.col("pos") <= easy, F.lit("Easy"))
-        .when(F.col("pos") <= easy + med, F.lit("Medium"))
-        .otherwise(F.lit("Hard"))
-    )
-    before = F.when(F.col("level") == "Easy", F.lit(0)).when(F.col("level") == "Medium", easy).otherwise(
-        easy + med
-    )
-    return (
-        gated.where(F.col("pos") <= last)
-        .withColumn("level", level)
-        .withColumn("q_num", (F.col("pos") - before).cast("int"))
-    )
+    return _level_and_place(gated.where(F.col("pos") <= last))
 
 
 def session_turns(used: DataFrame, extra: Sequence[str] = ()) -> DataFrame:

@@ -123,6 +123,17 @@ def events_to_log(events: DataFrame) -> DataFrame:
     )
 
 
+def spoken(spark: SparkSession, sf: str) -> DataFrame:
+    """Answer log with whole sentences, not scored yet: session, seq, answer."""
+    sentence = F.concat(F.lit("I would "), F.col("event_type"), F.lit(" it with "), F.col("props"))
+    answers = log(spark, sf).drop("score", "ts").withColumnRenamed("answer", "word")
+    texts = table(spark, sf, "events").select(F.col("event_id").alias("seq"), sentence.alias("sentence"))
+    return answers.join(texts, "seq").select(
+        "session", "seq",
+        F.when(F.col("word").isin("  ", "error"), F.col("word")).otherwise(F.col("sentence")).alias("answer"),
+    )
+
+
 def limits(spark: SparkSession, sf: str) -> DataFrame:
     """Questions per phase that every customer's session can get."""
     return table(spark, sf, "customer").select(

@@ -604,6 +604,28 @@ def all_oracles() -> dict[str, str]:
                          (pos = e + m + h and passed) or (pos = e + m and not passed) as done,
                          case when pos = e + m and passed then 'Hard' when pos = e then 'Medium' else level end as next_level
                   from used""")
+    q["interview_run"] = sql(
+        _FOLD, *_POOLS, "sessions", **plan("sessions"),
+        plan_limits="""select session, count(*) filter (level = 'Easy') as easy, count(*) filter (level = 'Medium') as medium,
+                              count(*) filter (level = 'Hard') as hard from plan group by session""",
+        reachable="""select session, least(easy, 5) as easy, least(medium, 8) as medium, least(hard, 5) as hard
+                     from plan_limits where easy > 0""",
+        log="""select user_id as session, event_id as seq,
+                      case when regexp_extract(props, '([0-9]+)', 1)::int < 6 then '  '
+                           when event_type = 'error' and regexp_extract(props, '([0-9]+)', 1)::int not in (50, 51) then event_type
+                           else 'I would ' || event_type || ' it with ' || props end as answer from events""",
+        spoken=CTES["first"],
+        placed="""select *, case when pos <= easy then 'Easy' when pos <= easy + medium then 'Medium' else 'Hard' end as level,
+                         pos - case when pos <= easy then 0 when pos <= easy + medium then easy else easy + medium end as q_num
+                  from spoken join reachable using (session) where pos <= easy + medium + hard""",
+        answers=f"""select s.session, s.seq, s.pos, s.answer, {display("Question")} as question, Reference_Answer as reference
+                    from placed s join plan p on p.session = s.session and p.level = s.level and p.q_num = s.q_num
+                    join bank on bank.ID = p.id""",
+        **live,
+        replied=f"select *, {_STUB_REPLY} as reply from (select *, {_LIVE_LENGTH} as n from live)",
+        **_parsed("reply", "replied"),
+        first="select session, seq, pos, case when route = 'model' then p_score else 0 end as score from parsed",
+        **phases("first", "reachable"))
     q["session_fold"] = sql(_FOLD, *_LOG, **phases("first", None))
     q["session_fold_pools"] = sql(_FOLD, *_LOG, "limits", **phases("first", "limits"))
     q["session_quit"] = sql(_FOLD, *_LOG, "first_quit", **phases("first_quit", None))

@@ -12,7 +12,7 @@ from ..functions.classify import infer_domain, map_level
 from ..functions.prompts import eval_prompt, live_prompt
 from ..functions.text import core_question, dedup_key, display_question
 from ..functions.parsing import parse_numeric, parse_tagged
-from ..operators import analytics, bank as bank_ops, metrics, pools, scoring, sessions as session_ops
+from ..operators import analytics, bank as bank_ops, interviews, metrics, pools, scoring, sessions as session_ops
 from ..sources.bank_files import read_bank_csv, sft_table, write_bank_csv
 from ..sources.durable import durable, new_path
 from ..sources.raw_sources import profile_sources
@@ -302,6 +302,13 @@ def session_turns(spark, sf):
     )
 
 
+@query
+def interview_run(spark, sf):
+    return interviews.run_interviews(
+        b.sessions(spark, sf), b.spoken(spark, sf), b.bank(spark, sf), length_model
+    )
+
+
 @query
 def session_fold(spark, sf):
     return session_ops.session_fold(b.log(spark, sf))
