@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import LEVELS
@@ -29,12 +29,33 @@ def bank_cube(bank: DataFrame) -> DataFrame:
 
     ``gid`` tells the grouping: 0 cell, 1 domain, 2 level, 3 all. A group whose
     key is missing in the data is dropped; the overall counts keep every row.
+
+    A distinct count over a cube would send every question text four times. Here
+    the texts meet once, as distinct (domain, level, question) rows; marks on the
+    first row of a question in each grouping are then summed over the cube.
     """
-    keyed = with_core(bank).select("Domain", "Difficulty_Level", "core")
-    cubed = keyed.cube("Domain", "Difficulty_Level").agg(
-        F.grouping_id().cast("long").alias("gid"),
-        F.count(F.lit(1)).alias("rows"),
-        F.count_distinct("core").alias("unique_q"),
+    keys = ["Domain", "Difficulty_Level"]
+    cells = (
+        with_core(bank).groupBy(*keys, "core").agg(F.count(F.lit(1)).alias("n")).repartition("core")
+    )
+
+    def first_of(*by: str) -> Column:
+        """1 for one row of every question (and key), else 0."""
+        order = [k for k in keys if k not in by] or keys
+        return (F.row_number().over(Window.partitionBy("core", *by).orderBy(*order)) == 1).cast("int")
+
+    flagged = cells.select(
+        *keys, "n", first_of("Domain").alias("d"), first_of("Difficulty_Level").alias("l"), first_of().alias("a")
+    )
+    gid = F.grouping_id().cast("long")
+    cubed = flagged.cube(*keys).agg(
+        gid.alias("gid"),
+        F.sum("n").alias("rows"),
+        F.when(gid == 0, F.count(F.lit(1)))
+        .when(gid == 1, F.sum("d"))
+        .when(gid == 2, F.sum("l"))
+        .otherwise(F.sum("a"))
+        .alias("unique_q"),
     )
     domain_ok = F.col("Domain").isNotNull() | F.col("gid").isin(2, 3)
     level_ok = F.col("Difficulty_Level").isNotNull() | F.col("gid").isin(1, 3)

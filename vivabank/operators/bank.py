@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import infer_domain, map_level
-from ..functions.fixed_values import BANK_COLUMNS, DOMAIN_LEXICON, MIN_CHAT_ANSWER, MISSING_TEXTS
+from ..functions.fixed_values import BANK_COLUMNS, DEFAULT_DOMAIN, DOMAIN_LEXICON, MIN_CHAT_ANSWER, MISSING_TEXTS
 from ..functions.text import chat_parts, dedup_key, strip, text_or
 from .positions import with_position
 
 # Columns of a canonical source row; (src_ord, row_ord) is its place in the merge.
-CANONICAL = ["src_ord", "row_ord", "Domain", "Difficulty_Level", "Question", "Reference_Answer"]
+# `about` is what the domain is read from beside the question, null where it is the question alone.
+CANONICAL = ["src_ord", "row_ord", "about", "Difficulty_Level", "Question", "Reference_Answer"]
 
 
 def is_missing(c: Column) -> Column:
@@ -43,18 +44,18 @@ def _column(df: DataFrame, name: str, default: str) -> Column:
     return strip(text_or(F.col(f"`{name}`"), "None"))
 
 
-def _canonical(df: DataFrame, place: int, order: str, domain: Column, level: Column) -> DataFrame:
+def _canonical(df: DataFrame, place: int, order: str, level: Column, about: Column | None = None) -> DataFrame:
     return df.select(
         F.lit(place).alias("src_ord"),
         F.col(order).cast("long").alias("row_ord"),
-        domain.alias("Domain"),
+        (F.lit(None).cast("string") if about is None else about).alias("about"),
         level.alias("Difficulty_Level"),
         F.col("question").alias("Question"),
         F.col("answer").alias("Reference_Answer"),
     )
 
 
-def from_tabular(df: DataFrame, order: str, place: int = 0, lexicon: Mapping[str, Sequence[str]] = DOMAIN_LEXICON):
+def from_tabular(df: DataFrame, order: str, place: int = 0) -> DataFrame:
     """Tabular source: level from its level column, domain from question and language."""
     named = df.select(
         order,
@@ -64,23 +65,28 @@ def from_tabular(df: DataFrame, order: str, place: int = 0, lexicon: Mapping[str
         _column(df, "language", "").alias("language"),
     )
     kept = named.where(~is_missing(F.col("question")) & ~is_missing(F.col("answer")))
-    about = F.concat_ws(" ", "question", "language")
-    return _canonical(kept, place, order, infer_domain(about, lexicon), map_level(F.col("level")))
+    return _canonical(kept, place, order, map_level(F.col("level")), F.col("language"))
 
 
-def from_chat(df: DataFrame, order: str, place: int = 1, lexicon: Mapping[str, Sequence[str]] = DOMAIN_LEXICON):
+def from_chat(df: DataFrame, order: str, place: int = 1) -> DataFrame:
     """Chat source: pairs out of the text, level Medium."""
-    pairs = chat_pairs(df.select(order, "text"), "text")
-    return _canonical(pairs, place, order, infer_domain(F.col("question"), lexicon), F.lit("Medium"))
+    return _canonical(chat_pairs(df.select(order, "text"), "text"), place, order, F.lit("Medium"))
 
 
-def from_instruction(df: DataFrame, order: str, place: int = 2, lexicon: Mapping[str, Sequence[str]] = DOMAIN_LEXICON):
+def from_instruction(df: DataFrame, order: str, place: int = 2) -> DataFrame:
     """Instruction source: ``output`` is the question, ``input`` the answer, level Medium."""
     named = df.select(
         order, _column(df, "output", "").alias("question"), _column(df, "input", "").alias("answer")
     )
     kept = named.where(~is_missing(F.col("question")) & ~is_missing(F.col("answer")))
-    return _canonical(kept, place, order, infer_domain(F.col("question"), lexicon), F.lit("Medium"))
+    return _canonical(kept, place, order, F.lit("Medium"))
+
+
+def with_domain(
+    df: DataFrame, lexicon: Mapping[str, Sequence[str]] = DOMAIN_LEXICON, default: str = DEFAULT_DOMAIN
+) -> DataFrame:
+    """Add the domain of canonical rows; null ``about`` is left out of the text."""
+    return df.withColumn("Domain", infer_domain(F.concat_ws(" ", "Question", "about"), lexicon, default))
 
 
 def merge_sources(*sources: DataFrame) -> DataFrame:
@@ -120,19 +126,19 @@ def new_questions(old: DataFrame, merged: DataFrame) -> DataFrame:
 
 def next_ids(old: DataFrame, new: DataFrame, order_by: Sequence[str], id_column: str = "ID") -> DataFrame:
     """Number ``new`` from the bank's largest ID on, in the given order, without gaps."""
-    start = old.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("_start"))
+    largest = old.agg(F.max(id_column)).first()[0] or 0
     placed = with_position(new, order_by, out="_place")
-    return (
-        placed.join(F.broadcast(start), F.lit(True))  # one row
-        .withColumn(id_column, F.col("_start") + 1 + F.col("_place"))
-        .drop("_start", "_place")
-    )
+    return placed.withColumn(id_column, F.col("_place") + F.lit(largest + 1)).drop("_place")
 
 
-def build_bank(old: DataFrame, *sources: DataFrame) -> DataFrame:
-    """The old bank followed by the new questions of the sources."""
+def build_bank(old: DataFrame, *sources: DataFrame, lexicon: Mapping[str, Sequence[str]] = DOMAIN_LEXICON) -> DataFrame:
+    """The old bank followed by the new questions of the sources.
+
+    The domain search, the dearest step per row, comes last: only questions that
+    are new get there.
+    """
     fresh = next_ids(old, new_questions(old, merge_sources(*sources)), ["src_ord", "row_ord"])
-    return old.select(BANK_COLUMNS).unionByName(fresh.select(BANK_COLUMNS))
+    return old.select(BANK_COLUMNS).unionByName(with_domain(fresh, lexicon).select(BANK_COLUMNS))
 
 
 def build_audit(old: DataFrame, names: Sequence[str], *sources: DataFrame) -> DataFrame:

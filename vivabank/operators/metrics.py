@@ -63,6 +63,7 @@ def latency_quantiles(cases: DataFrame) -> DataFrame:
 
 def latency_box(cases: DataFrame) -> DataFrame:
     """Box-plot numbers per tier: quartiles, whiskers within 1.5 IQR, points beyond them."""
+    cases = cases.where(F.col("tier").isin(TIERS))
     q = exact_quantiles(cases, "latency_ms", [0.25, 0.5, 0.75], ["tier"])
     q1, q3 = F.col("quantiles")[0], F.col("quantiles")[2]
     fences = q.select(
@@ -77,7 +78,7 @@ def latency_box(cases: DataFrame) -> DataFrame:
     counted = cases.where("latency_ms is not null").groupBy("tier", "latency_ms").agg(F.count(F.lit(1)).alias("_n"))
     value = F.col("latency_ms").cast("double")
     inside = value.between(F.col("_low"), F.col("_high"))
-    joined = counted.join(fences, F.col("tier").eqNullSafe(F.col("_tier")))
+    joined = counted.join(F.broadcast(fences), F.col("tier") == F.col("_tier"))  # three rows
     ends = joined.groupBy("tier", "q1", "median", "q3").agg(
         F.min(F.when(inside, value)).alias("_min"),
         F.max(F.when(inside, value)).alias("_max"),

@@ -45,10 +45,14 @@ class Pools:
     """``rows``: domain, level, rank, id, core_id — one per question row, ranked inside
     its pool so that copies of a question stand together.
     ``cores``: domain, level, core_id, first_rank, weight — one per distinct question.
-    ``sizes``: domain, level, n_rows, n_cores — one per pool."""
+    ``small``: the cores of pools with at most SMALL_POOL of them.
+    ``sizes``: domain, level, n_rows, n_cores — one per pool.
+
+    All are written tables, so their sizes are known when joins are planned."""
 
     rows: DataFrame
     cores: DataFrame
+    small: DataFrame
     sizes: DataFrame
 
 
@@ -81,10 +85,13 @@ def build_pools(bank: DataFrame) -> Pools:
         ),
         "pool-cores",
     )
-    sizes = cores.groupBy("domain", "level").agg(
-        F.sum("weight").alias("n_rows"), F.count(F.lit(1)).alias("n_cores")
+    sizes = durable(
+        cores.groupBy("domain", "level").agg(F.sum("weight").alias("n_rows"), F.count(F.lit(1)).alias("n_cores")),
+        "pool-sizes",
     )
-    return Pools(ranked, cores, sizes)
+    listed = sizes.where(F.col("n_cores") <= SMALL_POOL).select("domain", "level")
+    small = durable(cores.join(listed, ["domain", "level"], "left_semi"), "pool-small")
+    return Pools(ranked, cores, small, sizes)
 
 
 def _hash60(*parts: Column) -> Column:
@@ -150,13 +157,8 @@ def _drawn(requests: DataFrame, rows: DataFrame, seed: int) -> DataFrame:
 
 def _candidates(requests: DataFrame, pools: Pools, seed: int) -> DataFrame:
     """Candidates for requests (session, domain, level, draws) in the order they are tried."""
-    sized = requests.join(pools.sizes, ["domain", "level"])
-    small = sized.where(F.col("n_cores") <= SMALL_POOL).select("session", "domain", "level")
-    large = sized.where(F.col("n_cores") > SMALL_POOL)
-    small_cores = pools.cores.join(
-        pools.sizes.where(F.col("n_cores") <= SMALL_POOL).select("domain", "level"), ["domain", "level"], "left_semi"
-    )
-    return _listed(small, small_cores, seed, 0.0).unionByName(_drawn(large, pools.rows, seed))
+    large = requests.join(pools.sizes.where(F.col("n_cores") > SMALL_POOL), ["domain", "level"])
+    return _listed(requests, pools.small, seed, 0.0).unionByName(_drawn(large, pools.rows, seed))
 
 
 def _with_ids(picks: DataFrame, pools: Pools) -> DataFrame:
@@ -191,8 +193,10 @@ def draw_next(sessions: DataFrame, asked: DataFrame, bank: DataFrame, seed: int
         first.select("session"), "session", "left_anti"
     )
     # Only sessions whose draws all hit seen questions go through their whole pool.
-    rest = first_unseen(_listed(missed.select("session", "domain", "level"), pools.cores, seed, AFTER_DRAWS))
-    return _with_ids(first.unionByName(rest), pools).select("session", "id")
+    if not missed.isEmpty():
+        rest = first_unseen(_listed(missed.select("session", "domain", "level"), pools.cores, seed, AFTER_DRAWS))
+        first = first.unionByName(rest)
+    return _with_ids(first, pools).select("session", "id")
 
 
 def _fold_picks(candidates: DataFrame, limits: Mapping[str, int]) -> DataFrame:

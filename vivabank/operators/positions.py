@@ -51,13 +51,23 @@ def with_position(
 
 
 def with_running_total(
-    df: DataFrame, order_by: Sequence[str], weight: str, group_by: Sequence[str] = (), out: str = "before"
+    df: DataFrame,
+    order_by: Sequence[str],
+    weight: str,
+    group_by: Sequence[str] = (),
+    out: str = "before",
+    total: str = "total",
 ) -> DataFrame:
-    """Add the sum of ``weight`` over the rows that come earlier in the group."""
+    """Add the sum of ``weight`` over the rows that come earlier in the group, and over the whole group."""
     rows = _sorted_once(df, [*group_by, *order_by], "running")
     parts = rows.groupBy(*group_by, "_part").agg(F.sum(weight).alias("_n"))
-    before = Window.partitionBy(*group_by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select(*group_by, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    group = Window.partitionBy(*group_by)
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(
+        *group_by, "_part",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+        F.sum("_n").over(group).alias(total),
+    )
     inside = (
         Window.partitionBy(*group_by, "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -91,20 +101,14 @@ def exact_quantiles(
     counted = df.where(F.col(value).isNotNull()).groupBy(*group_by, value).agg(
         F.count(F.lit(1)).alias("_weight")
     )
-    placed = with_running_total(counted, [value], "_weight", group_by)
-    totals = placed.groupBy(*group_by).agg(F.sum("_weight").alias("_total"))
-    on = F.lit(True)
-    renamed = totals.withColumnsRenamed({c: f"_t_{c}" for c in group_by})
-    for c in group_by:
-        on &= placed[c].eqNullSafe(renamed[f"_t_{c}"])
-    joined = placed.join(renamed, on)
+    placed = with_running_total(counted, [value], "_weight", group_by, "before", "_total")
     aggregates = []
     for i, p in enumerate(probabilities):
         rank = F.lit(float(p)) * (F.col("_total") - 1)
         for side, place in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
             here = (F.col("before") <= place) & (place < F.col("before") + F.col("_weight"))
             aggregates.append(F.max(F.when(here, F.col(value))).alias(f"_{side}{i}"))
-    picked = joined.groupBy(*group_by, "_total").agg(*aggregates)
+    picked = placed.groupBy(*group_by, "_total").agg(*aggregates)
     out = []
     for i, p in enumerate(probabilities):
         rank = F.lit(float(p)) * (F.col("_total") - 1)

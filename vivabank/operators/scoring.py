@@ -134,7 +134,7 @@ def call_model(
     adds ``latency_ms``, the call's wall time shared among its rows.
     """
     if spread:
-        df = df.repartition(spread, prompt)
+        df = df.repartition(spread)  # evenly, whatever the prompts are
     fields = df.schema.fields + [T.StructField(reply, T.StringType())]
     if timed:
         fields = fields + [T.StructField("latency_ms", T.DoubleType())]

@@ -35,24 +35,22 @@ def read_export(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
 def profile_table(df: DataFrame, name: str, key: str, width: int = 150) -> DataFrame:
     """Rows, column names and the first row (by ``key``) with values cut to ``width``.
 
-    The count and the smallest key come from one scan of the key column; the
-    sample then reads the rows that hold that key.
+    The count and the smallest key come from one scan of the key column. The
+    sample is then a filter on that key, so files and row groups without it are
+    skipped and the wide columns are read for one row only.
     """
-    totals = df.agg(F.count(F.lit(1)).alias("rows"), F.min(key).alias("_first"))
+    total, first = df.agg(F.count(F.lit(1)), F.min(F.col(f"`{key}`"))).first()
     cells = [
         F.concat(F.lit(f"{c}="), F.coalesce(F.substring(F.col(f"`{c}`").cast("string"), 1, width), F.lit("None")))
         for c in df.columns
     ]
-    sample = (
-        df.join(F.broadcast(totals.select("_first")), F.col(f"`{key}`") == F.col("_first"))
-        .select(F.concat_ws("; ", *cells).alias("sample"))
-        .agg(F.min("sample").alias("sample"))
-    )
-    # Both sides are global aggregates: exactly one row each.
-    return totals.select(F.lit(name).alias("source"), F.lit("OK").alias("status"), "rows").join(
-        F.broadcast(sample), F.lit(True)
-    ).select(
-        "source", "status", "rows", F.lit(", ".join(df.columns)).alias("columns"), "sample"
+    sample = df.where(F.col(f"`{key}`") == F.lit(first)).select(F.concat_ws("; ", *cells).alias("sample"))
+    return sample.agg(F.min("sample").alias("sample")).select(
+        F.lit(name).alias("source"),
+        F.lit("OK").alias("status"),
+        F.lit(total).cast("long").alias("rows"),
+        F.lit(", ".join(df.columns)).alias("columns"),
+        "sample",
     )
 
 
