@@ -153,6 +153,18 @@ def test_stream_equals_batch(spark):
     assert told == {k: s.turns for k, s in expected.items()}
 
 
+def test_stream_with_a_hot_session(spark):
+    log = [(7, i, 8, "x") for i in range(30000)] + [(s, 40000 + s, 5, "x") for s in range(100, 110)]
+    source = durable.new_path(spark, "stream-in")
+    spark.createDataFrame(log, LOG).repartition(3).write.parquet(source)
+    out = stream.run_available(stream.session_stream(spark.readStream.schema(LOG).parquet(source)))
+    turns = spark.read.schema(stream.TURN_SCHEMA).parquet(out)
+    assert turns.count() == len(log)
+    expected, refused = run(log)
+    assert folds(stream.latest_state(turns)) == {k: s.fold() for k, s in expected.items()}
+    assert sorted((r.session, r.seq) for r in turns.where("reason is not null").collect()) == sorted(refused)
+
+
 def test_stream_with_pools(spark):
     log = [r for r in make_log(5, 30) if r[0] < 30]
     pools = {k: p for k, p in make_pools(9, 30).items()}

@@ -5,6 +5,8 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -25,6 +27,9 @@ _LIMITS = [PHASE_LIMITS[x] for x in LEVELS]
 _MOST = sum(_LIMITS)
 _PASS = round(PASS_THRESHOLD * _LIMITS[1] * MAX_MARKS)
 _MEDIUM, _HARD = 1, 2
+# Rows of one session that stay together per Arrow batch, and lanes for what is beyond.
+_TOGETHER = 64
+_LANES = 1024
 
 
 class SessionProcessor(StatefulProcessor):
@@ -42,6 +47,10 @@ class SessionProcessor(StatefulProcessor):
         self._state = handle.getValueState("session", _STATE, self._ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if key[1] > 0:
+            for row in rows:
+                yield self._refused(key[0], row)
+            return
         state = list(self._state.get()) if self._state.exists() else [0, 0, 0, 0, 0, False]
         room = 0 if state[5] else _MOST - state[4]
         waiting: list[tuple] = []
@@ -89,11 +98,31 @@ class SessionProcessor(StatefulProcessor):
         )
 
 
+def _with_lane(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add ``lane``: 0 for the first answers of a session in the batch, more than it can use
+    at all; one other number per batch for the rest."""
+    for batch in batches:
+        seq = batch.column("seq").to_numpy(zero_copy_only=False)
+        session = batch.column("session").to_numpy(zero_copy_only=False)
+        order = np.lexsort((seq, session))
+        starts = np.r_[True, session[order][1:] != session[order][:-1]] if len(order) else np.zeros(0, bool)
+        at = np.arange(len(order))
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = at - np.maximum.accumulate(np.where(starts, at, 0))
+        beyond = 1 + int(seq.min()) % _LANES if len(seq) else 0
+        lane = np.where(place < _TOGETHER, 0, beyond).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lane)], names=[*batch.schema.names, "lane"])
+
+
 def session_stream(scored: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """One row per answer of a stream (session, seq, score and optional answer, easy, medium, hard).
 
     Refused answers carry a ``reason``. Sessions live for ever unless ``ttl_ms``
     is given. Needs the RocksDB state store, see ``run_available``.
+
+    A session can use 18 answers. Rows of a session far behind them in their Arrow
+    batch are certainly refused, so they are grouped apart from the session, batch
+    by batch: a session with a large share of the stream does not fill one task.
     """
     if "answer" in scored.columns:
         scored = scored.where(strip(text_or(F.col("answer"), "")) != "")
@@ -101,8 +130,9 @@ def session_stream(scored: DataFrame, ttl_ms: int | None = None) -> DataFrame:
         name = level.lower()
         limit = F.least(F.col(name), F.lit(n)) if name in scored.columns else F.lit(n)
         scored = scored.withColumn(name, limit.cast("int"))
-    rows = scored.select("session", "seq", F.col("score").cast("int").alias("score"), "easy", "medium", "hard")
-    return rows.groupBy("session").transformWithState(
+    rows = scored.select(F.col("session").cast("long"), F.col("seq").cast("long"), F.col("score").cast("int").alias("score"), "easy", "medium", "hard")
+    rows = rows.mapInArrow(_with_lane, "session bigint, seq bigint, score int, easy int, medium int, hard int, lane int")
+    return rows.groupBy("session", "lane").transformWithState(
         statefulProcessor=SessionProcessor(ttl_ms),
         outputStructType=TURN_SCHEMA,
         outputMode="Append",
