@@ -4,7 +4,7 @@ A session's next question is drawn uniformly from the *rows* of its pool (domain
 level) whose question it has not seen. Three facts make this cheap and exact:
 
 * Drawing row numbers with replacement and skipping what was seen is the same as
-  drawing from the unseen rows. A session draws a few numbers and meets the pool
+  drawing from the unseen rows. A session draws a few numbers and meets the bank
   in an equi-join on the row number.
 * For a pool with few distinct questions, one exponential clock per question, at a
   rate of its number of rows, gives the same order; all its questions are listed.
@@ -16,14 +16,14 @@ Draws are md5 of (seed, session, level, …), so a plan can be computed again.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import LEVELS, PHASE_LIMITS
-from ..functions.labels import level_order
 from ..functions.text import core_question, display_question, strip, text_or
 from ..sources.durable import durable
 from .analytics import domain_list
@@ -31,7 +31,8 @@ from .positions import with_position
 
 # A pool with at most this many distinct questions is listed whole.
 SMALL_POOL = 32
-# Draws per wanted question in a larger pool.
+# Draws per wanted question in a larger pool: first few, more where they fall short.
+FEW_DRAWS = 1.5
 DRAWS = 4
 # Draws for a single next question.
 NEXT_DRAWS = 16
@@ -42,11 +43,13 @@ _HASH_RANGE = 2.0**60
 
 @dataclass(frozen=True)
 class Pools:
-    """``rows``: domain, level, rank, id, core_id — one per question row, ranked inside
-    its pool so that copies of a question stand together.
-    ``cores``: domain, level, core_id, first_rank, weight — one per distinct question.
+    """The bank's questions, numbered through so that the rows of a pool, and inside it the
+    copies of a question, stand together.
+
+    ``rows``: row, id, core_id — one per question row.
+    ``cores``: domain, level, core_id, first_row, weight — one per pool and distinct question.
     ``small``: the cores of pools with at most SMALL_POOL of them.
-    ``sizes``: domain, level, n_rows, n_cores — one per pool.
+    ``sizes``: domain, level, pool_row, n_rows, n_cores — one per pool.
 
     All are written tables, so their sizes are known when joins are planned."""
 
@@ -66,7 +69,7 @@ def question_text(bank: DataFrame) -> DataFrame:
 
 
 def build_pools(bank: DataFrame) -> Pools:
-    """Rank the bank inside (domain, level). The level compares without case."""
+    """Number the bank by (domain, level, question). The level compares without case."""
     keyed = bank.where(F.col("Domain").isNotNull() & F.col("Difficulty_Level").isNotNull()).select(
         F.col("Domain").alias("domain"),
         F.lower("Difficulty_Level").alias("level"),
@@ -76,28 +79,31 @@ def build_pools(bank: DataFrame) -> Pools:
     # Not a window: a question may have very many copies. A question is named by its smallest id.
     names = keyed.groupBy("domain", "core").agg(F.min("id").alias("core_id"))
     named = keyed.join(names, ["domain", "core"]).drop("core")
-    ranked = durable(
-        with_position(named, ["core_id", "id"], ["domain", "level"], out="rank"), "pool-rows"
-    )
+    rows = durable(with_position(named, ["domain", "level", "core_id", "id"], out="row"), "pool-rows")
     cores = durable(
-        ranked.groupBy("domain", "level", "core_id").agg(
-            F.min("rank").alias("first_rank"), F.count(F.lit(1)).alias("weight")
+        rows.groupBy("domain", "level", "core_id").agg(
+            F.min("row").alias("first_row"), F.count(F.lit(1)).alias("weight")
         ),
         "pool-cores",
     )
     sizes = durable(
-        cores.groupBy("domain", "level").agg(F.sum("weight").alias("n_rows"), F.count(F.lit(1)).alias("n_cores")),
+        cores.groupBy("domain", "level").agg(
+            F.min("first_row").alias("pool_row"),
+            F.sum("weight").alias("n_rows"),
+            F.count(F.lit(1)).alias("n_cores"),
+        ),
         "pool-sizes",
     )
     listed = sizes.where(F.col("n_cores") <= SMALL_POOL).select("domain", "level")
     small = durable(cores.join(listed, ["domain", "level"], "left_semi"), "pool-small")
-    return Pools(ranked, cores, small, sizes)
+    return Pools(rows.select("row", "id", "core_id"), cores, small, sizes)
 
 
 def _hash60(*parts: Column) -> Column:
-    """A number in 0 .. 2^60 - 1 from the md5 of the parts."""
+    """A number in 0 .. 2^60 - 1 from the md5 of the parts; never null."""
     digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    # The default tells Spark so: it does not test a join key for null first and hash twice.
+    return F.coalesce(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(0))
 
 
 def _clock(seed: int) -> Column:
@@ -108,10 +114,10 @@ def _clock(seed: int) -> Column:
     return -F.log(u) / F.col("weight")
 
 
-def _copy_rank(seed: int) -> Column:
-    """Row number of one of the question's copies."""
+def _copy_row(seed: int) -> Column:
+    """One of the question's copies."""
     pick = _hash60(F.lit(seed), F.lit("copy"), F.col("session"), F.col("level"), F.col("core_id"))
-    return F.col("first_rank") + pick % F.col("weight")
+    return F.col("first_row") + pick % F.col("weight")
 
 
 def _by_session(requests: DataFrame) -> DataFrame:
@@ -125,44 +131,34 @@ def _by_session(requests: DataFrame) -> DataFrame:
     return requests.repartition(n, "session")
 
 
-_CANDIDATE = ["session", "domain", "level", "ord", "core_id", "rank"]
+_CANDIDATE = ["session", "domain", "lv", "ord", "core_id", "row"]
 
 
 def _listed(requests: DataFrame, cores: DataFrame, seed: int, offset: float) -> DataFrame:
     """Every question of the requested pools, in clock order."""
     return requests.join(cores, ["domain", "level"]).select(
-        "session", "domain", "level",
+        "session", "domain", "lv",
         (_clock(seed) + F.lit(offset)).alias("ord"),
-        "core_id", _copy_rank(seed).alias("rank"),
+        "core_id", _copy_row(seed).alias("row"),
     )
 
 
-def _drawn(requests: DataFrame, rows: DataFrame, seed: int) -> DataFrame:
-    """``draws`` row numbers per request, matched with the pool's rows."""
-    attempts = requests.select(
-        "session", "domain", "level", "n_rows",
-        F.explode(F.sequence(F.lit(0), F.col("draws") - 1)).alias("attempt"),
-    ).select(
-        "session", "domain", "level",
+def _drawn(requests: DataFrame, pools: Pools, seed: int) -> DataFrame:
+    """``draws`` rows of the pool per request; the join key is one number."""
+    large = requests.join(pools.sizes.where(F.col("n_cores") > SMALL_POOL), ["domain", "level"])
+    attempts = large.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.col("draws") - 1)))
+    number = _hash60(F.lit(seed), F.lit("row"), F.col("session"), F.col("level"), F.col("attempt"))
+    rows = attempts.select(
+        "session", "domain", "lv",
         F.col("attempt").cast("double").alias("ord"),
-        # Never null; said so, Spark does not test it first and hash twice.
-        F.coalesce(
-            _hash60(F.lit(seed), F.lit("row"), F.col("session"), F.col("level"), F.col("attempt"))
-            % F.col("n_rows"),
-            F.lit(0),
-        ).alias("rank"),
+        F.coalesce(F.col("pool_row") + number % F.col("n_rows"), F.lit(0)).alias("row"),
     )
-    return attempts.join(rows.drop("id"), ["domain", "level", "rank"]).select(_CANDIDATE)
+    return rows.join(pools.rows.drop("id"), "row").select(_CANDIDATE)
 
 
 def _candidates(requests: DataFrame, pools: Pools, seed: int) -> DataFrame:
-    """Candidates for requests (session, domain, level, draws) in the order they are tried."""
-    large = requests.join(pools.sizes.where(F.col("n_cores") > SMALL_POOL), ["domain", "level"])
-    return _listed(requests, pools.small, seed, 0.0).unionByName(_drawn(large, pools.rows, seed))
-
-
-def _with_ids(picks: DataFrame, pools: Pools) -> DataFrame:
-    return picks.join(pools.rows.select("domain", "level", "rank", "id"), ["domain", "level", "rank"])
+    """Candidates for requests (session, domain, level, lv, draws) in the order they are tried."""
+    return _listed(requests, pools.small, seed, 0.0).unionByName(_drawn(requests, pools, seed))
 
 
 def draw_next(sessions: DataFrame, asked: DataFrame, bank: DataFrame, seed: int = 0) -> DataFrame:
@@ -173,19 +169,18 @@ def draw_next(sessions: DataFrame, asked: DataFrame, bank: DataFrame, seed: int
     A session whose pool is exhausted is missing from the result (session, id).
     """
     pools = build_pools(bank)
-    requests = sessions.select("session", "domain", F.lower("level").alias("level"), F.lit(NEXT_DRAWS).alias("draws"))
-    requests = _by_session(requests)
-    # The asked question by name, whatever its level.
-    seen = durable(
-        asked.join(pools.rows.select("id", "core_id"), "id").select("session", "core_id").distinct(), "asked"
+    requests = _by_session(
+        sessions.select(
+            "session", "domain", F.lower("level").alias("level"), F.lit(0).alias("lv"), F.lit(NEXT_DRAWS).alias("draws")
+        )
     )
+    # The asked question by name, whatever its level.
+    seen = durable(asked.join(pools.rows.drop("row"), "id").select("session", "core_id").distinct(), "asked")
 
     def first_unseen(candidates: DataFrame) -> DataFrame:
         unseen = candidates.join(seen, ["session", "core_id"], "left_anti")
-        best = unseen.groupBy("session", "domain", "level").agg(
-            F.min(F.struct("ord", "core_id", "rank")).alias("best")
-        )
-        return best.select("session", "domain", "level", "best.rank")
+        best = unseen.groupBy("session").agg(F.min(F.struct("ord", "core_id", "row")).alias("best"))
+        return best.select("session", "best.row")
 
     first = durable(first_unseen(_candidates(requests, pools, seed)), "draw")
     large = pools.sizes.where(F.col("n_cores") > SMALL_POOL).select("domain", "level")
@@ -194,47 +189,66 @@ def draw_next(sessions: DataFrame, asked: DataFrame, bank: DataFrame, seed: int
     )
     # Only sessions whose draws all hit seen questions go through their whole pool.
     if not missed.isEmpty():
-        rest = first_unseen(_listed(missed.select("session", "domain", "level"), pools.cores, seed, AFTER_DRAWS))
-        first = first.unionByName(rest)
-    return _with_ids(first, pools).select("session", "id")
+        first = first.unionByName(first_unseen(_listed(missed, pools.cores, seed, AFTER_DRAWS)))
+    return first.join(pools.rows, "row").select("session", "id")
 
 
-def _fold_picks(candidates: DataFrame, limits: Mapping[str, int]) -> DataFrame:
+def _fold_picks(candidates: DataFrame, limits: Sequence[int]) -> DataFrame:
     """Walk a session's candidates level by level and keep unseen questions up to the limits.
 
     A session has a bounded number of candidates: the draws, small pools, and a
     bounded head of the clock order where the draws fell short.
     """
-    walk = F.array_sort(
-        F.collect_list(F.struct(level_order(F.initcap("level")).alias("lv"), "ord", "core_id", "rank", "level"))
-    )
+    walk = F.array_sort(F.collect_list(F.struct("lv", "ord", "core_id", "row")))
+    most = F.array(*[F.lit(n) for n in limits])
     start = F.struct(
         F.array().cast("array<bigint>").alias("seen"),
-        *[F.lit(0).alias(x.lower()) for x in LEVELS],
-        F.array().cast("array<struct<level:string,q_num:int,rank:bigint>>").alias("picks"),
+        F.array().cast("array<struct<lv:int,q_num:int,row:bigint>>").alias("picks"),
+        F.lit(0).alias("lv"),
+        F.lit(0).alias("got"),
     )
 
     def step(state: Column, item: Column) -> Column:
-        taken = F.lit(0)
-        limit = F.lit(0)
-        for x in LEVELS:
-            here = item["level"] == x.lower()
-            taken = F.when(here, state[x.lower()]).otherwise(taken)
-            limit = F.when(here, F.lit(limits[x])).otherwise(limit)
-        take = (taken < limit) & ~F.array_contains(state["seen"], item["core_id"])
-        pick = F.struct(item["level"].alias("level"), (taken + 1).alias("q_num"), item["rank"].alias("rank"))
-        counts = [
-            (state[x.lower()] + (item["level"] == x.lower()).cast("int")).alias(x.lower()) for x in LEVELS
-        ]
-        taken_state = F.struct(
+        # The walk goes up the levels, so one counter will do.
+        got = F.when(item["lv"] == state["lv"], state["got"]).otherwise(F.lit(0))
+        take = (got < F.get(most, item["lv"])) & ~F.array_contains(state["seen"], item["core_id"])
+        pick = F.struct(item["lv"].alias("lv"), (got + 1).alias("q_num"), item["row"].alias("row"))
+        taken = F.struct(
             F.array_append(state["seen"], item["core_id"]).alias("seen"),
-            *counts,
             F.array_append(state["picks"], pick).alias("picks"),
+            item["lv"].alias("lv"),
+            (got + 1).alias("got"),
         )
-        return F.when(take, taken_state).otherwise(state)
+        return F.when(take, taken).otherwise(state)
 
     grouped = candidates.groupBy("session", "domain").agg(walk.alias("walk"))
-    return grouped.select("session", "domain", F.aggregate("walk", start, step).alias("state"))
+    return grouped.select("session", "domain", F.aggregate("walk", start, step)["picks"].alias("picks"))
+
+
+def _requests(sessions: DataFrame, draws: Sequence[int]) -> DataFrame:
+    """One request per session and level."""
+    levels = [
+        F.struct(F.lit(x.lower()).alias("level"), F.lit(lv).alias("lv"), F.lit(n).alias("draws"))
+        for lv, (x, n) in enumerate(zip(LEVELS, draws))
+    ]
+    return sessions.select("session", "domain", F.inline(F.array(*levels)))
+
+
+def _short_sessions(folded: DataFrame, pools: Pools, limits: Sequence[int]) -> DataFrame:
+    """Sessions with fewer questions than wanted from a large pool.
+
+    Such a pool always has enough unseen ones, so the draws were spent on copies.
+    """
+    large = pools.sizes.where(F.col("n_cores") > SMALL_POOL).select("domain", "level")
+    counts = [
+        F.struct(
+            F.lit(x.lower()).alias("level"),
+            (F.size(F.filter("picks", lambda p, lv=lv: p["lv"] == lv)) < n).alias("few"),
+        )
+        for lv, (x, n) in enumerate(zip(LEVELS, limits))
+    ]
+    few = folded.select("session", "domain", F.inline(F.array(*counts))).where("few")
+    return durable(few.join(large, ["domain", "level"], "left_semi").select("session").distinct(), "plan-short")
 
 
 def question_plan(
@@ -249,53 +263,43 @@ def question_plan(
     ``sessions``: session, domain. Up to ``limits`` questions per level, in the
     order they would be drawn; no question twice in a session, across levels too.
     A session that needs fewer questions uses the first ones.
+
+    More draws only add to the end of a session's order. So a few are tried for
+    all sessions, more for those that come out short, and whole pools for what is
+    left; every session gets the same plan as with the whole order.
     """
     pools = pools or build_pools(bank)
-    per_level = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(x.lower()).alias("level"), F.lit(limits[x] * DRAWS).alias("draws"))
-                for x in LEVELS
-            ]
-        )
+    wanted = [limits[x] for x in LEVELS]
+    spread = _by_session(sessions.select("session", "domain"))
+    few, many = ([ceil(n * d) + 1 for n in wanted] for d in (FEW_DRAWS, DRAWS))
+
+    plan = durable(_fold_picks(_candidates(_requests(spread, few), pools, seed), wanted), "plan")
+    for whole_pools in (False, True):
+        short = _short_sessions(plan, pools, wanted)
+        if short.isEmpty():
+            break
+        again = _requests(spread.join(short, "session", "left_semi"), many)
+        candidates = _candidates(again, pools, seed)
+        if whole_pools:
+            candidates = candidates.unionByName(_clock_heads(again, pools, seed, 2 * sum(wanted)))
+        refolded = _fold_picks(candidates, wanted)
+        plan = durable(plan.join(short, "session", "left_anti").unionByName(refolded), "plan")
+    rows = plan.select("session", "domain", F.inline("picks"))
+    names = F.array(*[F.lit(x) for x in LEVELS])
+    return rows.join(pools.rows, "row").select(
+        "session", "domain", F.get(names, F.col("lv")).alias("level"), "q_num", "id"
     )
-    requests = _by_session(sessions.select("session", "domain")).select("session", "domain", per_level.alias("r"))
-    requests = requests.select("session", "domain", "r.*")
-    folded = durable(_fold_picks(_candidates(requests, pools, seed), limits), "plan")
 
-    # A large pool always holds enough unseen questions, so a short count there means
-    # that the draws were spent on copies.
+
+def _clock_heads(requests: DataFrame, pools: Pools, seed: int, needed: int) -> DataFrame:
+    """The first ``needed`` questions in clock order of the large pools.
+
+    Draws and lower levels can have used up at most half of them.
+    """
     large = pools.sizes.where(F.col("n_cores") > SMALL_POOL).select("domain", "level")
-    counts = F.create_map(*[v for x in LEVELS for v in (F.lit(x.lower()), F.col(f"state.{x.lower()}"))])
-    wanted = F.create_map(*[v for x in LEVELS for v in (F.lit(x.lower()), F.lit(limits[x]))])
-    # A session without a row in `folded` has no pool at all and needs none of this.
-    short = (
-        folded.select("session", "domain", F.explode(counts).alias("level", "got"))
-        .where(F.col("got") < wanted[F.col("level")])
-        .join(large, ["domain", "level"], "left_semi")
-        .select("session")
-        .distinct()
-    )
-    short = durable(short, "plan-short")
-    picks = folded
-    if not short.isEmpty():
-        again = requests.join(short, "session", "left_semi")
-        head = Window.partitionBy("session", "level").orderBy("ord")
-        # Draws and earlier levels can use up at most sum(limits) of the clock order.
-        needed = 2 * sum(limits.values())
-        clocks = (
-            _listed(again.join(large, ["domain", "level"], "left_semi").select("session", "domain", "level"),
-                    pools.cores, seed, AFTER_DRAWS)
-            .withColumn("_n", F.row_number().over(head))
-            .where(F.col("_n") <= needed)
-            .drop("_n")
-        )
-        refolded = _fold_picks(_candidates(again, pools, seed).unionByName(clocks), limits)
-        picks = folded.join(short, "session", "left_anti").unionByName(refolded)
-    rows = picks.select("session", "domain", F.explode("state.picks").alias("p")).select("session", "domain", "p.*")
-    return _with_ids(rows, pools).select(
-        "session", "domain", F.initcap("level").alias("level"), "q_num", "id"
-    )
+    head = Window.partitionBy("session", "lv").orderBy("ord")
+    clocks = _listed(requests.join(large, ["domain", "level"], "left_semi"), pools.cores, seed, AFTER_DRAWS)
+    return clocks.withColumn("_n", F.row_number().over(head)).where(F.col("_n") <= needed).select(_CANDIDATE)
 
 
 def validate_starts(starts: DataFrame, bank: DataFrame) -> DataFrame:

@@ -293,7 +293,7 @@ def plan(sessions: str) -> dict[str, str]:
         "wanted": f"""
             select session, domain, level, draws
             from (select distinct session, domain from {sessions}),
-                 (values ('easy', {5 * DRAWS}), ('medium', {8 * DRAWS}), ('hard', {5 * DRAWS})) l(level, draws)""",
+                 (values ('easy', {5 * DRAWS + 1}), ('medium', {8 * DRAWS + 1}), ('hard', {5 * DRAWS + 1})) l(level, draws)""",
         "tried": CTES["tried"],
     }
     before = []
