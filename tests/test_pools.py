@@ -64,6 +64,17 @@ def test_plan_rules(spark, bank):
     assert sorted(map(tuple, pools.question_plan(sessions.repartition(7), bank).collect())) == sorted(map(tuple, plan))
 
 
+def test_sessions_served_by_few_draws_are_not_redone(spark):
+    rows = [(i, "D", ["Easy", "Medium", "Hard"][i % 3], f"q{i}", "a") for i in range(3000)]
+    built = pools.build_pools(spark.createDataFrame(rows, BANK))
+    sessions = spark.range(500).select(F.col("id").alias("session"), F.lit("D").alias("domain"))
+    wanted = [5, 8, 5]
+    few = pools._fold_picks(pools._candidates(pools._requests(sessions, [9, 13, 9]), built, 0), wanted)
+    assert pools._short_sessions(few, built, wanted).count() == 0
+    starved = pools._fold_picks(pools._candidates(pools._requests(sessions, [9, 7, 9]), built, 0), wanted)
+    assert pools._short_sessions(starved, built, wanted).count() == 500
+
+
 def test_first_draw_is_uniform_over_rows(spark, bank):
     sessions = spark.range(6000).select(F.col("id").alias("session"), F.lit("Big").alias("domain"))
     first = pools.question_plan(sessions, bank).where("q_num = 1").join(

@@ -240,11 +240,11 @@ def _short_sessions(folded: DataFrame, pools: Pools, limits: Sequence[int]) -> D
     Such a pool always has enough unseen ones, so the draws were spent on copies.
     """
     large = pools.sizes.where(F.col("n_cores") > SMALL_POOL).select("domain", "level")
+    def got(lv: int) -> Column:
+        return F.size(F.filter("picks", lambda p: p["lv"] == lv))
+
     counts = [
-        F.struct(
-            F.lit(x.lower()).alias("level"),
-            (F.size(F.filter("picks", lambda p, lv=lv: p["lv"] == lv)) < n).alias("few"),
-        )
+        F.struct(F.lit(x.lower()).alias("level"), (got(lv) < n).alias("few"))
         for lv, (x, n) in enumerate(zip(LEVELS, limits))
     ]
     few = folded.select("session", "domain", F.inline(F.array(*counts))).where("few")
