@@ -117,6 +117,22 @@ def test_rejects_and_status(spark):
             assert (r.difficulty, r.q_num, r.phase_total) == (s.level, s.asked + 1, LIMITS[s.level])
             assert (r.total, r.possible, r.done, r.verdict) == (s.total, s.possible, s.done, s.fold()[-1])
             assert r.progress == pytest.approx(s.asked / LIMITS[s.level])
+    plan = spark.createDataFrame(
+        [(k, x, q, 1000 * k + q) for k in range(10, 70) for x, n in LIMITS.items() for q in range(1, n + 1)],
+        "session long, level string, q_num int, id long",
+    )
+    open_now = {r.session: r.question_id for r in ops.session_status(starts, df, plan=plan).collect()}
+    for k, r in status.items():
+        assert open_now[k] == (None if r.done else 1000 * k + r.q_num)
+    pools = {k: p for k, p in make_pools(4, 70).items() if p["Easy"]}
+    limits = spark.createDataFrame(
+        [(s, p["Easy"], p["Medium"], p["Hard"]) for s, p in pools.items()], "session long, easy int, medium int, hard int"
+    )
+    expected, _ = run(known, pools)
+    for r in ops.session_status(starts, df, limits).collect():
+        if r.session in expected:
+            s = expected[r.session]
+            assert (r.difficulty, r.q_num, r.total, r.done) == (s.level, s.asked + 1, s.total, s.done)
     flags = ops.phase_flags(ops.session_status(starts.limit(1), df)).collect()
     assert [f.phase for f in flags] == ["EAS", "MED", "HAR"] and sum(f.active for f in flags) == 1
 

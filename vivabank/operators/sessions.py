@@ -247,35 +247,43 @@ def wrapup_stats(report: DataFrame) -> DataFrame:
     )
 
 
-def session_status(starts: DataFrame, log: DataFrame) -> DataFrame:
+def session_status(
+    starts: DataFrame, log: DataFrame, limits: DataFrame | None = None, plan: DataFrame | None = None
+) -> DataFrame:
     """Snapshot of every started session, with or without answers.
 
     ``progress`` is the share of the phase already answered. A complete session
-    keeps its last phase and points one past its end.
+    keeps its last phase and points one past its end. With a question plan the
+    open question is added as ``question_id``.
     """
-    folded = session_fold(log)
-    joined = starts.join(folded, "session", "left")
-    answered = F.coalesce("answered", F.lit(0))
-    level = F.coalesce("difficulty", F.lit("Easy"))
-    before = (
-        F.when(F.col("_level") == "Easy", F.lit(0))
-        .when(F.col("_level") == "Medium", F.lit(PHASE_LIMITS["Easy"]))
-        .otherwise(F.lit(PHASE_LIMITS["Easy"] + PHASE_LIMITS["Medium"]))
+    turns = session_turns(used_answers(first_answers(log), limits))
+    last = turns.groupBy("session").agg(
+        F.max_by(F.struct("next_level", "next_q_num", "total", "possible", "done"), "pos").alias("s")
+    )
+    state = starts.join(last.select("session", "s.*"), "session", "left").withColumn(
+        "difficulty", F.coalesce("next_level", F.lit("Easy"))
     )
-    total = labels.phase_limit(F.col("_level"))
-    q_num = (F.col("_answered") - before + 1).cast("int")
-    staged = joined.withColumn("_answered", answered).withColumn("_level", level)
-    return staged.select(
+    total = labels.phase_limit(F.col("difficulty"))
+    q_num = F.when(F.col("done"), total + 1).otherwise(F.coalesce("next_q_num", F.lit(1)))
+    pct = labels.percentage(F.col("total"), F.col("possible"))
+    status = state.select(
         *starts.columns,
-        F.col("_level").alias("difficulty"),
+        "difficulty",
         q_num.alias("q_num"),
         total.alias("phase_total"),
         F.coalesce("total", F.lit(0)).alias("total"),
         F.coalesce("possible", F.lit(0)).alias("possible"),
         F.coalesce("done", F.lit(False)).alias("done"),
-        "verdict",
-        F.when(total > 0, (q_num - 1) / total).otherwise(F.lit(0.0)).alias("progress"),
+        F.when(F.col("done"), labels.verdict(pct)).alias("verdict"),
+        ((q_num - 1) / total).alias("progress"),
+    )
+    if plan is None:
+        return status
+    questions = plan.select(
+        "session", F.col("level").alias("difficulty"), "q_num", F.col("id").alias("question_id")
     )
+    # A complete session points past its phase and finds no question there.
+    return status.join(questions, ["session", "difficulty", "q_num"], "left").select(*status.columns, "question_id")
 
 
 def phase_flags(status: DataFrame) -> DataFrame:
