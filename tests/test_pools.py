@@ -69,9 +69,9 @@ def test_sessions_served_by_few_draws_are_not_redone(spark):
     built = pools.build_pools(spark.createDataFrame(rows, BANK))
     sessions = spark.range(500).select(F.col("id").alias("session"), F.lit("D").alias("domain"))
     wanted = [5, 8, 5]
-    few = pools._fold_picks(pools._candidates(pools._requests(sessions, [9, 13, 9]), built, 0), wanted)
+    few = pools._fold_picks(pools._candidates(pools._requests(sessions, [11, 17, 11]), built, 0), wanted)
     assert pools._short_sessions(few, built, wanted).count() == 0
-    starved = pools._fold_picks(pools._candidates(pools._requests(sessions, [9, 7, 9]), built, 0), wanted)
+    starved = pools._fold_picks(pools._candidates(pools._requests(sessions, [11, 7, 11]), built, 0), wanted)
     assert pools._short_sessions(starved, built, wanted).count() == 500
 
 

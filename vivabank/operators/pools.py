@@ -32,7 +32,7 @@ from .positions import with_position
 # A pool with at most this many distinct questions is listed whole.
 SMALL_POOL = 32
 # Draws per wanted question in a larger pool: first few, more where they fall short.
-FEW_DRAWS = 1.5
+FEW_DRAWS = 2
 DRAWS = 4
 # Draws for a single next question.
 NEXT_DRAWS = 16
