@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import quality, toxicity
+from . import chat, mixing, quality, toxicity
 from .labelled import held_out
+from .licenses import scan_licenses
+from .packing import pack_documents
 from .token_counts import count_tokens
 
 
@@ -29,6 +31,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, size=4096)
+    return pieces.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -36,9 +43,113 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("blocks")
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string"
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    # A conversation is a tree without branches: each row answers the one before it.
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    messages = rows.select(
+        F.col("conv_id").alias("tree"), place.alias("node"), F.when(place > 1, place - 1).alias("parent"),
+        "role", "text", F.lit(1.0).alias("score"),
+    )
+    formatted = chat.format_paths(chat.best_paths(messages))
+    turns = chat.parse(F.col("formatted"))
+    told = F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = F.array_join(chat.masked_texts(F.col("formatted"), F.col("loss_mask")), "")
+    return formatted.select(
+        F.col("tree").alias("conv_id"),
+        F.size(turns).cast("long").alias("n_turns"),
+        F.sha2(F.array_join(told, "").cast("binary"), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_toxicity, op7_quality)}
+    every = (
+        op1_token_counts, op4_toxicity, op5_packing, op7_quality, op8_mixing, op9_licenses, op10_chat,
+    )
+    return {f.__name__: f for f in every}
+
+
+_SIZED = r"""
+sized as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents
+)"""
+
+OP8 = f"""
+with recursive {_SIZED}, sources as (
+  select source, sum(size)::bigint as source_size, count(*) as docs,
+         (row_number() over (order by source is null, source) - 1) % 3 + 1 as weight
+  from sized group by source
+), level as (
+  -- Sources by the level at which they are full: the first that is not full gives the level.
+  select source, source_size, weight,
+         (sum(source_size) over () - 3 * coalesce(sum(source_size) over before, 0))
+           / (sum(weight) over () - coalesce(sum(weight) over before, 0))::double as l
+  from sources
+  window before as (order by source_size / weight::double, source rows between unbounded preceding and 1 preceding)
+), chosen as (
+  select coalesce(arg_min(l, source_size / weight::double) filter (3 * source_size >= l * weight), 0) as l from level
+), targets as (
+  select s.*, case when 3 * source_size < l * weight then (3 * source_size)::double else l * weight end as target
+  from sources s, chosen
+), rated as (
+  select d.doc_id, d.source, d.size, t.source_size, t.target,
+         case when t.source_size > 0 then t.target / t.source_size else 1.0 end as rate,
+         ('0x' || md5('mix:' || coalesce(d.doc_id::varchar, ''))[1:8])::bigint as h,
+         coalesce('=' || d.source, 'null') as key, t.docs
+  from sized d join targets t on d.source is not distinct from t.source
+), placed as (
+  select *, h % ceil(docs / 4096.0)::bigint as stratum,
+         row_number() over (partition by key, h % ceil(docs / 4096.0)::bigint order by size desc, h, doc_id) as place
+  from rated
+), drawn as (
+  select *, ('0x' || md5('mix:' || key || ':' || stratum::varchar)[1:8])::bigint / 4294967296.0::double as u, rate - floor(rate) as f
+  from placed
+)
+select doc_id, size, source_size, target,
+       (size * (floor(rate) + floor(u + place * f) - floor(u + (place - 1) * f))::bigint)::bigint as taken
+from drawn
+"""
+
+_CONTROL = [("'" + s + "'", "'" + s[0] + "\\" + s[1:] + "'") for s in chat.CONTROL]
+
+
+def _escaped(column: str) -> str:
+    sql = f"replace({column}, '\\', '\\\\')"
+    for plain, marked in _CONTROL:
+        sql = f"replace({sql}, {plain}, {marked})"
+    return sql
+
+
+OP10 = f"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, role as r, text as t from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]', 'user', '</s>[INST] ok [/INST]'
+  union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', '</s>[INST] ok [/INST]'
+)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, r nulls first, t nulls first)) as turns_sha256,
+       sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+       sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by turn nulls first, r nulls first, t nulls first)) as loss_sha256,
+       sum(length('<|im_start|>' || {_escaped("role")} || '<|im_sep|>' || {_escaped("text")} || '<|im_end|>') + 1)::bigint as formatted_chars
+from rows group by conv_id
+"""
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return {"op8_mixing": OP8, "op10_chat": OP10}
