@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import chat, mixing, quality, toxicity
+from .embeddings import link_vectors
+from .inner_products import top_products
 from .labelled import held_out
 from .licenses import scan_licenses
 from .packing import pack_documents
+from .simhash import near_duplicates
 from .token_counts import count_tokens
 
 
@@ -24,6 +27,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=1024, keep=["doc_id"])
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), distance=3, words=3, keep=["doc_id"])
+
+
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -31,11 +42,19 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, size=4096)
+def pieces_with_crc(docs: DataFrame, tokenizer: str) -> DataFrame:
+    pieces = pack_documents(docs, tokenizer, end_id=2, size=4096)
     return pieces.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces_with_crc(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), every=20, k=20, scale=64.0)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -80,7 +99,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op1_token_counts, op4_toxicity, op5_packing, op7_quality, op8_mixing, op9_licenses, op10_chat,
+        op1_token_counts, op2_simhash, op3_embeddings, op4_toxicity, op5_packing, op6_products, op7_quality, op8_mixing,
+        op9_licenses, op10_chat,
     )
     return {f.__name__: f for f in every}
 
@@ -151,5 +171,38 @@ from rows group by conv_id
 """
 
 
+OP3 = """
+with v as (
+  select vec_id, embedding, label,
+         label is not null and coalesce(len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0, false)
+           and len(list_filter(embedding, lambda x: x <> 0)) > 0 as usable
+  from embeddings
+), u as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as e from v where usable
+), links as (
+  select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.93
+), recursive_reach as (
+  with recursive reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a)
+  select a, min(b) as b from reach group by a
+)
+select v.vec_id, coalesce(n.n, 0)::bigint as n_links, least(v.vec_id, coalesce(r.b, v.vec_id)) as component_id,
+       v.vec_id = least(v.vec_id, coalesce(r.b, v.vec_id)) as kept
+from v left join (select a, count(*) as n from links group by a) n on n.a = v.vec_id left join recursive_reach r on r.a = v.vec_id
+"""
+
+OP6 = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings
+  where coalesce(len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0, false)
+), scored as (
+  select q.vec_id as query_id, v.vec_id, list_dot_product(q.e, v.e)::bigint as score
+  from v q join v on q.vec_id <> v.vec_id where q.vec_id % 20 = 0
+)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
+from scored qualify rank <= 20
+"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op8_mixing": OP8, "op10_chat": OP10}
+    return {"op3_embeddings": OP3, "op6_products": OP6, "op8_mixing": OP8, "op10_chat": OP10}
