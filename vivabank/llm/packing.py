@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import functools
 import os
+import re
+import struct
 from collections import deque
 from collections.abc import Iterator
 
@@ -25,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .batches import slices, utf8
+from .token_counts import byte_alphabet
 
 #: Tokens packed at once.
 BLOCK = 1 << 18
@@ -95,13 +98,20 @@ def _halved(size: int, ends: list[int]) -> list[int]:
     return ends
 
 
+# Letters whose lower case is all there is to normalising them, then signs that are one token's text.
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,!?;:*%&$#]*)").fullmatch
+_CHARACTERS = {b: c for c, b in byte_alphabet().items()}
+
+
 class WordIds(dict):
     """Text between blanks -> its ids as little-endian 32-bit numbers.
 
-    The tokenizer drops white space and no token crosses it, so a text's ids are those of its parts.
+    The tokenizer drops white space and no token crosses it, so a text's ids are those of its parts. It
+    lower-cases and parts letters from other signs. So a new word of plain letters, with or without
+    signs behind it, goes to the merges at once; any other word takes the tokenizer's whole way.
     """
 
-    MOST, LONGEST = 300_000, 64
+    MOST, LONGEST = 600_000, 64
 
     def __init__(self, path: str):
         super().__init__()
@@ -109,11 +119,39 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>") and t[:-4].rstrip("\"')")[-1:] in tuple(".!?")]
         self.ends_sentence = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends_sentence[ends] = True
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
+        self.stems: dict[bytes, bytes] = {}
+
+    def _encode(self, words: list[bytes]) -> None:
+        if len(self.stems) > self.MOST // 2:
+            self.stems.clear()
+        stems, tokenize, other = self.stems, self.model.tokenize, []
+        for word in words:
+            plain = _PLAIN(word.lower())
+            if not plain:
+                other.append(word)
+                continue
+            stem, tail = plain.groups()
+            made = stems.get(stem)
+            if made is None:
+                # Letters of U+00DF to U+00FF are two bytes, each of them a character of the vocabulary.
+                text = stem.decode() if stem.isascii() else stem.decode("latin-1").translate(_CHARACTERS)
+                ids = [t.id for t in tokenize(text)]
+                made = struct.pack(f"<{len(ids)}I", *ids)
+                if len(stem) <= self.LONGEST:
+                    stems[stem] = made
+            if tail:
+                behind = stems.get(tail)
+                if behind is None:
+                    behind = stems[tail] = self._ask([tail])[0]
+                made += behind
+            self[word] = made
+        self.update(zip(other, self._ask(other)))
+
+    def _ask(self, words: list[bytes]) -> list[bytes]:
         made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [np.asarray(x.ids, "<u4").tobytes() for x in made]
 
@@ -123,7 +161,7 @@ class WordIds(dict):
             self.clear()
         new = list(set().union(*split) - self.keys())
         long = [w for w in new if len(w) > self.LONGEST]
-        self.update(zip(new, self._encode(new)))
+        self._encode(new)
         out = [b"".join(map(self.__getitem__, words)) for words in split]
         for w in long:
             del self[w]
