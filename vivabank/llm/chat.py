@@ -91,7 +91,7 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         above = path.join(level.where(F.col("up").isNotNull()).select("_t", "node", "up"), ["_t", "node"]).select(
             "_t", "branch", F.col("up").alias("node"), "path_score"
         )
-        path = path.unionByName(above)
+        path = durable(path.unionByName(above), "chat-path")  # else the plan doubles with every level
     return (
         path.join(rooted.select("_t", "node", "steps"), ["_t", "node"])
         .join(nodes.select("_t", "node", "tree", "role", "text"), ["_t", "node"])
