@@ -175,3 +175,24 @@ def test_scored_stream(spark):
     out = stream.run_available(stream.session_stream(scored))
     got = {r.session: (r.difficulty, r.answered, r.total) for r in stream.latest_state(spark.read.schema(stream.TURN_SCHEMA).parquet(out)).collect()}
     assert got == {0: ("Medium", 13, 65), 1: ("Medium", 13, 78), 2: ("Hard", 18, 126), 3: ("Hard", 18, 144), 4: ("Hard", 18, 162)}
+
+
+def test_two_factories_are_two_models(spark):
+    from vivabank.operators.scoring import call_model
+
+    def factory(reply):
+        return lambda: lambda prompts: [reply] * len(prompts)
+
+    rows = spark.createDataFrame([(1, "p")], "id int, prompt string").coalesce(1)
+    for reply in ("first", "second"):
+        assert call_model(rows, "prompt", factory(reply)).first().reply == reply
+
+
+def test_digits_of_other_scripts(spark):
+    from pyspark.sql import functions as F
+
+    from vivabank.functions.parsing import parse_numeric, parse_tagged
+
+    rows = spark.createDataFrame([("<score>٣</score>", "score: ٣"), ("<score>७</score>", "I give it ٧")], "a string, b string")
+    got = rows.select(parse_tagged(F.col("a"))[0].alias("a"), parse_numeric(F.col("b")).alias("b")).collect()
+    assert [tuple(r) for r in got] == [(3, 3), (7, 7)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,10 +18,20 @@ _SMALL_NUMBER_RE = r"(?U)\b0*(10|\d)\b"
 _DIGITS_RE = r"(?U)(\d+)"
 
 
+#: Decimal digits of other scripts, and the ASCII digits they stand for.
+_DECIMALS = [chr(c) for c in range(0x80, 0x20000) if unicodedata.decimal(chr(c), None) is not None]
+_FROM, _TO = "".join(_DECIMALS), "".join(str(unicodedata.decimal(c)) for c in _DECIMALS)
+
+
+def ascii_digits(text: Column) -> Column:
+    """``text`` with every decimal digit as 0 to 9."""
+    return F.translate(text, _FROM, _TO)
+
+
 def clamp_digits(digits: Column, top: int = MAX_MARKS) -> Column:
-    """A run of digits of any length as an int in ``0..top``."""
-    significant = F.ltrim(digits, F.lit("0"))
-    value = F.concat(F.lit("0"), significant).try_cast("int")
+    """A run of digits of any length as an int in ``0..top``; digits that cannot be read give 0."""
+    significant = F.ltrim(ascii_digits(digits), F.lit("0"))
+    value = F.coalesce(F.concat(F.lit("0"), significant).try_cast("int"), F.lit(0))
     return F.when(F.length(significant) > 9, F.lit(top)).otherwise(F.least(value, F.lit(top)))
 
 
@@ -42,6 +54,7 @@ def parse_tagged(reply: Column, top: int = MAX_MARKS) -> tuple[Column, Column]:
 def parse_numeric(reply: Column, top: int = MAX_MARKS) -> Column:
     """Score of a free reply: a labelled score, else the last number in 0..10,
     else the first run of digits, else 0."""
+    reply = ascii_digits(reply)
     labelled = F.regexp_extract(reply, _LABELLED_RE, 1)
     small = F.try_element_at(F.regexp_extract_all(reply, F.lit(_SMALL_NUMBER_RE), F.lit(1)), F.lit(-1))
     first = F.regexp_extract(reply, _DIGITS_RE, 1)

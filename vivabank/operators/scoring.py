@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,7 +112,7 @@ _loaded: dict[str, Callable[[list[str]], list[str]]] = {}
 
 
 def _worker_model(factory: ModelFactory, name: str) -> Callable[[list[str]], list[str]]:
-    """The model of this Python worker; workers are reused, so it is loaded once."""
+    """The model of this Python worker; workers are reused, so it is loaded once. ``name`` tells factories apart."""
     if name not in _loaded:
         _loaded[name] = factory()
     return _loaded[name]
@@ -135,6 +137,8 @@ def call_model(
     """
     if spread:
         df = df.repartition(spread)  # evenly, whatever the prompts are
+    # Another factory, or the same one with other values bound to it, is another model.
+    name = f"{name}-{hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()}"
     fields = df.schema.fields + [T.StructField(reply, T.StringType())]
     if timed:
         fields = fields + [T.StructField("latency_ms", T.DoubleType())]

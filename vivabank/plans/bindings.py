@@ -214,13 +214,14 @@ def new_documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where(_source_number() >= 10)
 
 
-def gappy_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Question and answer per document, with missing values: id, question, answer, lang."""
+def gappy_pairs(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    """Question and answer per new (or every) document, with missing values: id, question, answer, lang."""
     question = pick(F.col("n_chars") % 19, [F.lit(None).cast("string"), "None", " nan "], F.col("text"))
     answer = pick(
         F.col("n_chars") % 17, [F.lit(None).cast("string"), "", "NAN"], F.concat(F.lit(" Answer from "), F.col("source"))
     )
-    return new_documents(spark, sf).select(
+    documents = table(spark, sf, "documents") if every else new_documents(spark, sf)
+    return documents.select(
         F.col("doc_id").alias("id"), question.alias("question"), answer.alias("answer"), "lang", "n_chars"
     )
 

@@ -452,7 +452,10 @@ def all_oracles() -> dict[str, str]:
             "'Define and explain:'", "'INTERVIEW QUESTION: Interview Question: '"], "'Please answer '")} || text as q
               from documents)"""
     q["dedup_key"] = f"select doc_id, {norm('text')} as norm from documents"
-    q["source_clean"] = sql("select id, question, answer from clean_pairs", "new_documents", "gappy", "cleaned", "clean_pairs")
+    q["source_clean"] = sql(
+        "select id, question, answer from clean_pairs", "new_documents", "gappy", "cleaned", "clean_pairs",
+        new_documents="select * from documents"
+    )
     q["chat_extract"] = sql("select id, question, answer from chat_pairs", "pairs", "chat_text", "chat_found", "chat_pairs")
     q["infer_domain"] = f"""
         select conv_id, turn, {domain_of("text", v.DOMAIN_LEXICON, v.DEFAULT_DOMAIN)} as domain,

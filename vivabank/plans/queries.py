@@ -55,7 +55,7 @@ def dedup_key_(spark, sf):
 
 @query
 def source_clean(spark, sf):
-    return bank_ops.clean_pairs(b.gappy_pairs(spark, sf), "question", "answer").select("id", "question", "answer")
+    return bank_ops.clean_pairs(b.gappy_pairs(spark, sf, every=True), "question", "answer").select("id", "question", "answer")
 
 
 @query
