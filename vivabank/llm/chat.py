@@ -63,23 +63,25 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         .join(keys.withColumn("there", F.lit(True)), ["_t", "up"], "left")
         .select("_t", "node", F.when(F.col("there"), F.col("up")).alias("up"), "gain", F.lit(1).cast("long").alias("steps"))
     )
-    levels = [durable(here, "chat-up")]
-    total = None
-    while True:
-        now = levels[-1]
-        seen = now.agg(F.count("up").alias("open"), F.count(F.lit(1)).alias("n")).first()
-        total = seen.n
-        if not seen.open or 1 << (len(levels) - 1) > total:
-            break
-        beyond = now.select("_t", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("gain").alias("g2"), F.col("steps").alias("s2"))
-        doubled = now.join(beyond, ["_t", "up"], "left").select(
-            "_t", "node", F.col("up2").alias("up"),
-            (F.col("gain") + F.coalesce("g2", F.lit(0.0))).alias("gain"),
-            (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps"),
+    first = durable(here, "chat-up")
+    total = first.count()
+    # Pointers still open, per level, and messages that have met their root: only the former are joined on.
+    opens, done = [first.where("up is not null")], [first.where("up is null")]
+    while opens[-1].head(1) and 1 << (len(opens) - 1) <= total:
+        now = opens[-1]
+        beyond = reduce(DataFrame.unionByName, [*done, now]).select(
+            "_t", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("gain").alias("g2"), F.col("steps").alias("s2")
         )
-        levels.append(durable(doubled, "chat-up"))
-    rooted = levels[-1].where(F.col("up").isNull())
-    inner = levels[0].where(F.col("up").isNotNull()).select("_t", F.col("up").alias("node")).distinct()
+        doubled = durable(
+            now.join(beyond, ["_t", "up"]).select(
+                "_t", "node", F.col("up2").alias("up"), (F.col("gain") + F.col("g2")).alias("gain"), (F.col("steps") + F.col("s2")).alias("steps")
+            ),
+            "chat-up",
+        )
+        opens.append(doubled.where("up is not null"))
+        done.append(doubled.where("up is null"))
+    rooted = reduce(DataFrame.unionByName, done)
+    inner = opens[0].select("_t", F.col("up").alias("node")).distinct()
     order = Window.partitionBy("_t").orderBy(F.desc("gain"), F.desc("steps"), "node")
     leaves = (
         rooted.join(inner, ["_t", "node"], "left_anti")
@@ -87,8 +89,8 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         .select("_t", "branch", "node", F.col("gain").alias("path_score"))
     )
     path = durable(leaves, "chat-path")
-    for level in reversed(levels[:-1]):
-        above = path.join(level.where(F.col("up").isNotNull()).select("_t", "node", "up"), ["_t", "node"]).select(
+    for level in reversed(opens[:-1]):
+        above = path.join(level.select("_t", "node", "up"), ["_t", "node"]).select(
             "_t", "branch", F.col("up").alias("node"), "path_score"
         )
         path = durable(path.unionByName(above), "chat-path")  # else the plan doubles with every level
