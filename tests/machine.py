@@ -9,7 +9,7 @@ class Session:
         self.pool = dict(pool or LIMITS)
         self.level, self.asked, self.score = "Easy", 0, 0
         self.total = self.possible = 0
-        self.turns, self.message, self.done = [], "", False
+        self.turns, self.message, self.done, self.quit = [], "", False, False
         self.left = {k: min(v, LIMITS[k]) for k, v in self.pool.items()}
 
     def advance(self):
@@ -63,23 +63,34 @@ class Session:
                 verdict if self.done else None)
 
 
-def run(log, pools=None, quit_ends=False, on_empty_easy="reject"):
+    def ended_fold(self):
+        """The fold where a session may quit: ``ended`` before the verdict, on what was asked."""
+        *state, pct, done, _ = self.fold()
+        ended = done or self.quit
+        exact = self.total / self.possible * 100 if self.possible else 0.0
+        verdict = "STRONG HIRE" if exact >= 80 else "LEANING HIRE" if exact >= 60 else "NO HIRE"
+        return (*state, pct, done, ended, verdict if ended and self.turns else None)
+
+
+def run(log, pools=None, quit_ends=False, on_empty_easy="reject", blank="skip"):
     """Sessions by key and refused (session, seq) out of rows (session, seq, score, answer)."""
     sessions, refused, gone = {}, [], set()
     for key, seq, score, answer in sorted(log):
-        if answer.strip() == "" or key in gone:
+        if key in gone or (blank == "skip" and answer.strip() == ""):
             continue
+        if answer.strip() == "":
+            score = 0
         pool = None if pools is None else pools.get(key)
         if pools is not None and (pool is None or (pool["Easy"] == 0 and on_empty_easy == "reject")):
             continue
-        if quit_ends and answer.strip().lower() == "quit":
-            gone.add(key)
-            continue
         if key not in sessions:
             sessions[key] = Session(pool)
             if pools is not None:
                 sessions[key].settle()
                 sessions[key].message = ""
-        if not sessions[key].answer(seq, score):
+        if quit_ends and answer.strip().lower() == "quit":
+            gone.add(key)
+            sessions[key].quit = True
+        elif not sessions[key].answer(seq, score):
             refused.append((key, seq))
-    return {k: s for k, s in sessions.items() if s.turns}, refused
+    return {k: s for k, s in sessions.items() if s.turns or s.quit}, refused

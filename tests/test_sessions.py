@@ -52,7 +52,7 @@ def test_fold_and_turns(spark, quit_ends, pools):
         )
     expected, _ = run(log, limits, quit_ends, choice)
     got = folds(ops.session_fold(df, limits_df, quit_ends=quit_ends, on_empty_easy=choice))
-    assert got == {k: s.fold() for k, s in expected.items()}
+    assert got == {k: s.ended_fold() if quit_ends else s.fold() for k, s in expected.items()}
 
     used = ops.used_answers(ops.first_answers(df, quit_ends), limits_df, choice)
     turns = {}
@@ -60,7 +60,44 @@ def test_fold_and_turns(spark, quit_ends, pools):
         turns.setdefault(t.session, []).append(
             (t.seq, t.level, t.q_num, t.total, t.possible, t.message, t.next_level, t.next_q_num, t.done)
         )
-    assert turns == {k: s.turns for k, s in expected.items()}
+    assert turns == {k: s.turns for k, s in expected.items() if s.turns}
+
+
+@pytest.mark.parametrize("pools", [False, True])
+def test_blank_answers_can_count(spark, pools):
+    log = make_log(21)
+    df = spark.createDataFrame(log, LOG).repartition(4)
+    limits = {k: p for k, p in make_pools(6).items()} if pools else None
+    limits_df = spark.createDataFrame(
+        [(s, p["Easy"], p["Medium"], p["Hard"]) for s, p in limits.items()], "session long, easy int, medium int, hard int"
+    ) if pools else None
+    expected, refused = run(log, limits, blank="score")
+    assert folds(ops.session_fold(df, limits_df, blank="score")) == {k: s.fold() for k, s in expected.items()}
+    starts = spark.createDataFrame([(k,) for k in expected], "session long")
+    late = ops.answer_rejects(starts, df, limits_df, blank="score").where("reason = 'session complete'")
+    assert {(r.session, r.seq) for r in late.collect()} == set(refused)
+
+
+def test_a_session_that_quits_at_once_stays(spark):
+    df = spark.createDataFrame([(1, 1, 9, " QUIT "), (1, 2, 9, "x"), (2, 1, 9, "x"), (2, 2, 9, "quit")], LOG)
+    assert folds(ops.session_fold(df, quit_ends=True)) == {
+        1: ("Easy", 0, 0, 0, 0.0, False, True, None),
+        2: ("Easy", 1, 9, 10, 90.0, False, True, "STRONG HIRE"),
+    }
+
+
+def test_rejects_follow_the_limits(spark):
+    """Limits 2/1/0: done after three answers; without a Medium question nor an Easy one, done at the start."""
+    df = spark.createDataFrame([(s, i, 9, "x") for s in (1, 2, 3) for i in range(6)], LOG)
+    limits = spark.createDataFrame([(1, 2, 1, 0), (2, 0, 0, 5)], "session long, easy int, medium int, hard int")
+    starts = spark.createDataFrame([(1,), (2,)], "session long")
+    got = {tuple(r) for r in ops.answer_rejects(starts, df, limits, on_empty_easy="advance").collect()}
+    want = {(1, i, "session complete") for i in range(3, 6)} | {(2, i, "session complete") for i in range(6)}
+    assert got == want | {(3, i, "session not found") for i in range(6)}
+    refused = {tuple(r) for r in ops.answer_rejects(starts, df, limits).collect()}
+    assert refused == {(1, i, "session complete") for i in range(3, 6)} | {
+        (s, i, "session not found") for s in (2, 3) for i in range(6)
+    }
 
 
 @pytest.mark.parametrize("medium_sum, level", [(55, "Medium"), (56, "Hard")])

@@ -36,20 +36,33 @@ def is_quit(answer: Column) -> Column:
     return F.lower(strip(text_or(answer, ""))) == QUIT_WORD
 
 
-def first_answers(log: DataFrame, quit_ends: bool = False) -> DataFrame:
-    """The answers a session can use, with their 1-based ``pos``.
+def is_blank(answer: Column) -> Column:
+    return strip(text_or(answer, "")) == ""
 
-    Blank answers are ignored. With ``quit_ends`` the word quit ends the session:
-    that row and all later ones are dropped.
-    """
+
+def _first_rows(log: DataFrame, blank: str) -> DataFrame:
+    """The first rows of every session that ``blank`` leaves, as many as a session can use."""
+    if blank not in ("skip", "score"):
+        raise ValueError(f"unknown choice {blank!r} for blank")
     if "answer" in log.columns:
-        log = log.where(strip(text_or(F.col("answer"), "")) != "")
+        if blank == "skip":
+            log = log.where(~is_blank(F.col("answer")))
+        elif "score" in log.columns:
+            log = log.withColumn("score", F.when(is_blank(F.col("answer")), F.lit(0)).otherwise(F.col("score")))
     order = Window.partitionBy("session").orderBy("seq")
-    first = log.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= MAX_ANSWERS)
+    return log.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= MAX_ANSWERS)
+
+
+def first_answers(log: DataFrame, quit_ends: bool = False, blank: str = "skip") -> DataFrame:
+    """The answers a session can use, with their 1-based ``pos``.
+
+    Blank answers are ignored, or count with no marks (``blank="score"``). With ``quit_ends``
+    the word quit ends the session: that row and all later ones are dropped.
+    """
+    first = _first_rows(log, blank)
     if quit_ends:
-        quitting = F.max(is_quit(F.col("answer")).cast("int")).over(
-            order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
+        so_far = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        quitting = F.max(is_quit(F.col("answer")).cast("int")).over(so_far)
         first = first.withColumn("_quit", quitting).where("_quit = 0").drop("_quit")
     return first
 
@@ -153,11 +166,39 @@ def session_fold(
     *,
     quit_ends: bool = False,
     on_empty_easy: str = "reject",
+    blank: str = "skip",
 ) -> DataFrame:
     """Last state of every session with an answer: (session, difficulty, answered, total,
-    possible, pct, done, verdict). The verdict is null while a session is open."""
-    used = used_answers(first_answers(log, quit_ends), limits, on_empty_easy)
-    return close_sessions(used)
+    possible, pct, done, verdict). The verdict is null while a session is open.
+
+    With ``quit_ends`` there is also ``ended`` (done, or the session quit): a session that quit
+    gets its verdict on what it answered, and one that quit at once stays, without a verdict.
+    """
+    folded = close_sessions(used_answers(first_answers(log, quit_ends, blank), limits, on_empty_easy))
+    if not quit_ends:
+        return folded
+    quitting = _with_limits(_first_rows(log, blank).where(is_quit(F.col("answer"))), limits, on_empty_easy)
+    quits = quitting.select(
+        "session", (F.col("_e") > 0).alias("_quit_easy"), (F.col("_e") + F.col("_m") == 0).alias("_quit_done")
+    ).distinct()
+    # Both sides are grouped by session already.
+    state = folded.join(quits, "session", "full_outer")
+    # Without an answer a session is done only if it had nothing to ask.
+    done = F.coalesce("done", "_quit_done")
+    ended = done | F.col("_quit_done").isNotNull()
+    pct = labels.percentage(F.col("total"), F.col("possible"))
+    none = F.lit(0).cast("long")
+    return state.select(
+        "session",
+        F.coalesce("difficulty", F.when(F.col("_quit_easy"), F.lit("Easy")).otherwise(F.lit("Medium"))).alias("difficulty"),
+        F.coalesce("answered", none).alias("answered"),
+        F.coalesce("total", none).alias("total"),
+        F.coalesce("possible", none).alias("possible"),
+        F.coalesce("pct", F.lit(0.0)).alias("pct"),
+        done.alias("done"),
+        ended.alias("ended"),
+        F.when(ended & (F.col("answered") > 0), labels.verdict(pct)).alias("verdict"),
+    )
 
 
 def _end_state() -> tuple[Column, Column]:
@@ -301,33 +342,38 @@ def phase_flags(status: DataFrame) -> DataFrame:
     )
 
 
-def answer_rejects(starts: DataFrame, log: DataFrame) -> DataFrame:
+def answer_rejects(
+    starts: DataFrame,
+    log: DataFrame,
+    limits: DataFrame | None = None,
+    *,
+    on_empty_easy: str = "reject",
+    blank: str = "skip",
+) -> DataFrame:
     """Answers that are refused: (session, seq, reason).
 
-    Unknown sessions are found by anti-join. For the others the fold gives the
-    answer that completed the session; later ones are refused. One row per
-    session joins back to the log.
+    ``starts`` holds the accepted sessions (see ``validate_starts``); answers of any other are
+    "session not found". The fold gives the answer that completed a session; later ones are
+    refused. One row per session meets the log in a single left join, so that a session with a
+    large share of the log can be split.
     """
-    known = starts.select("session").distinct()
-    unknown = log.join(known, "session", "left_anti").select(
-        "session", "seq", F.lit("session not found").alias("reason")
-    )
-    live = log.join(known, "session", "left_semi")
-    used = used_answers(first_answers(live))
-    closed = (
-        close_sessions(used, F.max("seq").alias("last_seq")).where("done").select("session", "last_seq")
-    )
-    late = live
-    if "answer" in log.columns:
-        late = late.where(strip(text_or(F.col("answer"), "")) != "")
-    late = late.join(closed, "session").where(F.col("seq") > F.col("last_seq")).select(
-        "session", "seq", F.lit("session complete").alias("reason")
+    known = _with_limits(starts.select("session").distinct(), limits, on_empty_easy).select("session", "_e", "_m")
+    used = used_answers(first_answers(log, blank=blank), limits, on_empty_easy)
+    closed = close_sessions(used, F.max("seq").alias("last_seq")).where("done").select("session", "last_seq")
+    # A session with nothing to ask before the gate is complete from the start.
+    facts = known.join(closed, "session", "left").select(
+        "session", F.lit(True).alias("_known"), (F.col("_e") + F.col("_m") == 0).alias("_closed"), "last_seq"
     )
-    return unknown.unionByName(late)
+    late = F.col("_closed") | (F.col("seq") > F.col("last_seq"))
+    if blank == "skip" and "answer" in log.columns:
+        late = late & ~is_blank(F.col("answer"))
+    reason = F.when(F.col("_known").isNull(), F.lit("session not found")).when(late, F.lit("session complete"))
+    return log.join(facts, "session", "left").select("session", "seq", reason.alias("reason")).where("reason is not null")
 
 
-def session_counts(log: DataFrame) -> DataFrame:
-    return log.agg(F.count_distinct("session").alias("sessions"))
+def session_counts(starts: DataFrame) -> DataFrame:
+    """Number of started sessions, with or without answers."""
+    return starts.agg(F.count_distinct("session").alias("sessions"))
 
 
 def plan_limits(plan: DataFrame) -> DataFrame:

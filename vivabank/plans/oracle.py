@@ -392,6 +392,11 @@ _PRED = "case when score >= 8 then 'P' when score >= 4 then 'M' else 'W' end"
 
 _PROFILE_COLUMNS = {
     "region": ("r_regionkey", "r_regionkey, r_name"),
+    "supplier": ("s_suppkey", "s_suppkey, s_name, s_nationkey, s_acctbal"),
+    "lineitem": ("l_orderkey, l_linenumber", "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,"
+                 " l_returnflag, l_linestatus, l_shipdate"),
+    "embeddings": ("vec_id", "vec_id, embedding, label"),
+    "conversations": ("conv_id, turn", "conv_id, turn, role, text"),
     "nation": ("n_nationkey", "n_nationkey, n_name, n_regionkey"),
     "customer": ("c_custkey", "c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment"),
     "part": ("p_partkey", "p_partkey, p_name, p_brand, p_type, p_size, p_retailprice"),
@@ -426,15 +431,15 @@ def _numeric_score() -> str:
 
 
 _LOG = ["log", "first"]
+CTES["accepted"] = "select session, domain from starts where domain in (select Domain from bank)"
+_ACCEPTED = ["pairs", "bank", "starts", "accepted"]
 _STATUS_STAGES = {
-    "log": CTES["log"].replace("from events)", "from events where ts < timestamp '2024-01-04 12:00:00')"),
-    "first": CTES["first"],
-    "starts": CTES["starts"],
+    **{name: CTES[name] for name in ("log", "first", *_ACCEPTED)},
     **phases("first", None),
     "staged": """
         select s.session, coalesce(difficulty, 'Easy') as difficulty, coalesce(answered, 0) as answered,
                coalesce(total, 0) as total, coalesce(possible, 0) as possible, coalesce(done, false) as done, exact
-        from starts s left join folded using (session)""",
+        from accepted s left join folded using (session)""",
     "status": f"""
         select session, difficulty,
                (answered - case difficulty when 'Easy' then 0 when 'Medium' then 5 else 13 end + 1)::int as q_num,
@@ -631,7 +636,20 @@ def all_oracles() -> dict[str, str]:
         **phases("first", "reachable"))
     q["session_fold"] = sql(_FOLD, *_LOG, **phases("first", None))
     q["session_fold_pools"] = sql(_FOLD, *_LOG, "limits", **phases("first", "limits"))
-    q["session_quit"] = sql(_FOLD, *_LOG, "first_quit", **phases("first_quit", None))
+    q["session_quit"] = sql(
+        """select session, coalesce(difficulty, 'Easy') as difficulty, coalesce(answered, 0) as answered,
+                  coalesce(total, 0)::bigint as total, coalesce(possible, 0) as possible,
+                  coalesce(round_even(exact, 1)::double, 0.0::double) as pct, coalesce(done, false) as done,
+                  coalesce(done, false) or coalesce(stopped, false) as ended,
+                  case when answered is null or not (done or coalesce(stopped, false)) then null
+                       when exact >= 80 then 'STRONG HIRE' when exact >= 60 then 'LEANING HIRE' else 'NO HIRE' end as verdict
+           from folded full join stops using (session)""",
+        *_LOG, "first_quit", **phases("first_quit", None),
+        stops=f"select distinct session, true as stopped from log where lower({strip('answer')}) = 'quit'")
+    q["session_blank"] = sql(
+        _FOLD, *_LOG, **phases("first", None),
+        first=f"""select session, seq, case when {strip("answer")} = '' then 0 else score end as score,
+                         row_number() over (partition by session order by seq) as pos from log""")
     q["stream_session"] = q["session_fold"]
     q["session_history"] = sql(
         """select session, string_agg(pos || ':' || answer || ':' || score || ':' || level, ';' order by pos) as items
@@ -662,13 +680,14 @@ def all_oracles() -> dict[str, str]:
                   place < case difficulty when 'Easy' then 1 when 'Medium' then 2 else 3 end as finished
            from status, (values ('Easy', 5, 1), ('Medium', 8, 2), ('Hard', 5, 3)) p(phase, questions, place)""",
         **_STATUS_STAGES)
-    q["session_counts"] = sql("select count(distinct session) as sessions from log", "log")
+    q["session_counts"] = sql("select count(distinct session) as sessions from accepted", *_ACCEPTED)
     q["answer_rejects"] = sql(
-        f"""select session, seq, 'session not found' as reason from log where session not in (select session from starts)
+        f"""select session, seq, 'session not found' as reason from log where session not in (select session from reachable)
             union all
-            select l.session, seq, 'session complete' from log l join folded f using (session)
-            where l.session in (select session from starts) and done and seq > last_seq and {strip("answer")} <> ''""",
-        *_LOG, "starts", **phases("first", None))
+            select session, seq, 'session complete' from log join reachable using (session) left join folded using (session)
+            where {strip("answer")} <> '' and (least(easy, 5) + least(medium, 8) = 0 or (done and seq > last_seq))""",
+        *_LOG, *_ACCEPTED, "limits", **phases("first", "limits"),
+        reachable="select * from accepted join limits using (session)")
 
     q["tier_metrics"] = sql(
         f"""select tier, count(*) as n, round(avg(abs(score - {_EXPECTED})), 6) as mae,

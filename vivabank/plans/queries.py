@@ -179,9 +179,10 @@ def stats_lines(spark, sf):
 
 
 PROFILED = {
-    "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "part": "p_partkey",
-    "orders": "o_orderkey", "events": "event_id", "documents": "doc_id", "pages": "page_id",
-    "benchmark": "item_id", "labels": "doc_id",
+    "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey",
+    "part": "p_partkey", "orders": "o_orderkey", "lineitem": ("l_orderkey", "l_linenumber"), "events": "event_id",
+    "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id",
+    "conversations": ("conv_id", "turn"),
 }
 
 
@@ -324,6 +325,11 @@ def session_quit(spark, sf):
     return session_ops.session_fold(b.log(spark, sf), quit_ends=True)
 
 
+@query
+def session_blank(spark, sf):
+    return session_ops.session_fold(b.log(spark, sf), blank="score")
+
+
 def _report(spark, sf) -> DataFrame:
     return session_ops.session_report(b.log(spark, sf))
 
@@ -360,28 +366,31 @@ def score_bands(spark, sf):
     )
 
 
+def _accepted(spark, sf) -> DataFrame:
+    return pools.validate_starts(b.starts(spark, sf), b.bank(spark, sf)).where("accepted").select("session", "domain")
+
+
 @query
 def session_status(spark, sf):
-    # A snapshot in the middle of the log: some sessions have just begun.
-    early = b.log(spark, sf).where(F.col("ts") < F.lit("2024-01-04 12:00:00").cast("timestamp_ntz"))
-    status = session_ops.session_status(b.starts(spark, sf).select("session"), early)
+    status = session_ops.session_status(_accepted(spark, sf).select("session"), b.log(spark, sf))
     return status.withColumn("progress", F.round("progress", 6))
 
 
 @query
 def phase_flags(spark, sf):
-    early = b.log(spark, sf).where(F.col("ts") < F.lit("2024-01-04 12:00:00").cast("timestamp_ntz"))
-    return session_ops.phase_flags(session_ops.session_status(b.starts(spark, sf).select("session"), early))
+    return session_ops.phase_flags(session_ops.session_status(_accepted(spark, sf).select("session"), b.log(spark, sf)))
 
 
 @query
 def session_counts(spark, sf):
-    return session_ops.session_counts(b.log(spark, sf))
+    return session_ops.session_counts(_accepted(spark, sf))
 
 
 @query
 def answer_rejects(spark, sf):
-    return session_ops.answer_rejects(b.starts(spark, sf), b.log(spark, sf))
+    return session_ops.answer_rejects(
+        _accepted(spark, sf), b.log(spark, sf), b.limits(spark, sf), on_empty_easy="advance"
+    )
 
 
 # --- scorer evaluation --------------------------------------------------------

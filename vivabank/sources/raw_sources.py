@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -32,19 +32,23 @@ def read_export(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return reader.parquet(path)
 
 
-def profile_table(df: DataFrame, name: str, key: str, width: int = 150) -> DataFrame:
-    """Rows, column names and the first row (by ``key``) with values cut to ``width``.
+def profile_table(df: DataFrame, name: str, key: str | Sequence[str], width: int = 150) -> DataFrame:
+    """Rows, column names and the first row (by ``key``, one or more columns) with values cut to ``width``.
 
-    The count and the smallest key come from one scan of the key column. The
+    The count and the smallest key come from one scan of the key columns. The
     sample is then a filter on that key, so files and row groups without it are
     skipped and the wide columns are read for one row only.
     """
-    total, first = df.agg(F.count(F.lit(1)), F.min(F.col(f"`{key}`"))).first()
+    keys = [F.col(f"`{k}`") for k in ([key] if isinstance(key, str) else key)]
+    total, first = df.agg(F.count(F.lit(1)), F.min(F.struct(*keys))).first()
     cells = [
         F.concat(F.lit(f"{c}="), F.coalesce(F.substring(F.col(f"`{c}`").cast("string"), 1, width), F.lit("None")))
         for c in df.columns
     ]
-    sample = df.where(F.col(f"`{key}`") == F.lit(first)).select(F.concat_ws("; ", *cells).alias("sample"))
+    here = F.lit(first is not None)
+    for k, value in zip(keys, first or ()):
+        here = here & k.eqNullSafe(F.lit(value))
+    sample = df.where(here).select(F.concat_ws("; ", *cells).alias("sample"))
     return sample.agg(F.min("sample").alias("sample")).select(
         F.lit(name).alias("source"),
         F.lit("OK").alias("status"),
@@ -55,9 +59,9 @@ def profile_table(df: DataFrame, name: str, key: str, width: int = 150) -> DataF
 
 
 def profile_sources(
-    spark: SparkSession, sources: Mapping[str, tuple[str, str]], width: int = 150
+    spark: SparkSession, sources: Mapping[str, tuple[str, str | Sequence[str]]], width: int = 150
 ) -> DataFrame:
-    """One profile row per source ``name -> (path, order key)``; one that cannot be
+    """One profile row per source ``name -> (path, order key or keys)``; one that cannot be
     opened gives a FAILED row with its error text."""
     out = None
     for name, (path, key) in sources.items():
