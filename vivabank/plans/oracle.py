@@ -378,6 +378,7 @@ def _parsed(reply: str, source: str) -> dict[str, str]:
 
 
 _LIVE_LENGTH = f"length({template(v.LIVE_PROMPT, question='question', reference='reference', answer='answer')})"
+_EVAL_LENGTH = f"length({template(v.EVAL_PROMPT, question='question', reference='reference', answer='answer')})"
 _STUB_REPLY = (
     f"'<feedback>seen ' || n || '</feedback>' || case when n % 5 = 0 then '' else '<score>' || (n % 12) || '</score>' end"
 )
@@ -591,6 +592,15 @@ def all_oracles() -> dict[str, str]:
         replied=f"select *, {_STUB_REPLY} as reply from (select *, {_LIVE_LENGTH} as n from live where route = 'model')",
         **_parsed("reply", "replied"))
 
+    q["benchmark_run"] = sql(
+        f"""select id, route, case route when 'match' then 10 when 'overlap' then 9 else 0 end as score, true as timed
+            from evaled where route <> 'model'
+            union all select id, route, {_numeric_score()}, true from found""",
+        "pairs", "answers", **evaled,
+        replied=f"select *, {_STUB_REPLY} as reply from (select *, {_EVAL_LENGTH} as n from evaled where route = 'model')",
+        found=r"""select *, regexp_extract(reply, '(?i)score\s*:?\s*(\d+)', 1) as labelled,
+                         regexp_extract(reply, '\d+') as any_digits from replied""")
+
     q["session_turns"] = sql(
         f"""select u.session, u.pos::int as pos, u.level, (u.pos - start)::int as q_num, p.id as question_id,
                    (sum(u.score) over (partition by u.session order by u.pos))::bigint as total, u.pos * 10 as possible,

@@ -285,6 +285,12 @@ def score_answers(spark, sf):
     return scoring.score_answers(b.answers(spark, sf), length_model).select("id", "route", "score", "feedback")
 
 
+@query
+def benchmark_run(spark, sf):
+    timed = scoring.score_benchmark(b.answers(spark, sf), length_model, answer="answer")
+    return timed.select("id", "route", "score", (F.col("latency_ms") >= 0).alias("timed"))
+
+
 # --- sessions -----------------------------------------------------------------
 
 
