@@ -64,15 +64,69 @@ def test_plan_rules(spark, bank):
     assert sorted(map(tuple, pools.question_plan(sessions.repartition(7), bank).collect())) == sorted(map(tuple, plan))
 
 
-def test_sessions_served_by_few_draws_are_not_redone(spark):
+def looked_at(built, sessions, draws=(11, 17, 11)):
+    return pools._candidates(pools._requests(sessions, draws), built, 0)
+
+
+def of_domain(spark, n):
+    return spark.range(n).select(F.col("id").alias("session"), F.lit("D").alias("domain"))
+
+
+def test_sessions_served_by_few_arrivals_are_not_redone(spark):
     rows = [(i, "D", ["Easy", "Medium", "Hard"][i % 3], f"q{i}", "a") for i in range(3000)]
     built = pools.build_pools(spark.createDataFrame(rows, BANK))
-    sessions = spark.range(500).select(F.col("id").alias("session"), F.lit("D").alias("domain"))
     wanted = [5, 8, 5]
-    few = pools._fold_picks(pools._candidates(pools._requests(sessions, [11, 17, 11]), built, 0), wanted)
+    few = pools._fold_picks(looked_at(built, of_domain(spark, 500)), wanted)
     assert pools._short_sessions(few, built, wanted).count() == 0
-    starved = pools._fold_picks(pools._candidates(pools._requests(sessions, [11, 7, 11]), built, 0), wanted)
-    assert pools._short_sessions(starved, built, wanted).count() == 500
+    starved = pools._fold_picks(looked_at(built, of_domain(spark, 500), (11, 2, 11)), wanted)
+    assert pools._short_sessions(starved, built, wanted).count() > 400
+
+
+def test_a_flood_of_copies_makes_no_more_candidates(spark):
+    """One question holds 99 % of the rows: sessions still look at a bounded number of questions, and are complete."""
+    rows = [(i, "D", "Easy", "flood" if i >= 400 else f"q{i}", "a") for i in range(40_000)]
+    bank = spark.createDataFrame(rows, BANK)
+    built = pools.build_pools(bank)
+    assert looked_at(built, of_domain(spark, 300)).count() <= 300 * (36 + 11)
+    plan = pools.question_plan(of_domain(spark, 300), bank, pools=built)
+    assert plan.count() == 300 * 5
+    assert plan.select("session", "id").distinct().count() == 300 * 5
+
+
+def test_more_arrivals_only_add_to_the_end(spark):
+    """The plan does not depend on how many arrivals a session looks at first."""
+    rows = [(i, "D", "Easy", f"q{i % 60}" if i < 300 else f"r{i}", "a") for i in range(500)]
+    built = pools.build_pools(spark.createDataFrame(rows, BANK))
+    few, many = (
+        {r.session: [tuple(p) for p in r.picks] for r in pools._fold_picks(looked_at(built, of_domain(spark, 200), d), [5, 8, 5]).collect()}
+        for d in ((4, 1, 1), (64, 1, 1))
+    )
+    assert all(len(many[s]) == 5 for s in range(200))
+    assert all(many[s][: len(few[s])] == few[s] for s in few) and any(len(p) < 5 for p in few.values())
+
+
+@pytest.mark.parametrize("n", [32, 35, 36])
+def test_one_more_question_keeps_the_other_clocks(spark, n):
+    """Pools just below, at and above the number of heads are drawn from in the same way."""
+
+    def order(k):
+        built = pools.build_pools(spark.createDataFrame([(i, "D", "Easy", f"q{i}", "a") for i in range(k)], BANK))
+        walk = {}
+        for r in looked_at(built, of_domain(spark, 100), (400, 1, 1)).orderBy("session", "ord").collect():
+            if r.core_id < n and r.core_id not in walk.setdefault(r.session, []):
+                walk[r.session].append(r.core_id)
+        return walk
+
+    # Question n, if it has no clock of its own, comes from the stream; the others ring as before.
+    assert order(n) == order(n + 1)
+
+
+def test_second_choice_is_uniform_over_what_is_left(spark):
+    """40 single questions: heads and stream are equally likely."""
+    bank = spark.createDataFrame([(i, "D", "Easy", f"q{i}", "a") for i in range(40)], BANK)
+    plan = pools.question_plan(of_domain(spark, 4000), bank).groupBy("q_num", (F.col("id") >= 36).alias("tail")).count()
+    shares = {r.q_num: r["count"] / 4000 for r in plan.collect() if r.tail}
+    assert all(shares[q] == pytest.approx(0.1, abs=0.02) for q in range(1, 6))
 
 
 def test_first_draw_is_uniform_over_rows(spark, bank):
@@ -121,6 +175,20 @@ def test_draw_next(spark, bank):
     assert 5 not in got and 6 not in got
 
 
+def test_next_draw_after_a_long_history(spark):
+    """All of a large pool asked but one or two questions; what is left is drawn by its rows."""
+    bank = spark.createDataFrame([(i, "D", "Easy", f"q{i // 2 * 2 if i < 2000 else i}", "a") for i in range(2001)], BANK)
+    sessions = spark.range(2000).select(F.col("id").alias("session"), F.lit("D").alias("domain"), F.lit("easy").alias("level"))
+    left = spark.createDataFrame([(1000,), (2000,)], "id int")  # two copies (1000, 1001) and one (2000)
+    history = bank.select(F.col("ID").alias("id")).where("id % 2 = 0").join(left, "id", "left_anti")
+    asked = sessions.where("session < 300").select("session").crossJoin(history)
+    got = {r.session: r.id for r in pools.draw_next(sessions, asked, bank, pools=pools.build_pools(bank)).collect()}
+    assert len(got) == 2000
+    after = Counter(got[s] for s in range(300))
+    assert set(after) == {1000, 1001, 2000} and all(60 <= n <= 140 for n in after.values())
+    assert sum(got[s] < 1000 for s in range(300, 2000)) / 1700 == pytest.approx(0.5, abs=0.05)
+
+
 def test_resolve_domains(spark):
     names = ["AI/ML", "Behavioral", "Core CS & OS", "Data Structures & Algorithms", "X"]
     bank = spark.createDataFrame([(i, d, "Easy", "q", "a") for i, d in enumerate(names)], BANK)

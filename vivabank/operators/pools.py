@@ -1,24 +1,28 @@
 """Choosing questions for sessions: uniform over unseen rows, without session x bank pairs.
 
 A session's next question is drawn uniformly from the *rows* of its pool (domain,
-level) whose question it has not seen. Three facts make this cheap and exact:
-
-* Drawing row numbers with replacement and skipping what was seen is the same as
-  drawing from the unseen rows. A session draws a few numbers and meets the bank
-  in an equi-join on the row number.
-* For a pool with few distinct questions, one exponential clock per question, at a
-  rate of its number of rows, gives the same order; all its questions are listed.
-* A session whose draws did not suffice (heavy repetition in a pool) gets the
-  clocks of the whole pool behind its draws. That is rare and exact.
-
-Draws are md5 of (seed, session, level, …), so a plan can be computed again.
+level) whose question it has not seen. Let every row ring at the events of its own
+Poisson process of rate 1: the order in which the questions ring first is the order
+of such draws. Of this a session looks at the beginning only:
+
+* The heaviest questions of a pool (``heads`` of them, bounded) ring once, on an
+  exponential clock with their number of rows as rate.
+* All rows behind them are one stream; each of its arrivals picks a row number, and
+  an equi-join with the bank's row numbers tells the question.
+* What comes before the last arrival looked at is final. A session that has too
+  few questions by then looks at twice as many arrivals.
+
+A plan has at most half as many questions as there are heads. So the unseen heads
+outweigh all seen questions of the stream, and more than every second event is new
+on any data: few sessions look again, and their number falls with each round.
+
+Draws are md5 of (seed, session, level, ...), so a plan can be computed again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,35 +31,27 @@ from ..functions.fixed_values import LEVELS, PHASE_LIMITS
 from ..functions.text import core_question, display_question, strip, text_or
 from ..sources.durable import durable
 from .analytics import domain_list
-from .positions import with_position
-
-# A pool with at most this many distinct questions is listed whole.
-SMALL_POOL = 32
-# Draws per wanted question in a larger pool: first few, more where they fall short.
-FEW_DRAWS = 2
-DRAWS = 4
-# Draws for a single next question.
-NEXT_DRAWS = 16
-# Puts whole-pool clocks behind the draws.
-AFTER_DRAWS = 1_000_000.0
+from .positions import with_position, with_running_total
+
+# Arrivals per wanted question that a session looks at first.
+FIRST_ARRIVALS = 2
 _HASH_RANGE = 2.0**60
 
 
 @dataclass(frozen=True)
 class Pools:
     """The bank's questions, numbered through so that the rows of a pool, and inside it the
-    copies of a question, stand together.
+    copies of a question, stand together, questions with most copies first.
 
     ``rows``: row, id, core_id — one per question row.
     ``cores``: domain, level, core_id, first_row, weight — one per pool and distinct question.
-    ``small``: the cores of pools with at most SMALL_POOL of them.
-    ``sizes``: domain, level, pool_row, n_rows, n_cores — one per pool.
+    ``sizes``: domain, level, pool_row, n_rows, heads, n_tail — one per pool. ``heads`` are the
+    first questions, a bounded list; ``n_tail`` rows stand behind them.
 
     All are written tables, so their sizes are known when joins are planned."""
 
     rows: DataFrame
     cores: DataFrame
-    small: DataFrame
     sizes: DataFrame
 
 
@@ -68,56 +64,74 @@ def question_text(bank: DataFrame) -> DataFrame:
     )
 
 
-def build_pools(bank: DataFrame) -> Pools:
-    """Number the bank by (domain, level, question). The level compares without case."""
+def build_pools(bank: DataFrame, heads: int = 2 * sum(PHASE_LIMITS.values())) -> Pools:
+    """Number the bank by (domain, level, question). The level compares without case.
+
+    ``heads``: questions of a pool that get their own clock, twice as many as a plan has in all.
+    """
     keyed = bank.where(F.col("Domain").isNotNull() & F.col("Difficulty_Level").isNotNull()).select(
         F.col("Domain").alias("domain"),
         F.lower("Difficulty_Level").alias("level"),
         F.col("ID").cast("long").alias("id"),
-        core_question(F.col("Question")).alias("core"),
+        # A digest, so that no text is shuffled.
+        F.unhex(F.md5(core_question(F.col("Question")))).alias("_key"),
     )
-    # Not a window: a question may have very many copies. A question is named by its smallest id.
-    names = keyed.groupBy("domain", "core").agg(F.min("id").alias("core_id"))
-    named = keyed.join(names, ["domain", "core"]).drop("core")
-    rows = durable(with_position(named, ["domain", "level", "core_id", "id"], out="row"), "pool-rows")
+    # Counted before the window: a question may have very many copies, but few levels.
+    counted = keyed.groupBy("domain", "_key", "level").agg(
+        F.min("id").alias("_least"), F.count(F.lit(1)).alias("weight")
+    )
+    # A question is named by its smallest id, in all levels of the domain.
+    named = counted.select(
+        "domain", "_key", "level", "weight",
+        F.min("_least").over(Window.partitionBy("domain", "_key")).alias("core_id"),
+    )
+    weighed = keyed.join(named, ["domain", "_key", "level"]).select(
+        "domain", "level", (-F.col("weight")).alias("_light"), "core_id", "id"
+    )
+    rows = durable(with_position(weighed, ["domain", "level", "_light", "core_id", "id"], out="row"), "pool-rows")
     cores = durable(
         rows.groupBy("domain", "level", "core_id").agg(
             F.min("row").alias("first_row"), F.count(F.lit(1)).alias("weight")
         ),
         "pool-cores",
     )
+    # The limit on the row number cuts before the shuffle, so a pool's list has ``heads`` entries at most.
+    place = F.row_number().over(Window.partitionBy("domain", "level").orderBy("first_row"))
+    heavy = (
+        cores.withColumn("_place", place)
+        .where(F.col("_place") <= heads)
+        .groupBy("domain", "level")
+        .agg(
+            F.collect_list(F.struct("core_id", "first_row", "weight")).alias("heads"),
+            F.sum("weight").alias("_n_heads"),
+        )
+    )
+    totals = cores.groupBy("domain", "level").agg(
+        F.min("first_row").alias("pool_row"), F.sum("weight").alias("n_rows")
+    )
     sizes = durable(
-        cores.groupBy("domain", "level").agg(
-            F.min("first_row").alias("pool_row"),
-            F.sum("weight").alias("n_rows"),
-            F.count(F.lit(1)).alias("n_cores"),
+        totals.join(heavy, ["domain", "level"]).select(
+            "domain", "level", "pool_row", "n_rows", "heads", (F.col("n_rows") - F.col("_n_heads")).alias("n_tail")
         ),
         "pool-sizes",
     )
-    listed = sizes.where(F.col("n_cores") <= SMALL_POOL).select("domain", "level")
-    small = durable(cores.join(listed, ["domain", "level"], "left_semi"), "pool-small")
-    return Pools(rows.select("row", "id", "core_id"), cores, small, sizes)
+    return Pools(rows.select("row", "id", "core_id"), cores, sizes)
 
 
-def _hash60(*parts: Column) -> Column:
-    """A number in 0 .. 2^60 - 1 from the md5 of the parts; never null."""
-    digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
-    # The default tells Spark so: it does not test a join key for null first and hash twice.
-    return F.coalesce(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(0))
+def _digest(seed: int, kind: str, *last: Column) -> Column:
+    """md5 over what is drawn, for whom."""
+    parts = [F.lit(seed), F.lit(kind), F.col("session"), F.col("level"), *last]
+    return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
 
 
-def _clock(seed: int) -> Column:
-    """Exponential clock of a question with rate = its number of rows."""
-    u = (_hash60(F.lit(seed), F.lit("core"), F.col("session"), F.col("level"), F.col("core_id")) + 1) / F.lit(
-        _HASH_RANGE
-    )
-    return -F.log(u) / F.col("weight")
+def _number(digest: Column, half: int = 0) -> Column:
+    """A number in 0 .. 2^60 - 1 from either half of a digest."""
+    return F.conv(F.substring(digest, 1 + 15 * half, 15), 16, 10).cast("long")
 
 
-def _copy_row(seed: int) -> Column:
-    """One of the question's copies."""
-    pick = _hash60(F.lit(seed), F.lit("copy"), F.col("session"), F.col("level"), F.col("core_id"))
-    return F.col("first_row") + pick % F.col("weight")
+def _waiting(digest: Column, rate: Column) -> Column:
+    """Exponential time at ``rate``."""
+    return -F.log((_number(digest) + 1) / F.lit(_HASH_RANGE)) / rate
 
 
 def _by_session(requests: DataFrame) -> DataFrame:
@@ -131,73 +145,87 @@ def _by_session(requests: DataFrame) -> DataFrame:
     return requests.repartition(n, "session")
 
 
-_CANDIDATE = ["session", "domain", "lv", "ord", "core_id", "row"]
-
+def _candidates(requests: DataFrame, pools: Pools, seed: int) -> DataFrame:
+    """Questions of requests (session, domain, level, lv, draws) with the time ``ord`` they ring.
 
-def _listed(requests: DataFrame, cores: DataFrame, seed: int, offset: float) -> DataFrame:
-    """Every question of the requested pools, in clock order."""
-    return requests.join(cores, ["domain", "level"]).select(
-        "session", "domain", "lv",
-        (_clock(seed) + F.lit(offset)).alias("ord"),
-        "core_id", _copy_row(seed).alias("row"),
+    Looks at ``draws`` arrivals of the pool's stream; heads that ring later than the last are left out.
+    """
+    known = requests.join(pools.sizes, ["domain", "level"])
+    attempts = F.when(F.col("n_tail") > 0, F.sequence(F.lit(0), F.col("draws") - 1)).otherwise(
+        F.array().cast("array<int>")
     )
-
-
-def _drawn(requests: DataFrame, pools: Pools, seed: int) -> DataFrame:
-    """``draws`` rows of the pool per request; the join key is one number."""
-    large = requests.join(pools.sizes.where(F.col("n_cores") > SMALL_POOL), ["domain", "level"])
-    attempts = large.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.col("draws") - 1)))
-    number = _hash60(F.lit(seed), F.lit("row"), F.col("session"), F.col("level"), F.col("attempt"))
-    rows = attempts.select(
-        "session", "domain", "lv",
-        F.col("attempt").cast("double").alias("ord"),
-        F.coalesce(F.col("pool_row") + number % F.col("n_rows"), F.lit(0)).alias("row"),
+    digests = F.transform(attempts, lambda k: _digest(seed, "row", k))
+    n_tail = F.greatest("n_tail", F.lit(1))
+    tail_row = F.col("pool_row") + F.col("n_rows") - F.col("n_tail")
+    steps = F.transform(
+        digests,
+        lambda d: F.struct(_waiting(d, n_tail).alias("wait"), (tail_row + _number(d, 1) % n_tail).alias("row")),
     )
-    return rows.join(pools.rows.drop("id"), "row").select(_CANDIDATE)
+    start = F.struct(F.lit(0.0).alias("now"), F.array().cast("array<struct<ord:double,row:bigint>>").alias("all"))
 
+    def arrive(state: Column, step: Column) -> Column:
+        now = state["now"] + step["wait"]
+        here = F.struct(now.alias("ord"), step["row"].alias("row"))
+        return F.struct(now.alias("now"), F.array_append(state["all"], here).alias("all"))
 
-def _candidates(requests: DataFrame, pools: Pools, seed: int) -> DataFrame:
-    """Candidates for requests (session, domain, level, lv, draws) in the order they are tried."""
-    return _listed(requests, pools.small, seed, 0.0).unionByName(_drawn(requests, pools, seed))
+    rings = F.transform(
+        F.transform(
+            "heads",
+            lambda h: F.struct(
+                _digest(seed, "core", h["core_id"]).alias("d"), h["first_row"].alias("first"), h["weight"].alias("n")
+            ),
+        ),
+        lambda h: F.struct(_waiting(h["d"], h["n"]).alias("ord"), (h["first"] + _number(h["d"], 1) % h["n"]).alias("row")),
+    )
+    looked = known.select(
+        "session", "domain", "lv", F.aggregate(steps, start, arrive).alias("_tail"), rings.alias("_heads"),
+        (F.col("n_tail") > 0).alias("_open"),
+    )
+    final = F.filter("_heads", lambda h: ~F.col("_open") | (h["ord"] <= F.col("_tail.now")))
+    events = looked.select("session", "domain", "lv", F.inline(F.concat(final, F.col("_tail.all"))))
+    return events.join(pools.rows.drop("id"), "row").select("session", "domain", "lv", "ord", "core_id", "row")
 
 
-def draw_next(sessions: DataFrame, asked: DataFrame, bank: DataFrame, seed: int = 0) -> DataFrame:
+def draw_next(
+    sessions: DataFrame, asked: DataFrame, bank: DataFrame, seed: int = 0, pools: Pools | None = None
+) -> DataFrame:
     """One unseen question per session.
 
     ``sessions``: session, domain, level. ``asked``: session, id of bank rows
     asked before; neither those rows nor rows with the same question come again.
     A session whose pool is exhausted is missing from the result (session, id).
+
+    One number among the unseen rows is drawn. The row it stands for lies behind the
+    seen questions that begin at or before it, when seen rows are not counted.
     """
-    pools = build_pools(bank)
-    requests = _by_session(
-        sessions.select(
-            "session", "domain", F.lower("level").alias("level"), F.lit(0).alias("lv"), F.lit(NEXT_DRAWS).alias("draws")
-        )
+    pools = pools or build_pools(bank)
+    group = ["session", "domain", "level"]
+    requests = (
+        sessions.select("session", "domain", F.lower("level").alias("level"))
+        .join(pools.sizes.select("domain", "level", "pool_row", "n_rows"), ["domain", "level"])
+        .withColumn("_drawn", _number(_digest(seed, "next")))
     )
     # The asked question by name, whatever its level.
-    seen = durable(asked.join(pools.rows.drop("row"), "id").select("session", "core_id").distinct(), "asked")
-
-    def first_unseen(candidates: DataFrame) -> DataFrame:
-        unseen = candidates.join(seen, ["session", "core_id"], "left_anti")
-        best = unseen.groupBy("session").agg(F.min(F.struct("ord", "core_id", "row")).alias("best"))
-        return best.select("session", "best.row")
-
-    first = durable(first_unseen(_candidates(requests, pools, seed)), "draw")
-    large = pools.sizes.where(F.col("n_cores") > SMALL_POOL).select("domain", "level")
-    missed = requests.join(large, ["domain", "level"], "left_semi").join(
-        first.select("session"), "session", "left_anti"
+    names = asked.join(pools.rows.drop("row"), "id").select("session", "core_id").distinct()
+    seen = (
+        names.join(requests.select(*group, "pool_row").distinct(), "session")
+        .join(pools.cores, ["domain", "level", "core_id"])
+        .select(*group, (F.col("first_row") - F.col("pool_row")).alias("_begin"), "weight")
     )
-    # Only sessions whose draws all hit seen questions go through their whole pool.
-    if not missed.isEmpty():
-        first = first.unionByName(first_unseen(_listed(missed, pools.cores, seed, AFTER_DRAWS)))
-    return first.join(pools.rows, "row").select("session", "id")
+    seen = with_running_total(seen, ["_begin"], "weight", group, "_before", "_seen")
+    unseen = F.col("n_rows") - F.coalesce("_seen", F.lit(0))
+    # No try at a number where nothing is left.
+    drawn = requests.join(seen, group, "left").where(unseen > 0).withColumn("_place", F.col("_drawn") % unseen)
+    passed = F.when(F.col("_begin") - F.col("_before") <= F.col("_place"), F.col("weight")).otherwise(F.lit(0))
+    found = drawn.groupBy(*group, "pool_row", "_place").agg(F.sum(passed).alias("_passed"))
+    rows = found.select("session", (F.col("pool_row") + F.col("_place") + F.col("_passed")).alias("row"))
+    return rows.join(pools.rows, "row").select("session", "id")
 
 
 def _fold_picks(candidates: DataFrame, limits: Sequence[int]) -> DataFrame:
     """Walk a session's candidates level by level and keep unseen questions up to the limits.
 
-    A session has a bounded number of candidates: the draws, small pools, and a
-    bounded head of the clock order where the draws fell short.
+    A session has a bounded number of candidates: the heads and the arrivals looked at.
     """
     walk = F.array_sort(F.collect_list(F.struct("lv", "ord", "core_id", "row")))
     most = F.array(*[F.lit(n) for n in limits])
@@ -235,11 +263,7 @@ def _requests(sessions: DataFrame, draws: Sequence[int]) -> DataFrame:
 
 
 def _short_sessions(folded: DataFrame, pools: Pools, limits: Sequence[int]) -> DataFrame:
-    """Sessions with fewer questions than wanted from a large pool.
-
-    Such a pool always has enough unseen ones, so the draws were spent on copies.
-    """
-    large = pools.sizes.where(F.col("n_cores") > SMALL_POOL).select("domain", "level")
+    """Sessions (session, domain) that want more questions of a level than they have, where more will arrive."""
     def got(lv: int) -> Column:
         return F.size(F.filter("picks", lambda p: p["lv"] == lv))
 
@@ -248,7 +272,8 @@ def _short_sessions(folded: DataFrame, pools: Pools, limits: Sequence[int]) -> D
         for lv, (x, n) in enumerate(zip(LEVELS, limits))
     ]
     few = folded.select("session", "domain", F.inline(F.array(*counts))).where("few")
-    return durable(few.join(large, ["domain", "level"], "left_semi").select("session").distinct(), "plan-short")
+    more = pools.sizes.where(F.col("n_tail") > 0).select("domain", "level")
+    return durable(few.join(more, ["domain", "level"], "left_semi").select("session", "domain").distinct(), "plan-short")
 
 
 def question_plan(
@@ -264,26 +289,25 @@ def question_plan(
     order they would be drawn; no question twice in a session, across levels too.
     A session that needs fewer questions uses the first ones.
 
-    More draws only add to the end of a session's order. So a few are tried for
-    all sessions, more for those that come out short, and whole pools for what is
-    left; every session gets the same plan as with the whole order.
+    ``pools`` may be given, as ``build_pools`` made them for this bank; with limits
+    above the standard ones they need ``heads`` of twice the sum of the limits.
     """
-    pools = pools or build_pools(bank)
     wanted = [limits[x] for x in LEVELS]
-    spread = _by_session(sessions.select("session", "domain"))
-    few, many = ([ceil(n * d) + 1 for n in wanted] for d in (FEW_DRAWS, DRAWS))
-
-    plan = durable(_fold_picks(_candidates(_requests(spread, few), pools, seed), wanted), "plan")
-    for whole_pools in (False, True):
-        short = _short_sessions(plan, pools, wanted)
-        if short.isEmpty():
+    pools = pools or build_pools(bank, 2 * sum(wanted))
+    waiting, draws = sessions.select("session", "domain"), [FIRST_ARRIVALS * n + 1 for n in wanted]
+    parts = []
+    while True:
+        requests = _requests(_by_session(waiting), draws)
+        folded = durable(_fold_picks(_candidates(requests, pools, seed), wanted), "plan")
+        waiting = _short_sessions(folded, pools, wanted)
+        if waiting.isEmpty():
+            parts.append(folded)
             break
-        again = _requests(spread.join(short, "session", "left_semi"), many)
-        candidates = _candidates(again, pools, seed)
-        if whole_pools:
-            candidates = candidates.unionByName(_clock_heads(again, pools, seed, 2 * sum(wanted)))
-        refolded = _fold_picks(candidates, wanted)
-        plan = durable(plan.join(short, "session", "left_anti").unionByName(refolded), "plan")
+        parts.append(folded.join(waiting, ["session", "domain"], "left_anti"))
+        draws = [2 * n for n in draws]
+    plan = parts[0]
+    for part in parts[1:]:
+        plan = plan.unionByName(part)
     rows = plan.select("session", "domain", F.inline("picks"))
     names = F.array(*[F.lit(x) for x in LEVELS])
     return rows.join(pools.rows, "row").select(
@@ -291,17 +315,6 @@ def question_plan(
     )
 
 
-def _clock_heads(requests: DataFrame, pools: Pools, seed: int, needed: int) -> DataFrame:
-    """The first ``needed`` questions in clock order of the large pools.
-
-    Draws and lower levels can have used up at most half of them.
-    """
-    large = pools.sizes.where(F.col("n_cores") > SMALL_POOL).select("domain", "level")
-    head = Window.partitionBy("session", "lv").orderBy("ord")
-    clocks = _listed(requests.join(large, ["domain", "level"], "left_semi"), pools.cores, seed, AFTER_DRAWS)
-    return clocks.withColumn("_n", F.row_number().over(head)).where(F.col("_n") <= needed).select(_CANDIDATE)
-
-
 def validate_starts(starts: DataFrame, bank: DataFrame) -> DataFrame:
     """Add ``accepted`` and ``reason`` to start requests (…, domain): the domain must be in the bank."""
     known = (

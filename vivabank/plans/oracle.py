@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from ..functions import fixed_values as v
 from ..functions.text import BLANKS
-from ..operators.pools import AFTER_DRAWS, DRAWS, NEXT_DRAWS, SMALL_POOL
 from .bindings import DOMAINS, PRIORITY_LEVELS, REQUESTS, SYLLABLES
 
 _BLANK_SQL = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -259,31 +258,43 @@ _MEDIUM_MSG = (
 # --- question plan ------------------------------------------------------------
 
 
-def _hash(kind: str, last: str) -> str:
-    return f"('0x' || substr(md5(concat_ws('|', 0, '{kind}', session, level, {last})), 1, 15))::bigint"
+def _md5(kind: str, *last: str) -> str:
+    return f"md5(concat_ws('|', 0, '{kind}', session, level{''.join(', ' + x for x in last)}))"
+
+
+def _half(digest: str, start: int = 1) -> str:
+    return f"('0x' || substr({digest}, {start}, 15))::bigint"
+
+
+def _wait(digest: str, rate: str) -> str:
+    return f"-ln(({_half(digest)} + 1) / 1152921504606846976.0::double) / {rate}"
 
 
 CTES["poolkeys"] = """
     select Domain as domain, lower(Difficulty_Level) as level, ID as id, core
     from cored where Domain is not null and Difficulty_Level is not null"""
 CTES["poolrows"] = """
-    select domain, level, id, core_id, row_number() over (partition by domain, level order by core_id, id) - 1 as rank
-    from (select *, min(id) over (partition by domain, core) as core_id from poolkeys)"""
+    select domain, level, id, core_id,
+           row_number() over (partition by domain, level order by copies desc, core_id, id) - 1 as rank
+    from (select *, min(id) over (partition by domain, core) as core_id,
+                 count(*) over (partition by domain, level, core) as copies from poolkeys)"""
 CTES["poolcores"] = """
-    select domain, level, core_id, min(rank) as first_rank, count(*) as weight from poolrows group by all"""
+    select *, row_number() over (partition by domain, level order by first_rank) <= 36 as heavy
+    from (select domain, level, core_id, min(rank) as first_rank, count(*) as weight from poolrows group by all)"""
 CTES["poolsizes"] = """
-    select domain, level, sum(weight)::bigint as n_rows, count(*) as n_cores from poolcores group by all"""
+    select domain, level, sum(weight)::bigint as n_rows, coalesce(sum(weight) filter (not heavy), 0)::bigint as n_tail
+    from poolcores group by all"""
+# 80 arrivals for everyone: more than any session of these tables needs.
 CTES["tried"] = f"""
-    select session, level,
-           -ln(({_hash("core", "core_id")} + 1) / {2.0 ** 60!r}::double) / weight
-               + case when n_cores > {SMALL_POOL} then {AFTER_DRAWS}::double else 0 end as ord,
-           core_id, first_rank + {_hash("copy", "core_id")} % weight as rank, domain
-    from wanted join poolcores using (domain, level) join poolsizes using (domain, level)
+    select session, level, {_wait("d", "weight")} as ord, core_id, first_rank + {_half("d", 16)} % weight as rank, domain
+    from (select *, {_md5("core", "core_id")} as d from wanted join poolcores using (domain, level) where heavy)
     union all
-    select session, level, attempt::double as ord, core_id, rank, domain
-    from (select *, {_hash("row", "attempt")} % n_rows as rank
-          from (select *, unnest(range(draws)) as attempt
-                from wanted join poolsizes using (domain, level) where n_cores > {SMALL_POOL}))
+    select session, level, ord, core_id, rank, domain
+    from (select session, level, domain, n_rows - n_tail + {_half("d", 16)} % n_tail as rank,
+                 sum({_wait("d", "n_tail")}) over (partition by session, domain, level order by attempt) as ord
+          from (select *, {_md5("row", "attempt")} as d
+                from (select *, unnest(range(80)) as attempt
+                      from wanted join poolsizes using (domain, level) where n_tail > 0)))
     join poolrows using (domain, level, rank)"""
 
 
@@ -291,9 +302,8 @@ def plan(sessions: str) -> dict[str, str]:
     """CTEs for the question plan of a session table."""
     out = {
         "wanted": f"""
-            select session, domain, level, draws
-            from (select distinct session, domain from {sessions}),
-                 (values ('easy', {5 * DRAWS + 1}), ('medium', {8 * DRAWS + 1}), ('hard', {5 * DRAWS + 1})) l(level, draws)""",
+            select session, domain, level
+            from (select distinct session, domain from {sessions}), (values ('easy'), ('medium'), ('hard')) l(level)""",
         "tried": CTES["tried"],
     }
     before = []
@@ -547,15 +557,20 @@ def all_oracles() -> dict[str, str]:
            from (select session, exists (select 1 from bank where Domain = s.domain) as ok from starts s)""",
         "pairs", "bank", "starts")
     q["question_pool"] = sql(
-        """select session, r.id from
-             (select *, row_number() over (partition by session order by ord) as place from tried t
-              where not exists (select 1 from seen s where s.session = t.session and s.core_id = t.core_id)
-              qualify place = 1) t
-           join poolrows r on r.domain = t.domain and r.level = t.level and r.rank = t.rank""",
+        """select p.session, r.id
+           from (select session, domain, level, place + coalesce((select sum(weight) from gaps g
+                        where g.session = w.session and g.start - g.before <= w.place), 0) as rank from wanted w) p
+           join poolrows r using (domain, level, rank)""",
         *_POOLS, "sessions", "asked",
-        wanted=f"select session, domain, level, {NEXT_DRAWS} as draws from sessions",
-        tried=CTES["tried"],
-        seen="select distinct session, core_id from asked join poolrows using (id)")
+        seen="""select distinct s.session, c.first_rank as start, c.weight
+                from asked a join poolrows r using (id) join sessions s on s.session = a.session
+                join poolcores c on c.domain = s.domain and c.level = lower(s.level) and c.core_id = r.core_id""",
+        gaps="""select *, coalesce(sum(weight) over (partition by session order by start
+                       rows between unbounded preceding and 1 preceding), 0) as before from seen""",
+        asking="""select session, domain, lower(s.level) as level,
+                         n_rows - coalesce((select sum(weight) from seen x where x.session = s.session), 0)::bigint as free
+                  from sessions s join poolsizes z using (domain) where z.level = lower(s.level)""",
+        wanted=f"select *, {_half(_md5('next'))} % free as place from asking where free > 0")
     q["question_plan"] = sql("select session, level, q_num, id from plan", *_POOLS, "sessions", **plan("sessions"))
     q["session_start"] = sql(
         f"""select p.session, p.domain, 'Easy' as difficulty, p.id as question_id, {display("Question")} as question,
