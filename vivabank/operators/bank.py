@@ -111,22 +111,29 @@ def drop_known(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     return new.join(old.select(key).distinct(), key, "left_anti")
 
 
+def _digest(question: Column) -> Column:
+    """Key of a question in joins and windows: 16 bytes, whatever the length of the text."""
+    return F.unhex(F.md5(dedup_key(question)))
+
+
 def new_questions(old: DataFrame, merged: DataFrame) -> DataFrame:
     """Merged rows with a question the bank does not have, once each.
 
     The first copies are kept before the anti-join: both need the rows by key,
-    so they share one shuffle, and copies are gone before it.
+    so they share one shuffle, and copies are gone before it. Of the bank only
+    digests move.
     """
-    keyed = merged.withColumn("_norm", dedup_key(F.col("Question")))
-    first = keep_first(keyed, "_norm", ["src_ord", "row_ord"])
+    keyed = merged.withColumn("_key", _digest(F.col("Question")))
+    first = keep_first(keyed, "_key", ["src_ord", "row_ord"])
     # A missing question of the bank prints as nan.
-    known = old.select(dedup_key(text_or(F.col("Question"), "nan")).alias("_norm"))
-    return drop_known(first, known, "_norm").drop("_norm")
+    known = old.select(_digest(text_or(F.col("Question"), "nan")).alias("_key"))
+    return drop_known(first, known, "_key").drop("_key")
 
 
 def next_ids(old: DataFrame, new: DataFrame, order_by: Sequence[str], id_column: str = "ID") -> DataFrame:
     """Number ``new`` from the bank's largest ID on, in the given order, without gaps."""
     largest = old.agg(F.max(id_column)).first()[0] or 0
+    # The sample for the ranges reads the shuffled keys once more; writing ``new`` first costs more than that.
     placed = with_position(new, order_by, out="_place")
     return placed.withColumn(id_column, F.col("_place") + F.lit(largest + 1)).drop("_place")
 

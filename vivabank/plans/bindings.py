@@ -37,11 +37,11 @@ def pick(selector: Column, choices: list, default: Column) -> Column:
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """A user turn and the assistant turn right after it: id, q, a."""
+    """Every user turn, and the assistant turn right after it if there is one: id, q, a."""
     turns = table(spark, sf, "conversations")
     user = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("q"))
     reply = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a"))
-    return user.join(reply, ["conv_id", "turn"]).select(
+    return user.join(reply, ["conv_id", "turn"], "left").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "q", "a"
     )
 

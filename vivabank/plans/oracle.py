@@ -112,15 +112,17 @@ _REPLY = pick(
 CTES: dict[str, str] = {
     "pairs": """
         select u.conv_id * 1000 + u.turn as id, u.text as q, r.text as a
-        from conversations u join conversations r on r.conv_id = u.conv_id and r.turn = u.turn + 1
-        where u.role = 'user' and r.role = 'assistant'""",
+        from (select * from conversations where role = 'user') u
+        left join (select * from conversations where role = 'assistant') r
+               on r.conv_id = u.conv_id and r.turn = u.turn + 1""",
     "bank": f"""
         select id * 2 + v as ID, {_Q_DOMAIN} as Domain, {_Q_LEVEL} as Difficulty_Level,
                {_Q_PREFIX} || q as Question, a as Reference_Answer
         from pairs, (values (0), (1)) copies(v)
         where v = 0 or length(q) % 3 = 0""",
     "cored": f"select *, {core('Question')} as core from bank",
-    "answers": f"select id, q as question, a as reference, {_ANSWER} as answer from pairs",
+    # A missing reference prints as nan, for guards and prompts alike.
+    "answers": f"select id, q as question, coalesce(a, 'nan') as reference, {_ANSWER} as answer from pairs",
     "replies": f"select doc_id as id, {_REPLY} as reply from documents",
     "log": """
         select user_id as session, event_id as seq, 10 - floor(value)::int % 7 as score, ts,
@@ -651,7 +653,8 @@ def all_oracles() -> dict[str, str]:
         placed="""select *, case when pos <= easy then 'Easy' when pos <= easy + medium then 'Medium' else 'Hard' end as level,
                          pos - case when pos <= easy then 0 when pos <= easy + medium then easy else easy + medium end as q_num
                   from spoken join reachable using (session) where pos <= easy + medium + hard""",
-        answers=f"""select s.session, s.seq, s.pos, s.answer, {display("Question")} as question, Reference_Answer as reference
+        answers=f"""select s.session, s.seq, s.pos, s.answer, {display("Question")} as question,
+                           coalesce(Reference_Answer, 'nan') as reference
                     from placed s join plan p on p.session = s.session and p.level = s.level and p.q_num = s.q_num
                     join bank on bank.ID = p.id""",
         **live,
