@@ -504,6 +504,9 @@ def all_oracles() -> dict[str, str]:
            union all select 'new after dedup', count(*) from fresh
            union all select 'final', (select count(*) from old_bank) + (select count(*) from fresh)""", *build)
     q["csv_roundtrip"] = sql("select ID, Domain, Difficulty_Level, Question, Reference_Answer from bank", "pairs", "bank")
+    q["export_scan"] = """
+        select 'json' as kind, concat_ws('/', source, lang) as about, text from documents
+        union all select 'csv', url, html from pages union all select 'parquet', '', text from benchmark"""
     bank = ["pairs", "bank", "cored"]
     cells = "from cored where Domain is not null and Difficulty_Level is not null group by Domain, Difficulty_Level"
     q["bank_stats"] = sql(

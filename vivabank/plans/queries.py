@@ -15,7 +15,7 @@ from ..functions.parsing import parse_numeric, parse_tagged
 from ..operators import analytics, bank as bank_ops, interviews, metrics, pools, scoring, sessions as session_ops
 from ..sources.bank_files import read_bank_csv, sft_table, write_bank_csv
 from ..sources.durable import durable, new_path
-from ..sources.raw_sources import profile_sources
+from ..sources.raw_sources import CHAT_SCHEMA, INSTRUCTION_SCHEMA, PAIR_SCHEMA, profile_sources, read_export
 from ..streaming import session_stream as streaming
 from . import bindings as b
 
@@ -140,6 +140,27 @@ def csv_roundtrip(spark, sf):
     return read_bank_csv(spark, path)
 
 
+@query
+def export_scan(spark, sf):
+    """Three tables exported in three formats and scanned as raw sources."""
+    folder = new_path(spark, "exports")
+    b.table(spark, sf, "documents").select(
+        F.col("source").alias("instruction"), F.col("lang").alias("input"), F.col("text").alias("output")
+    ).write.json(f"{folder}/documents.json")
+    b.table(spark, sf, "pages").select(F.col("url").alias("input"), F.col("html").alias("response")).write.options(
+        header="true", quote='"', escape='"'
+    ).csv(f"{folder}/pages.csv")
+    b.table(spark, sf, "benchmark").select("text").write.parquet(f"{folder}/benchmark.parquet")
+    parts = [
+        read_export(spark, f"{folder}/documents.json", INSTRUCTION_SCHEMA).select(
+            F.lit("json").alias("kind"), F.concat_ws("/", "instruction", "input").alias("about"), F.col("output").alias("text")
+        ),
+        read_export(spark, f"{folder}/pages.csv", PAIR_SCHEMA).select(F.lit("csv"), "input", "response"),
+        read_export(spark, f"{folder}/benchmark.parquet", CHAT_SCHEMA).select(F.lit("parquet"), F.lit(""), "text"),
+    ]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 # --- bank analytics -----------------------------------------------------------
 
 
