@@ -235,17 +235,30 @@ def near_duplicates(docs: DataFrame, distance: int = 3, words: int = 3, keep=Non
     )
 
 
+def row_key() -> Column:
+    """Digest of doc_id and text: the same only for rows that agree in both."""
+    parts = [F.coalesce(F.concat(F.lit("="), x), F.lit("null")) for x in (F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")))]
+    return F.md5(F.concat(parts[0], F.lit(" "), parts[1]).cast("binary"))
+
+
+def one_of_each(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """A row of docs for each component of ``placed`` (doc_id, key, component): smallest doc_id, then smallest key.
+
+    Ids may repeat with different texts: the row is chosen by id and text. Rows that agree in both are in
+    one component, so the chosen keys differ and texts move once, to meet them.
+    """
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    chosen = durable(placed.groupBy("component").agg(F.min(place)["key"].alias("_key")).select("_key"), "chosen")
+    return docs.withColumn("_key", row_key()).join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+
+
 def keep_one(docs: DataFrame, distance: int = 3, words: int = 3) -> DataFrame:
     """One row of each component of ``near_duplicates``, columns as they were: the one with the smallest doc_id.
 
-    Only ids and fingerprints are compared; texts move once, to meet the chosen ids. Rows without an id
+    If an id has several texts in the component, the smallest digest of id and text decides. Rows without an id
     stay, one for each component that has no other.
     """
-    marked = durable(fingerprints(docs, words, keep=["doc_id"]), "simhash")
-    placed = durable(_placed(marked, distance), "simhash-placed")
-    chosen = placed.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
-    named = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = placed.where("component_id is null").select("fingerprint", "component")
-    rest = fingerprints(docs.where("doc_id is null").withColumnsRenamed({c: f"_{c}" for c in docs.columns if c != "text"}), words)
-    rest = rest.join(nameless, "fingerprint").dropDuplicates(["component"]).withColumnsRenamed({f"_{c}": c for c in docs.columns if c != "text"})
-    return named.select(docs.columns).unionByName(rest.select(docs.columns))
+    keyed = docs.select("doc_id", "text", row_key().alias("key"))
+    marked = durable(fingerprints(keyed, words, keep=["doc_id", "key"]), "simhash")
+    placed = _placed(marked, distance).select("fingerprint", "component")
+    return one_of_each(docs, marked.join(placed, "fingerprint"))
