@@ -4,10 +4,21 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from vivabank.llm import mixing, quality, toxicity
+from vivabank.llm import mixing, quality, simhash, toxicity
 from vivabank.llm.queries import table
+from vivabank.sources.durable import durable
 
-from test_near_copies import _kept
+
+def _kept(rows):
+    """Smallest id of each component of fingerprints within 3 bits, by all pairs."""
+    prints = {i: simhash.fingerprint((t or "").encode()) for i, t in rows}
+    low = {i: i for i in prints}
+    for a in prints:
+        for b in prints:
+            if a < b and low[a] != low[b] and (prints[a] ^ prints[b]).bit_count() <= 3:
+                old, new = max(low[a], low[b]), min(low[a], low[b])
+                low = {i: new if x == old else x for i, x in low.items()}
+    return set(low.values())
 
 
 def _write(spark, folder):
@@ -38,21 +49,21 @@ def test_every_stage_keeps_what_it_should(spark, tmp_path):
     stages = dict(corpus_pipeline.STAGES)
     ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
 
-    clean = stages["toxicity"](spark, docs, folder).localCheckpoint()
+    clean = durable(stages["toxicity"](spark, docs, folder), "test")
     scored = toxicity.score_toxicity(docs, toxicity.train(docs, labels), threshold=0.3)
     assert ids(clean) == ids(scored.where("score < 0.3")) and clean.columns == docs.columns
     assert sum(i % 4 == 0 for i in ids(clean) if i < 160) <= 4
 
-    good = stages["quality"](spark, clean, folder).localCheckpoint()
+    good = durable(stages["quality"](spark, clean, folder), "test")
     scored = quality.score_quality(clean, quality.train(clean, labels), threshold=0.3)
     assert ids(good) == ids(scored.where("score >= 0.3")) and good.columns == docs.columns
     assert sum(i % 5 == 0 for i in ids(good) if i < 160) <= 3 and len(ids(good)) >= 90
 
-    single = stages["simhash"](spark, good, folder).localCheckpoint()
+    single = durable(stages["simhash"](spark, good, folder), "test")
     assert ids(single) == sorted(_kept([(r.doc_id, r.text) for r in good.collect()])) and single.columns == docs.columns
     assert len(ids(single)) < len(ids(good))
 
-    mixed = stages["mixing"](spark, single, folder).localCheckpoint()
+    mixed = durable(stages["mixing"](spark, single, folder), "test")
     copies = {r.doc_id: r.copies for r in mixing.mix(single).collect() if r.copies}
     assert Counter(ids(mixed)) == copies and mixed.columns == docs.columns
 

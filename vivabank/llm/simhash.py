@@ -170,7 +170,7 @@ def plan_parts(prints: DataFrame, distance: int) -> list[Part]:
                 growth = chance / max(chance[0], 1e-300)
                 probes = np.cumsum([_choose(len(bits), t) for t in range(distance + 1)])
                 # A probe and a stored key cost a shuffled row each, a candidate a comparison.
-                costs.append([0.0, *(n * (probes + 1) + np.maximum(same.get(k, 0.0), n * n / 2 * chance[0]) * growth)])
+                costs.append([0.0, *(max(1, n) * (probes + 1) + np.maximum(same.get(k, 0.0), n * n / 2 * chance[0]) * growth)])
         cost, thresholds = allocate(costs, distance + 1)
         if best is None or cost < best[0]:
             best = (cost, [Part(bits, t) for bits, t in zip(groups, thresholds) if t >= 0])
