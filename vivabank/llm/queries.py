@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality, toxicity
+from . import chat, mixing, oracles, quality, toxicity
+from .divergence import audit_sources
 from .embeddings import link_vectors
 from .inner_products import top_products
 from .labelled import held_out
@@ -97,10 +98,14 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"), least=30, k=50)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_token_counts, op2_simhash, op3_embeddings, op4_toxicity, op5_packing, op6_products, op7_quality, op8_mixing,
-        op9_licenses, op10_chat,
+        op9_licenses, op10_chat, op13_divergence,
     )
     return {f.__name__: f for f in every}
 
@@ -205,4 +210,4 @@ from scored qualify rank <= 20
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op3_embeddings": OP3, "op6_products": OP6, "op8_mixing": OP8, "op10_chat": OP10}
+    return {"op3_embeddings": OP3, "op6_products": OP6, "op8_mixing": OP8, "op10_chat": OP10, "op13_divergence": oracles.OP13}
