@@ -15,6 +15,7 @@ from .inner_products import top_products
 from .labelled import held_out
 from .licenses import scan_licenses
 from .packing import pack_documents
+from .prefix_trie import conversation_trie
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 
@@ -98,6 +99,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_sources(table(spark, sf_dir, "documents"), least=30, k=50)
 
@@ -105,7 +110,7 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_token_counts, op2_simhash, op3_embeddings, op4_toxicity, op5_packing, op6_products, op7_quality, op8_mixing,
-        op9_licenses, op10_chat, op13_divergence,
+        op9_licenses, op10_chat, op11_prefix_trie, op13_divergence,
     )
     return {f.__name__: f for f in every}
 
@@ -210,4 +215,4 @@ from scored qualify rank <= 20
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op3_embeddings": OP3, "op6_products": OP6, "op8_mixing": OP8, "op10_chat": OP10, "op13_divergence": oracles.OP13}
+    return {"op3_embeddings": OP3, "op6_products": OP6, "op8_mixing": OP8, "op10_chat": OP10, "op11_prefix_trie": oracles.OP11, "op13_divergence": oracles.OP13}
