@@ -14,6 +14,7 @@ from .embeddings import link_vectors
 from .inner_products import top_products
 from .labelled import held_out
 from .licenses import scan_licenses
+from .main_text import extract_pages
 from .packing import pack_documents
 from .prefix_trie import conversation_trie
 from .simhash import near_duplicates
@@ -103,6 +104,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_sources(table(spark, sf_dir, "documents"), least=30, k=50)
 
@@ -110,7 +115,8 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_token_counts, op2_simhash, op3_embeddings, op4_toxicity, op5_packing, op6_products, op7_quality, op8_mixing,
-        op9_licenses, op10_chat, op11_prefix_trie, op13_divergence,
+        op9_licenses, op10_chat, op11_prefix_trie, op12_html_extraction,
+        op13_divergence,
     )
     return {f.__name__: f for f in every}
 
