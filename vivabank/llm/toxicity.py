@@ -178,25 +178,81 @@ def learn(
     return best[1]
 
 
-class _Words(dict):
-    """Word -> (sum of its buckets' values, number of its buckets)."""
+_STEP = np.array([_hash(bytes([b]), 0xFFFFFFFF) ^ 0xFFFFFFFF for b in range(256)], np.uint32)
 
-    MOST = 300_000
+
+def subwords_of_all(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, places in ``words``) of what ``subwords`` gives for words that are lower-case cores already.
+
+    The checksums of all grams advance together, byte by byte. A gram that occurs before in its word is
+    left out; equal longer grams begin with equal short ones, so only those are compared.
+    """
+    marked = [b"<%b>" % w for w in words]
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    flat = np.frombuffer(b"".join(marked) + bytes(4), np.uint8)
+    total = len(flat) - 4
+    owner = np.repeat(np.arange(len(marked)), sizes)
+    place = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    left = np.repeat(sizes, sizes) - place
+    short = flat[:total].astype(np.uint32) | flat[1 : total + 1].astype(np.uint32) << 8 | flat[2 : total + 2].astype(np.uint32) << 16
+    again = {n: np.zeros(total, bool) for n in (3, 4, 5)}
+    here, shift = np.nonzero((left >= 3) & (place >= 1))[0], 1
+    while len(here):
+        same = here[short[here] == short[here - shift]]
+        for n in (3, 4, 5):
+            if n > 3:
+                same = same[(left[same] >= n) & (flat[same + n - 1] == flat[same - shift + n - 1])]
+            again[n][same] = True
+        shift += 1
+        here = here[place[here] >= shift]
+    state = np.full(total, 0xFFFFFFFF, np.uint32)
+    found, owners = [], []
+    for n in range(1, 6):
+        state = _STEP[(state ^ flat[n - 1 : n - 1 + total]) & 0xFF] ^ (state >> 8)
+        if n >= 3:
+            at = np.nonzero((left >= n) & ~again[n])[0]
+            found.append((state[at] ^ 0xFFFFFFFF).astype(np.int64) % buckets)
+            owners.append(owner[at])
+    # A word of up to five bytes, marks included, is one of its own grams.
+    whole = np.nonzero(sizes > 5)[0]
+    found.append(np.fromiter((_hash(marked[i]) for i in whole), np.int64, len(whole)) % buckets)
+    owners.append(whole)
+    return np.concatenate(found), np.concatenate(owners)
+
+
+class _Words:
+    """Word -> (sum of its buckets' values, number of its buckets), as a complex number."""
+
+    MOST, LONGEST, TOGETHER = 300_000, 64, 1 << 15
 
     def __init__(self, model: Model):
-        super().__init__()
         known = np.ones(len(model.values), bool) if model.known is None else model.known
-        self.values = np.where(known, model.values, 0).astype(float).tolist()
-        self.counts, self.buckets = known.astype(int).tolist(), len(model.values)
-
-    def __missing__(self, word: bytes) -> complex:
-        ids = subwords(word, self.buckets)
-        made = complex(sum([self.values[i] for i in ids]), sum([self.counts[i] for i in ids]))
-        if len(word) <= 64:
-            if len(self) >= self.MOST:
-                self.clear()
-            self[word] = made
-        return made
+        self.values, self.counts = np.where(known, model.values, 0).astype(float), known.astype(float)
+        self.words: dict[bytes, complex] = {}
+        self.cores: dict[bytes, complex] = {}
+
+    def lookup(self, words: set[bytes]) -> dict[bytes, complex]:
+        """A table that holds all of ``words``. What it keeps is a cache: cleared when full, without effect on results."""
+        if len(self.words) > self.MOST:
+            self.words.clear()
+        if len(self.cores) > self.MOST:
+            self.cores.clear()
+        new = list(words - self.words.keys())
+        cores = [w.lower().strip(_AROUND) or w.lower() for w in new]
+        unseen = list(set(cores) - self.cores.keys())
+        for i in range(0, len(unseen), self.TOGETHER):
+            part = unseen[i : i + self.TOGETHER]
+            at, owner = subwords_of_all(part, len(self.values))
+            sums = np.bincount(owner, self.values[at], len(part)) + 1j * np.bincount(owner, self.counts[at], len(part))
+            self.cores.update(zip(part, sums.tolist()))
+        self.words.update(zip(new, map(self.cores.__getitem__, cores)))
+        return self.words
+
+    def forget_long(self, words: set[bytes]) -> None:
+        for w in words:
+            if len(w) > self.LONGEST:
+                self.words.pop(w, None)
+                self.cores.pop(w.lower().strip(_AROUND) or w.lower(), None)
 
 
 def scorer(model: Model):
@@ -205,9 +261,12 @@ def scorer(model: Model):
 
     def score(texts: list[bytes]) -> np.ndarray:
         z = np.empty(len(texts))
-        for i, text in enumerate(texts):
-            own = text.split()
-            z[i] = model.bias + _worst(window_sums(np.fromiter(map(words.__getitem__, own), complex, len(own))))[0]
+        split = [t.split() for t in texts]
+        every = set().union(*split)
+        value = words.lookup(every).__getitem__
+        for i, own in enumerate(split):
+            z[i] = model.bias + _worst(window_sums(np.fromiter(map(value, own), complex, len(own))))[0]
+        words.forget_long(every)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     return score
