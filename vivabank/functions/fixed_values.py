@@ -159,12 +159,25 @@ Score:"""
 TIERS = ["P", "M", "W"]
 TIER_NAMES = {"P": "Perfect", "M": "Partial", "W": "Wrong"}
 TIER_EXPECTED = {"P": 9.0, "M": 5.5, "W": 1.0}
+TIER_P_FROM, TIER_M_FROM = 8, 4
+# Marks that count as right for a tier, both ends included.
+TIER_RIGHT = {"P": (7, 10), "M": (3, 7), "W": (0, 3)}
 
 # Sessions ------------------------------------------------------
 
 PHASE_LIMITS = {"Easy": 5, "Medium": 8, "Hard": 5}
 PASS_THRESHOLD = 0.70
 STRONG_HIRE, LEANING_HIRE, NO_HIRE = "STRONG HIRE", "LEANING HIRE", "NO HIRE"
+STRONG_HIRE_FROM, LEANING_HIRE_FROM = 80, 60
+STRONG_HIRE_ADVICE = "STRONG HIRE"
+LEANING_HIRE_ADVICE = "LEANING HIRE (Requires further review)"
+NO_HIRE_ADVICE = "NO HIRE (Needs more foundational study)"
+EASY_DONE = "Easy round complete. Advancing to Medium."
+HARD_DONE = "Hard round complete. Interview finished!"
+MEDIUM_DONE, MEDIUM_PASSED, MEDIUM_FAILED = (
+    "Medium round complete ({ratio}). ", "Advancing to Hard.", "Below threshold ({threshold}). Interview concluded.",
+)
+BAND_PASS_FROM, BAND_SIGNAL_FROM = 7, 4
 QUIT_WORD = "quit"
 STEPS_PER_EPOCH = 750
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fixed_values import (
-    LEANING_HIRE, LEVELS, NO_HIRE, PASS_THRESHOLD, PHASE_LIMITS, STRONG_HIRE, TIER_EXPECTED, TIER_NAMES,
+    BAND_PASS_FROM, BAND_SIGNAL_FROM, EASY_DONE, HARD_DONE, LEANING_HIRE, LEANING_HIRE_ADVICE, LEANING_HIRE_FROM, LEVELS,
+    MEDIUM_DONE, MEDIUM_FAILED, MEDIUM_PASSED, NO_HIRE, NO_HIRE_ADVICE, PASS_THRESHOLD, PHASE_LIMITS, STRONG_HIRE,
+    STRONG_HIRE_ADVICE, STRONG_HIRE_FROM, TIER_EXPECTED, TIER_M_FROM, TIER_NAMES, TIER_P_FROM, TIER_RIGHT,
 )
 
 
@@ -19,32 +21,69 @@ def round_half_even(c: Column, places: int) -> Column:
     return F.bround(c, places)
 
 
+def _by_percentage(pct: Column, strong: str, leaning: str, no: str) -> Column:
+    return F.when(pct >= STRONG_HIRE_FROM, F.lit(strong)).when(pct >= LEANING_HIRE_FROM, F.lit(leaning)).otherwise(F.lit(no))
+
+
 def verdict(pct: Column) -> Column:
     """Verdict on the unrounded percentage."""
-    return (
-        F.when(pct >= 80, F.lit(STRONG_HIRE)).when(pct >= 60, F.lit(LEANING_HIRE)).otherwise(F.lit(NO_HIRE))
+    return _by_percentage(pct, STRONG_HIRE, LEANING_HIRE, NO_HIRE)
+
+
+def verdict_advice(pct: Column) -> Column:
+    """The verdict with its advice, as the session overview prints it."""
+    return _by_percentage(pct, STRONG_HIRE_ADVICE, LEANING_HIRE_ADVICE, NO_HIRE_ADVICE)
+
+
+def places(x: Column, n: int) -> Column:
+    """A number with ``n`` decimal places, half to even."""
+    return F.format_string(f"%.{n}f", F.bround(x, n))
+
+
+def overall_line(total: Column, possible: Column) -> Column:
+    """The result line of the session overview; null if nothing was asked."""
+    line = F.concat(
+        F.lit("Overall Result: "), places(total.cast("double"), 1), F.lit(" / "), possible.cast("string"), F.lit(" ("),
+        places(percentage(total, possible), 1), F.lit("%)"),
     )
+    return F.when(possible > 0, line)
+
+
+def lost_line(question: Column, score: Column) -> Column:
+    """The two lines of the session overview on a question that lost marks."""
+    marks = F.lit(10) - score
+    return F.concat(
+        F.lit("- Q: "), question, F.lit("\n  Score: "), score.cast("string"), F.lit("/10 (-"), marks.cast("string"), F.lit(" marks)")
+    )
+
+
+def grouped(n: Column) -> Column:
+    """A whole number with separators between thousands."""
+    return F.format_number(n, 0)
 
 
 def score_band(score: Column) -> Column:
-    return F.when(score >= 7, F.lit("pass")).when(score >= 4, F.lit("signal")).otherwise(F.lit("fail"))
+    return (
+        F.when(score >= BAND_PASS_FROM, F.lit("pass")).when(score >= BAND_SIGNAL_FROM, F.lit("signal")).otherwise(F.lit("fail"))
+    )
 
 
 def predicted_tier(score: Column) -> Column:
-    return F.when(score >= 8, F.lit("P")).when(score >= 4, F.lit("M")).otherwise(F.lit("W"))
+    return F.when(score >= TIER_P_FROM, F.lit("P")).when(score >= TIER_M_FROM, F.lit("M")).otherwise(F.lit("W"))
 
 
 def tier_is_correct(tier: Column, score: Column) -> Column:
     """Wider bounds than ``predicted_tier``: 7 passes as P, 3 counts for M and W."""
+    (best, _), (low, high), (_, worst) = TIER_RIGHT["P"], TIER_RIGHT["M"], TIER_RIGHT["W"]
     return (
-        F.when(tier == "P", score >= 7)
-        .when(tier == "M", score.between(3, 7))
-        .when(tier == "W", score <= 3)
+        F.when(tier == "P", score >= best)
+        .when(tier == "M", score.between(low, high))
+        .when(tier == "W", score <= worst)
         .otherwise(F.lit(False))
     )
 
 
-def _lookup(values: dict, key: Column) -> Column:
+def lookup(values: dict, key: Column) -> Column:
     out = F.lit(None)
     for name, value in values.items():
         out = F.when(key == name, F.lit(value)).otherwise(out)
@@ -52,20 +91,20 @@ def _lookup(values: dict, key: Column) -> Column:
 
 
 def tier_expected(tier: Column) -> Column:
-    return _lookup(TIER_EXPECTED, tier)
+    return lookup(TIER_EXPECTED, tier)
 
 
 def tier_name(tier: Column) -> Column:
-    return _lookup(TIER_NAMES, tier)
+    return lookup(TIER_NAMES, tier)
 
 
 def phase_limit(level: Column) -> Column:
-    return _lookup(PHASE_LIMITS, level)
+    return lookup(PHASE_LIMITS, level)
 
 
 def level_order(level: Column) -> Column:
     """1, 2, 3 for Easy, Medium, Hard."""
-    return _lookup({name: place for place, name in enumerate(LEVELS, 1)}, level)
+    return lookup({name: place for place, name in enumerate(LEVELS, 1)}, level)
 
 
 def phase_tag(level: Column) -> Column:
@@ -87,16 +126,11 @@ def whole_percent(ratio: Column) -> Column:
     return F.concat(F.bround(ratio * F.lit(100.0), 0).cast("int").cast("string"), F.lit("%"))
 
 
-EASY_DONE = "Easy round complete. Advancing to Medium."
-HARD_DONE = "Hard round complete. Interview finished!"
-
-
 def medium_done(ratio: Column, passed: Column) -> Column:
-    head = F.concat(F.lit("Medium round complete ("), whole_percent(ratio), F.lit("). "))
-    tail = F.when(passed, F.lit("Advancing to Hard.")).otherwise(
-        F.lit(f"Below threshold ({PASS_THRESHOLD * 100:.0f}%). Interview concluded.")
-    )
-    return F.concat(head, tail)
+    head, tail = MEDIUM_DONE.split("{ratio}")
+    failed = MEDIUM_FAILED.format(threshold=f"{PASS_THRESHOLD * 100:.0f}%")
+    outcome = F.when(passed, F.lit(MEDIUM_PASSED)).otherwise(F.lit(failed))
+    return F.concat(F.lit(head), whole_percent(ratio), F.lit(tail), outcome)
 
 
 def loss_reduction(first: Column, last: Column) -> Column:

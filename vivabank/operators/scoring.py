@@ -19,6 +19,7 @@ from ..functions.fixed_values import (
 from ..functions.parsing import parse_numeric, parse_tagged
 from ..functions.prompts import eval_prompt, live_prompt
 from ..functions.text import has_three_words, keywords, overlap_ratio, strip, text_or
+from ..sources.durable import durable
 
 # Loads a model and returns the function that answers a list of prompts.
 ModelFactory = Callable[[], Callable[[list[str]], list[str]]]
@@ -133,7 +134,8 @@ def call_model(
 
     A model call costs far more than moving a row: ``spread`` sets the number of
     tasks, as a file split may hold too many prompts for one. ``timed`` also
-    adds ``latency_ms``, the call's wall time shared among its rows.
+    adds ``latency_ms``, the call's wall time shared among its rows. A row without
+    a prompt is not asked and has no reply.
     """
     if spread:
         df = df.repartition(spread)  # evenly, whatever the prompts are
@@ -148,8 +150,11 @@ def call_model(
         for batch in batches:
             for at in range(0, len(batch), batch_size):
                 part = batch.iloc[at : at + batch_size].copy()
+                asked = part[prompt].notna()
                 begin = time.perf_counter()
-                part[reply] = model(part[prompt].tolist())
+                part[reply] = pd.Series(None, part.index, object)
+                if asked.any():
+                    part.loc[asked, reply] = pd.Series(model(part.loc[asked, prompt].tolist()), part.index[asked], object)
                 if timed:
                     part["latency_ms"] = (time.perf_counter() - begin) * 1000.0 / len(part)
                 yield part
@@ -157,31 +162,80 @@ def call_model(
     return df.mapInPandas(answer, T.StructType(fields))
 
 
-def score_answers(
-    df: DataFrame,
+#: Rows with one prompt from which on they are dealt over ``SHARES`` groups to meet its reply.
+HOT_PROMPT, SHARES = 100_000, 64
+
+
+def call_model_once(df: DataFrame, prompt: str, factory: ModelFactory, *, reply: str = "reply", **options) -> DataFrame:
+    """As ``call_model``, with one call per distinct prompt.
+
+    Prompts meet by a digest, counted before the shuffle, and replies are joined back. The rows of a prompt
+    that very many share are dealt over several groups, each with a copy of the reply. For a model that
+    answers a prompt the same way each time.
+    """
+    key = F.unhex(F.sha2(F.col(prompt).cast("binary"), 256))
+    rows = durable(df.withColumn("_key", key), "prompts")
+    asked = rows.where(F.col(prompt).isNotNull()).groupBy("_key").agg(F.any_value(prompt).alias(prompt), F.count(F.lit(1)).alias("_n"))
+    replies = durable(call_model(asked, prompt, factory, reply=reply, **options).drop(prompt), "replies")
+    # As many rows at most as the table has rows by HOT_PROMPT; how they meet the table is left to their size.
+    hot = durable(replies.where(F.col("_n") >= HOT_PROMPT).select("_key", F.lit(True).alias("_hot")), "hot-prompts")
+    every = F.sequence(F.lit(0), F.when(F.col("_n") >= HOT_PROMPT, F.lit(SHARES - 1)).otherwise(F.lit(0)))
+    shares = replies.drop("_n").withColumn("_share", F.explode(every))
+    dealt = rows.join(hot, "_key", "left").withColumn(
+        "_share", F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SHARES))).otherwise(F.lit(0)).cast("int")
+    )
+    return dealt.join(shares, ["_key", "_share"], "left").drop("_key", "_share", "_hot")
+
+
+def live_prompts(guarded: DataFrame, asked: Column, question: str = "question", reference: str = "reference", answer: str = "answer") -> DataFrame:
+    """Add ``_prompt``, null where ``asked`` does not hold."""
+    prompt = live_prompt(text_or(F.col(question), "nan"), text_or(F.col(reference), "nan"), text_or(F.col(answer), ""))
+    return guarded.withColumn("_prompt", F.when(asked, prompt))
+
+
+def judged(replies: DataFrame, reply: str = "_reply") -> DataFrame:
+    """Score and feedback out of the replies, where there is one; the rules read them stripped, as the model runtime gives them."""
+    score, feedback = parse_tagged(strip(F.col(reply)))
+    told = F.col(reply).isNotNull()
+    return replies.withColumns({
+        "score": F.when(told, score).otherwise(F.col("score")), "feedback": F.when(told, feedback).otherwise(F.col("feedback")),
+    })
+
+
+def score_routed(
+    guarded: DataFrame,
     factory: ModelFactory,
     *,
     question: str = "question",
     reference: str = "reference",
     answer: str = "answer",
+    once: bool = False,
     **model_options,
 ) -> DataFrame:
-    """Add route, score and feedback of every answer, live rules.
+    """Score and feedback of the rows that ``guard_live`` left to the model.
 
     Rows a guard decided never reach Python: the table is split on the route and
     put together again, because ``when`` around a Python function would call it
-    for every row.
+    for every row. Give a written table, as it is read twice. With ``once`` equal
+    prompts are asked once.
+    """
+    prompts = live_prompts(guarded.where("route = 'model'"), F.lit(True), question, reference, answer)
+    call = call_model_once if once else call_model
+    replies = judged(call(prompts, "_prompt", factory, reply="_reply", **model_options))
+    return guarded.where("route <> 'model'").unionByName(replies.select(guarded.columns))
+
+
+def score_answers(
+    df: DataFrame, factory: ModelFactory, *, reference: str = "reference", answer: str = "answer", **options
+) -> DataFrame:
+    """Add route, score and feedback of every answer, live rules; see ``score_routed``.
+
+    Routes are written once, so that the source is read and guarded once; a stream is guarded in both parts.
     """
     guarded = guard_live(df, answer, reference)
-    prompts = guarded.where("route = 'model'").withColumn(
-        "_prompt",
-        live_prompt(text_or(F.col(question), "nan"), text_or(F.col(reference), "nan"), text_or(F.col(answer), "")),
-    )
-    replies = call_model(prompts.drop("score", "feedback"), "_prompt", factory, reply="_reply", **model_options)
-    # The rules read the reply stripped, as the model runtime returns it.
-    score, feedback = parse_tagged(strip(F.col("_reply")))
-    judged = replies.withColumns({"score": score, "feedback": feedback}).drop("_prompt", "_reply")
-    return guarded.where("route <> 'model'").unionByName(judged.select(guarded.columns), allowMissingColumns=True)
+    if not df.isStreaming:
+        guarded = durable(guarded, "routes")
+    return score_routed(guarded, factory, reference=reference, answer=answer, **options)
 
 
 def score_benchmark(

@@ -1,30 +1,40 @@
 """Assessment sessions: ordered answers folded through Easy, Medium and Hard.
 
-A session never uses more answers than the phase limits add up to (18). The log
-is cut to that many rows per session before the shuffle (Spark pushes the row
+A session never uses more answers than the lengths of its phases add up to. The
+log is cut to that many rows per session before the shuffle (Spark pushes the row
 number limit there), so everything after it works on small groups, and a session
 that holds a large share of the log costs no more than any other.
 
 Tables: ``log`` has session, seq, score and may have answer; ``limits`` has
 session, easy, medium, hard — the questions a session can get per phase, when a
-pool may run out.
+pool may run out. ``phases`` are the full lengths of the phases, the same for all
+sessions and for every function that works on one log; ``blank`` tells whether a
+blank answer is skipped or counts with no marks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..functions.fixed_values import MAX_MARKS, PASS_THRESHOLD, PHASE_LIMITS, QUIT_WORD
+from ..functions.fixed_values import LEVELS, MAX_MARKS, PASS_THRESHOLD, PHASE_LIMITS, QUIT_WORD
 from ..functions.text import strip, text_or
 
-MAX_ANSWERS = sum(PHASE_LIMITS.values())
-# The Medium average counts every question of the phase, asked or not.
-_MEDIUM_FULL = PHASE_LIMITS["Medium"] * MAX_MARKS
-_MEDIUM_PASS = round(PASS_THRESHOLD * _MEDIUM_FULL)
+Phases = Mapping[str, int]
+
+
+def medium_full(phases: Phases = PHASE_LIMITS) -> int:
+    """Marks of a full Medium phase: its average counts every question, asked or not."""
+    return phases["Medium"] * MAX_MARKS
+
+
+def medium_pass(phases: Phases = PHASE_LIMITS) -> int:
+    """Least marks that pass Medium."""
+    return math.ceil(round(PASS_THRESHOLD * medium_full(phases), 6))
 
 
 def _phases() -> tuple[Column, Column, Column]:
@@ -40,7 +50,7 @@ def is_blank(answer: Column) -> Column:
     return strip(text_or(answer, "")) == ""
 
 
-def _first_rows(log: DataFrame, blank: str) -> DataFrame:
+def usable_rows(log: DataFrame, blank: str = "skip", phases: Phases = PHASE_LIMITS) -> DataFrame:
     """The first rows of every session that ``blank`` leaves, as many as a session can use."""
     if blank not in ("skip", "score"):
         raise ValueError(f"unknown choice {blank!r} for blank")
@@ -50,16 +60,18 @@ def _first_rows(log: DataFrame, blank: str) -> DataFrame:
         elif "score" in log.columns:
             log = log.withColumn("score", F.when(is_blank(F.col("answer")), F.lit(0)).otherwise(F.col("score")))
     order = Window.partitionBy("session").orderBy("seq")
-    return log.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= MAX_ANSWERS)
+    return log.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= sum(phases.values()))
 
 
-def first_answers(log: DataFrame, quit_ends: bool = False, blank: str = "skip") -> DataFrame:
+def first_answers(
+    log: DataFrame, quit_ends: bool = False, blank: str = "skip", phases: Phases = PHASE_LIMITS
+) -> DataFrame:
     """The answers a session can use, with their 1-based ``pos``.
 
     Blank answers are ignored, or count with no marks (``blank="score"``). With ``quit_ends``
     the word quit ends the session: that row and all later ones are dropped.
     """
-    first = _first_rows(log, blank)
+    first = usable_rows(log, blank, phases)
     if quit_ends:
         so_far = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         quitting = F.max(is_quit(F.col("answer")).cast("int")).over(so_far)
@@ -67,13 +79,13 @@ def first_answers(log: DataFrame, quit_ends: bool = False, blank: str = "skip")
     return first
 
 
-def _with_limits(first: DataFrame, limits: DataFrame | None, on_empty_easy: str) -> DataFrame:
+def _with_limits(first: DataFrame, limits: DataFrame | None, on_empty_easy: str, phases: Phases) -> DataFrame:
     """Add the phase lengths _e, _m, _h of every session."""
     if limits is None:
-        return first.withColumns({c: F.lit(PHASE_LIMITS[x]) for c, x in zip(("_e", "_m", "_h"), PHASE_LIMITS)})
+        return first.withColumns({c: F.lit(phases[x]) for c, x in zip(("_e", "_m", "_h"), LEVELS)})
     capped = limits.select(
         "session",
-        *[F.least(F.col(x.lower()), F.lit(n)).cast("int").alias(c) for c, (x, n) in zip(("_e", "_m", "_h"), PHASE_LIMITS.items())],
+        *[F.least(F.col(x.lower()), F.lit(phases[x])).cast("int").alias(c) for c, x in zip(("_e", "_m", "_h"), LEVELS)],
     )
     if on_empty_easy == "reject":
         capped = capped.where("_e > 0")
@@ -94,14 +106,18 @@ def _level_and_place(df: DataFrame) -> DataFrame:
     return df.withColumn("level", level).withColumn("q_num", (F.col("pos") - before).cast("int"))
 
 
-def place_answers(first: DataFrame, limits: DataFrame | None = None, on_empty_easy: str = "reject") -> DataFrame:
+def place_answers(
+    first: DataFrame, limits: DataFrame | None = None, on_empty_easy: str = "reject", phases: Phases = PHASE_LIMITS
+) -> DataFrame:
     """Level and q_num of answers not scored yet, as far as the phases go."""
     easy, med, hard = _phases()
-    placed = _with_limits(first, limits, on_empty_easy).where(F.col("pos") <= easy + med + hard)
+    placed = _with_limits(first, limits, on_empty_easy, phases).where(F.col("pos") <= easy + med + hard)
     return _level_and_place(placed).drop("_e", "_m", "_h", "pos")
 
 
-def used_answers(first: DataFrame, limits: DataFrame | None = None, on_empty_easy: str = "reject") -> DataFrame:
+def used_answers(
+    first: DataFrame, limits: DataFrame | None = None, on_empty_easy: str = "reject", phases: Phases = PHASE_LIMITS
+) -> DataFrame:
     """Answers that count, with level, q_num and the state of the Medium gate.
 
     Medium is passed on the sum of its scores against the full phase, so a pool
@@ -111,17 +127,17 @@ def used_answers(first: DataFrame, limits: DataFrame | None = None, on_empty_eas
     session = Window.partitionBy("session")
     medium = F.col("pos").between(easy + 1, easy + med)
     gated = (
-        _with_limits(first, limits, on_empty_easy)
+        _with_limits(first, limits, on_empty_easy, phases)
         .withColumn("_medium_sum", F.coalesce(F.sum(F.when(medium, F.col("score"))).over(session), F.lit(0)))
         .withColumn("_n", F.count(F.lit(1)).over(session))
     )
-    passed = (F.col("_n") >= easy + med) & (F.col("_medium_sum") >= _MEDIUM_PASS)
+    passed = (F.col("_n") >= easy + med) & (F.col("_medium_sum") >= medium_pass(phases))
     gated = gated.withColumn("_passed", passed)
     last = F.when(F.col("_passed"), easy + med + hard).otherwise(easy + med)
     return _level_and_place(gated.where(F.col("pos") <= last))
 
 
-def session_turns(used: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+def session_turns(used: DataFrame, extra: Sequence[str] = (), phases: Phases = PHASE_LIMITS) -> DataFrame:
     """State of the session after each used answer.
 
     next_level and next_q_num describe the next question; next_q_num is null
@@ -134,7 +150,7 @@ def session_turns(used: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     # Easy may end with no Medium question to ask: Medium then ends in the same turn.
     ends_medium = pos == easy + med
     ends_hard = (pos == easy + med + hard) & F.col("_passed")
-    ratio = F.col("_medium_sum") / F.lit(float(_MEDIUM_FULL))
+    ratio = F.col("_medium_sum") / F.lit(float(medium_full(phases)))
     message = (
         F.when(ends_hard, F.lit(labels.HARD_DONE))
         .when(ends_medium, labels.medium_done(ratio, F.col("_passed")))
@@ -167,6 +183,7 @@ def session_fold(
     quit_ends: bool = False,
     on_empty_easy: str = "reject",
     blank: str = "skip",
+    phases: Phases = PHASE_LIMITS,
 ) -> DataFrame:
     """Last state of every session with an answer: (session, difficulty, answered, total,
     possible, pct, done, verdict). The verdict is null while a session is open.
@@ -174,10 +191,10 @@ def session_fold(
     With ``quit_ends`` there is also ``ended`` (done, or the session quit): a session that quit
     gets its verdict on what it answered, and one that quit at once stays, without a verdict.
     """
-    folded = close_sessions(used_answers(first_answers(log, quit_ends, blank), limits, on_empty_easy))
+    folded = close_sessions(used_answers(first_answers(log, quit_ends, blank, phases), limits, on_empty_easy, phases))
     if not quit_ends:
         return folded
-    quitting = _with_limits(_first_rows(log, blank).where(is_quit(F.col("answer"))), limits, on_empty_easy)
+    quitting = _quitting(log, blank, limits, on_empty_easy, phases)
     quits = quitting.select(
         "session", (F.col("_e") > 0).alias("_quit_easy"), (F.col("_e") + F.col("_m") == 0).alias("_quit_done")
     ).distinct()
@@ -201,6 +218,11 @@ def session_fold(
     )
 
 
+def _quitting(log: DataFrame, blank: str, limits: DataFrame | None, on_empty_easy: str, phases: Phases) -> DataFrame:
+    """Rows with the word quit, among those that a session can use."""
+    return _with_limits(usable_rows(log, blank, phases).where(is_quit(F.col("answer"))), limits, on_empty_easy, phases)
+
+
 def _end_state() -> tuple[Column, Column]:
     """(difficulty, done) from the answer count and the gate, grouped by session."""
     easy, med, hard = _phases()
@@ -255,9 +277,21 @@ def lost_items(*more: str) -> Column:
     return F.array_sort(F.collect_list(F.when(F.col("score") < MAX_MARKS, item)))
 
 
-def session_report(log: DataFrame, limits: DataFrame | None = None, *, quit_ends: bool = False) -> DataFrame:
-    """Wrap-up record per session: fold, last score and message, history and lost marks."""
-    used = used_answers(first_answers(log, quit_ends), limits)
+def session_report(
+    log: DataFrame,
+    limits: DataFrame | None = None,
+    *,
+    quit_ends: bool = False,
+    on_empty_easy: str = "reject",
+    blank: str = "skip",
+    phases: Phases = PHASE_LIMITS,
+) -> DataFrame:
+    """Wrap-up record per session: fold, last score and message, history and lost marks.
+
+    Items carry question, answer and feedback where the log has them. With ``quit_ends`` a session
+    that quit has ``ended`` and its verdict; one that quit at once has an empty history.
+    """
+    used = used_answers(first_answers(log, quit_ends, blank, phases), limits, on_empty_easy, phases)
     more = [c for c in ("question", "answer", "feedback") if c in used.columns]
     last = F.max_by("score", "pos").alias("last_score")
     phase = F.max("_medium_sum").alias("medium_score")
@@ -266,9 +300,20 @@ def session_report(log: DataFrame, limits: DataFrame | None = None, *, quit_ends
         lost_items(*[c for c in more if c == "question"]).alias("lost_marks"),
     )
     closing = F.when(F.col("difficulty") == "Hard", F.lit(labels.HARD_DONE)).otherwise(
-        labels.medium_done(F.col("medium_score") / F.lit(float(_MEDIUM_FULL)), F.lit(False))
+        labels.medium_done(F.col("medium_score") / F.lit(float(medium_full(phases))), F.lit(False))
     )
-    return report.withColumn("message", F.when(F.col("done"), closing))
+    report = report.withColumn("message", F.when(F.col("done"), closing))
+    if not quit_ends:
+        return report
+    ended = session_fold(
+        log, limits, quit_ends=True, on_empty_easy=on_empty_easy, blank=blank, phases=phases
+    )
+    details = report.select("session", "last_score", "medium_score", "history", "lost_marks", "message")
+    whole = ended.join(details, "session", "left")
+    kinds = {f.name: f.dataType for f in report.schema.fields}
+    return whole.withColumns({
+        c: F.coalesce(F.col(c), F.array().cast(kinds[c])) for c in ("history", "lost_marks")
+    })
 
 
 def wrapup_stats(report: DataFrame) -> DataFrame:
@@ -289,7 +334,13 @@ def wrapup_stats(report: DataFrame) -> DataFrame:
 
 
 def session_status(
-    starts: DataFrame, log: DataFrame, limits: DataFrame | None = None, plan: DataFrame | None = None
+    starts: DataFrame,
+    log: DataFrame,
+    limits: DataFrame | None = None,
+    plan: DataFrame | None = None,
+    *,
+    blank: str = "skip",
+    phases: Phases = PHASE_LIMITS,
 ) -> DataFrame:
     """Snapshot of every started session, with or without answers.
 
@@ -297,18 +348,25 @@ def session_status(
     keeps its last phase and points one past its end. With a question plan the
     open question is added as ``question_id``.
     """
-    turns = session_turns(used_answers(first_answers(log), limits))
+    turns = session_turns(used_answers(first_answers(log, False, blank, phases), limits, phases=phases), phases=phases)
     last = turns.groupBy("session").agg(
         F.max_by(F.struct("next_level", "next_q_num", "total", "possible", "done"), "pos").alias("s")
     )
     state = starts.join(last.select("session", "s.*"), "session", "left").withColumn(
         "difficulty", F.coalesce("next_level", F.lit("Easy"))
     )
-    total = labels.phase_limit(F.col("difficulty"))
+    return open_status(state, starts.columns, plan, phases)
+
+
+def open_status(
+    state: DataFrame, keep: Sequence[str], plan: DataFrame | None = None, phases: Phases = PHASE_LIMITS
+) -> DataFrame:
+    """The snapshot out of last states (difficulty, next_q_num, total, possible, done; null before an answer)."""
+    total = labels.lookup(phases, F.col("difficulty"))
     q_num = F.when(F.col("done"), total + 1).otherwise(F.coalesce("next_q_num", F.lit(1)))
     pct = labels.percentage(F.col("total"), F.col("possible"))
     status = state.select(
-        *starts.columns,
+        *keep,
         "difficulty",
         q_num.alias("q_num"),
         total.alias("phase_total"),
@@ -327,13 +385,13 @@ def session_status(
     return status.join(questions, ["session", "difficulty", "q_num"], "left").select(*status.columns, "question_id")
 
 
-def phase_flags(status: DataFrame) -> DataFrame:
+def phase_flags(status: DataFrame, phases: Phases = PHASE_LIMITS) -> DataFrame:
     """One row per session and phase: short name, question count, active and done flags."""
-    phases = F.explode(
-        F.array(*[F.struct(F.lit(x).alias("phase"), F.lit(n).alias("questions")) for x, n in PHASE_LIMITS.items()])
+    each = F.explode(
+        F.array(*[F.struct(F.lit(x).alias("phase"), F.lit(phases[x]).alias("questions")) for x in LEVELS])
     )
     place, now = labels.level_order(F.col("p.phase")), labels.level_order(F.col("difficulty"))
-    return status.select("session", "difficulty", phases.alias("p")).select(
+    return status.select("session", "difficulty", each.alias("p")).select(
         "session",
         labels.phase_tag(F.col("p.phase")).alias("phase"),
         F.col("p.questions").alias("questions"),
@@ -349,6 +407,7 @@ def answer_rejects(
     *,
     on_empty_easy: str = "reject",
     blank: str = "skip",
+    phases: Phases = PHASE_LIMITS,
 ) -> DataFrame:
     """Answers that are refused: (session, seq, reason).
 
@@ -357,8 +416,8 @@ def answer_rejects(
     refused. One row per session meets the log in a single left join, so that a session with a
     large share of the log can be split.
     """
-    known = _with_limits(starts.select("session").distinct(), limits, on_empty_easy).select("session", "_e", "_m")
-    used = used_answers(first_answers(log, blank=blank), limits, on_empty_easy)
+    known = _with_limits(starts.select("session").distinct(), limits, on_empty_easy, phases).select("session", "_e", "_m")
+    used = used_answers(first_answers(log, False, blank, phases), limits, on_empty_easy, phases)
     closed = close_sessions(used, F.max("seq").alias("last_seq")).where("done").select("session", "last_seq")
     # A session with nothing to ask before the gate is complete from the start.
     facts = known.join(closed, "session", "left").select(

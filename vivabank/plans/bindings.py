@@ -111,26 +111,33 @@ def log(spark: SparkSession, sf: str) -> DataFrame:
     return events_to_log(table(spark, sf, "events"))
 
 
-def events_to_log(events: DataFrame) -> DataFrame:
+def _word() -> Column:
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    answer = F.when(k < 6, F.lit("  ")).when(k.isin(50, 51), F.lit(" Quit ")).otherwise(F.col("event_type"))
+    return F.when(k < 6, F.lit("  ")).when(k.isin(50, 51), F.lit(" Quit ")).otherwise(F.col("event_type"))
+
+
+def events_to_log(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("user_id").alias("session"),
         F.col("event_id").alias("seq"),
         (10 - F.floor("value").cast("int") % 7).alias("score"),
-        answer.alias("answer"),
+        _word().alias("answer"),
         "ts",
     )
 
 
-def spoken(spark: SparkSession, sf: str) -> DataFrame:
+def spoken(spark: SparkSession, sf: str, kept: tuple[str, ...] = ("  ", "error")) -> DataFrame:
     """Answer log with whole sentences, not scored yet: session, seq, answer."""
+    return events_to_spoken(table(spark, sf, "events"), kept)
+
+
+def events_to_spoken(events: DataFrame, kept: tuple[str, ...] = ("  ", "error")) -> DataFrame:
+    """Answers that are one of the ``kept`` words stay as they are, others become sentences."""
     sentence = F.concat(F.lit("I would "), F.col("event_type"), F.lit(" it with "), F.col("props"))
-    answers = log(spark, sf).drop("score", "ts").withColumnRenamed("answer", "word")
-    texts = table(spark, sf, "events").select(F.col("event_id").alias("seq"), sentence.alias("sentence"))
-    return answers.join(texts, "seq").select(
-        "session", "seq",
-        F.when(F.col("word").isin("  ", "error"), F.col("word")).otherwise(F.col("sentence")).alias("answer"),
+    word = _word()
+    return events.select(
+        F.col("user_id").alias("session"), F.col("event_id").alias("seq"),
+        F.when(word.isin(*kept), word).otherwise(sentence).alias("answer"),
     )
 
 
@@ -146,7 +153,11 @@ def limits(spark: SparkSession, sf: str) -> DataFrame:
 
 def starts(spark: SparkSession, sf: str) -> DataFrame:
     """Start requests of all suppliers: session, domain; some domains do not exist."""
-    return table(spark, sf, "supplier").select(
+    return suppliers_to_starts(table(spark, sf, "supplier"))
+
+
+def suppliers_to_starts(suppliers: DataFrame) -> DataFrame:
+    return suppliers.select(
         F.col("s_suppkey").alias("session"),
         pick(F.col("s_nationkey") % 6, DOMAINS + ["ai/ml"], F.lit("Cloud")).alias("domain"),
     )

@@ -444,6 +444,11 @@ def _numeric_score() -> str:
 
 
 _LOG = ["log", "first"]
+_MARKED = """select *, case level when 'Easy' then 0 when 'Medium' then e else e + m end as start,
+                         pos = e + m + h and passed as ends_hard,
+                         (pos = e + m + h and passed) or (pos = e + m and not passed) as done,
+                         case when pos = e + m and passed then 'Hard' when pos = e then 'Medium' else level end as next_level
+                  from used"""
 CTES["accepted"] = "select session, domain from starts where domain in (select Domain from bank)"
 _ACCEPTED = ["pairs", "bank", "starts", "accepted"]
 _STATUS_STAGES = {
@@ -461,6 +466,73 @@ _STATUS_STAGES = {
 }
 
 
+def _interviews(first: str, words: tuple[str, ...]) -> dict[str, str]:
+    """CTEs from sessions and spoken answers to used and folded: plan, pairs, guards, the stub's replies, scores."""
+    guards = _guards()
+    return {
+        **plan("sessions"),
+        "plan_limits": """select session, count(*) filter (level = 'Easy') as easy, count(*) filter (level = 'Medium') as medium,
+                              count(*) filter (level = 'Hard') as hard from plan group by session""",
+        "reachable": """select session, least(easy, 5) as easy, least(medium, 8) as medium, least(hard, 5) as hard
+                     from plan_limits where easy > 0""",
+        "log": f"""
+            select session, seq, case when word in {listed(words)} then word else 'I would ' || event_type || ' it with ' || props end as answer
+            from (select *, user_id as session, event_id as seq,
+                         case when k < 6 then '  ' when k in (50, 51) then ' Quit ' else event_type end as word
+                  from (select *, regexp_extract(props, '([0-9]+)', 1)::int as k from events))""",
+        "first": CTES["first"],
+        "first_quit": CTES["first_quit"],
+        "spoken": f"select * from {first}",
+        "placed": """select *, case when pos <= easy then 'Easy' when pos <= easy + medium then 'Medium' else 'Hard' end as level,
+                         pos - case when pos <= easy then 0 when pos <= easy + medium then easy else easy + medium end as q_num
+                  from spoken join reachable using (session) where pos <= easy + medium + hard""",
+        "answers": f"""select s.session, s.seq, s.pos, s.answer, {display("Question")} as question,
+                           coalesce(Reference_Answer, 'nan') as reference
+                    from placed s join plan p on p.session = s.session and p.level = s.level and p.q_num = s.q_num
+                    join bank on bank.ID = p.id""",
+        **{k: guards[k] for k in ("clean_answers", "live")},
+        "replied": f"select *, {_STUB_REPLY} as reply from (select *, {_LIVE_LENGTH} as n from live)",
+        **_parsed("reply", "replied"),
+        "scored": f"""select session, seq, pos, answer, question, case when route = 'model' then p_score else 0 end as score,
+                             case when route = 'model' then p_feedback else {_LIVE_FEEDBACK} end as feedback from parsed""",
+        **phases("scored", "reachable"),
+    }
+
+
+_WRAP_STAGES = {
+    "items": """
+        select session,
+               md5(string_agg(concat_ws(':', pos, coalesce(question, ''), coalesce(answer, ''), score, coalesce(feedback, ''), level), ';' order by pos)) as history,
+               md5(coalesce(string_agg(concat_ws(':', pos, coalesce(question, ''), score, 10 - score, level), ';' order by pos)
+                            filter (score < 10), '')) as lost_marks
+        from used group by session""",
+    "stops": f"select distinct session, true as stopped, easy from log join reachable using (session) where lower({strip('answer')}) = 'quit'",
+}
+_EXACT_TEXT = "printf('%.1f', round_even(coalesce(exact, 0), 1))"
+_WRAPPED = f"""
+    select session, coalesce(difficulty, 'Easy') as difficulty, coalesce(answered, 0) as answered,
+           coalesce(total, 0)::bigint as total, coalesce(possible, 0) as possible,
+           coalesce(round_even(exact, 1)::double, 0.0::double) as pct, coalesce(done, false) as done,
+           coalesce(done, false) or coalesce(stopped, false) as ended,
+           case when answered is null or not (done or coalesce(stopped, false)) then null
+                when exact >= 80 then 'STRONG HIRE' when exact >= 60 then 'LEANING HIRE' else 'NO HIRE' end as verdict,
+           last_score,
+           case when not done then null when passed then 'Hard round complete. Interview finished!' else {_MEDIUM_MSG} end as message,
+           case when answered is null or not (done or coalesce(stopped, false)) then null
+                when exact >= 80 then 'STRONG HIRE' when exact >= 60 then 'LEANING HIRE (Requires further review)'
+                else 'NO HIRE (Needs more foundational study)' end as advice,
+           case when possible > 0 then 'Overall Result: ' || total || '.0 / ' || possible || ' (' || {_EXACT_TEXT} || '%)' end as overall,
+           coalesce(history, md5('')) as history, coalesce(lost_marks, md5('')) as lost_marks
+    from folded full join stops using (session) left join items using (session)"""
+
+
+_REJECTED = f"""
+    select session, seq, 'session not found' as reason from log where session not in (select session from reachable)
+    union all
+    select session, seq, 'session complete' from log join reachable using (session) left join folded using (session)
+    where {strip("answer")} <> '' and (least(easy, 5) + least(medium, 8) = 0 or (done and seq > last_seq))"""
+
+
 def all_oracles() -> dict[str, str]:
     q: dict[str, str] = {}
     q["core_question"] = f"""
@@ -637,34 +709,12 @@ def all_oracles() -> dict[str, str]:
                               count(*) filter (level = 'Hard') as hard from plan group by session""",
         reachable="select * from plan_limits where easy > 0",
         **phases("first", "reachable"),
-        marked="""select *, case level when 'Easy' then 0 when 'Medium' then e else e + m end as start,
-                         pos = e + m + h and passed as ends_hard,
-                         (pos = e + m + h and passed) or (pos = e + m and not passed) as done,
-                         case when pos = e + m and passed then 'Hard' when pos = e then 'Medium' else level end as next_level
-                  from used""")
-    q["interview_run"] = sql(
-        _FOLD, *_POOLS, "sessions", **plan("sessions"),
-        plan_limits="""select session, count(*) filter (level = 'Easy') as easy, count(*) filter (level = 'Medium') as medium,
-                              count(*) filter (level = 'Hard') as hard from plan group by session""",
-        reachable="""select session, least(easy, 5) as easy, least(medium, 8) as medium, least(hard, 5) as hard
-                     from plan_limits where easy > 0""",
-        log="""select user_id as session, event_id as seq,
-                      case when regexp_extract(props, '([0-9]+)', 1)::int < 6 then '  '
-                           when event_type = 'error' and regexp_extract(props, '([0-9]+)', 1)::int not in (50, 51) then event_type
-                           else 'I would ' || event_type || ' it with ' || props end as answer from events""",
-        spoken=CTES["first"],
-        placed="""select *, case when pos <= easy then 'Easy' when pos <= easy + medium then 'Medium' else 'Hard' end as level,
-                         pos - case when pos <= easy then 0 when pos <= easy + medium then easy else easy + medium end as q_num
-                  from spoken join reachable using (session) where pos <= easy + medium + hard""",
-        answers=f"""select s.session, s.seq, s.pos, s.answer, {display("Question")} as question,
-                           coalesce(Reference_Answer, 'nan') as reference
-                    from placed s join plan p on p.session = s.session and p.level = s.level and p.q_num = s.q_num
-                    join bank on bank.ID = p.id""",
-        **live,
-        replied=f"select *, {_STUB_REPLY} as reply from (select *, {_LIVE_LENGTH} as n from live)",
-        **_parsed("reply", "replied"),
-        first="select session, seq, pos, case when route = 'model' then p_score else 0 end as score from parsed",
-        **phases("first", "reachable"))
+        marked=_MARKED)
+    q["interview_run"] = sql(_FOLD, *_POOLS, "sessions", **_interviews("first", ("  ", "error")))
+    q["stream_scored"] = q["interview_run"]
+    wrapped = _interviews("first_quit", ("  ", "error", " Quit "))
+    q["interview_report"] = sql(_WRAPPED, *_POOLS, "sessions", **wrapped, **_WRAP_STAGES)
+    q["stream_report"] = sql(f"select * from ({_WRAPPED}) where ended", *_POOLS, "sessions", **wrapped, **_WRAP_STAGES)
     q["session_fold"] = sql(_FOLD, *_LOG, **phases("first", None))
     q["session_fold_pools"] = sql(_FOLD, *_LOG, "limits", **phases("first", "limits"))
     q["session_quit"] = sql(
@@ -681,7 +731,14 @@ def all_oracles() -> dict[str, str]:
         _FOLD, *_LOG, **phases("first", None),
         first=f"""select session, seq, case when {strip("answer")} = '' then 0 else score end as score,
                          row_number() over (partition by session order by seq) as pos from log""")
-    q["stream_session"] = q["session_fold"]
+    q["stream_session"] = q["stored_sessions"] = q["stream_takeover"] = q["session_fold"]
+    q["stream_turns"] = sql(
+        f"""select session, seq, pos::int as pos, level, (pos - start)::int as q_num, score,
+                   (sum(score) over (partition by session order by pos))::bigint as total, pos * 10 as possible,
+                   case when ends_hard then 'Hard round complete. Interview finished!' when pos = e + m then {_MEDIUM_MSG}
+                        when pos = e then 'Easy round complete. Advancing to Medium.' else '' end as message,
+                   next_level, (case when done then null when next_level <> level then 1 else pos - start + 1 end)::int as next_q_num, done
+            from marked""", *_LOG, **phases("first", None), marked=_MARKED)
     q["session_history"] = sql(
         """select session, string_agg(pos || ':' || answer || ':' || score || ':' || level, ';' order by pos) as items
            from used group by session""", *_LOG, **phases("first", None))
@@ -706,6 +763,23 @@ def all_oracles() -> dict[str, str]:
     q["session_status"] = sql(
         """select session, difficulty, q_num, phase_total, total, possible, done, verdict,
                   round((q_num - 1) / phase_total, 6) as progress from status""", **_STATUS_STAGES)
+    q["status_question"] = q["status_live"] = sql(
+        f"""select s.session, s.domain, s.difficulty, s.q_num, s.phase_total, s.total, s.possible, s.done, s.verdict,
+                   round((s.q_num - 1) / s.phase_total, 6) as progress, p.id as question_id, {display("Question")} as question
+            from status s left join plan p on p.session = s.session and p.level = s.difficulty and p.q_num = s.q_num
+            left join bank on bank.ID = p.id""",
+        *_LOG, *_POOLS, "starts", "accepted", **plan("accepted"),
+        reachable="""select session, count(*) filter (level = 'Easy') as easy, count(*) filter (level = 'Medium') as medium,
+                            count(*) filter (level = 'Hard') as hard from plan group by session having easy > 0""",
+        **phases("first", "reachable"),
+        staged="""select s.session, s.domain, coalesce(difficulty, 'Easy') as difficulty, coalesce(answered, 0) as answered,
+                         coalesce(total, 0) as total, coalesce(possible, 0) as possible, coalesce(done, false) as done, exact,
+                         coalesce(e, 5) as e, coalesce(m, 8) as m
+                  from accepted s left join folded using (session)""",
+        status=f"""
+            select session, domain, difficulty, phase_total, total, possible, done, {_VERDICT} as verdict,
+                   (case when done then phase_total else answered - case difficulty when 'Easy' then 0 when 'Medium' then e else e + m end end + 1)::int as q_num
+            from (select *, case difficulty when 'Medium' then 8 else 5 end as phase_total from staged)""")
     q["phase_flags"] = sql(
         """select session, upper(phase[1:3]) as phase, questions, phase = difficulty as active,
                   place < case difficulty when 'Easy' then 1 when 'Medium' then 2 else 3 end as finished
@@ -713,10 +787,13 @@ def all_oracles() -> dict[str, str]:
         **_STATUS_STAGES)
     q["session_counts"] = sql("select count(distinct session) as sessions from accepted", *_ACCEPTED)
     q["answer_rejects"] = sql(
-        f"""select session, seq, 'session not found' as reason from log where session not in (select session from reachable)
-            union all
-            select session, seq, 'session complete' from log join reachable using (session) left join folded using (session)
-            where {strip("answer")} <> '' and (least(easy, 5) + least(medium, 8) = 0 or (done and seq > last_seq))""",
+        _REJECTED, *_LOG, *_ACCEPTED, "limits", **phases("first", "limits"),
+        reachable="select * from accepted join limits using (session)")
+    # Blank answers are no events of the stream; suppliers without limits start nothing.
+    q["stream_rejects"] = sql(
+        f"""select * from ({_REJECTED}) where seq is null or seq in (select seq from log where {strip("answer")} <> '')
+            union all select session, null, 'domain not found' from starts join limits using (session)
+                      where session not in (select session from accepted)""",
         *_LOG, *_ACCEPTED, "limits", **phases("first", "limits"),
         reachable="select * from accepted join limits using (session)")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels
@@ -16,7 +16,7 @@ from ..operators import analytics, bank as bank_ops, interviews, metrics, pools,
 from ..sources.bank_files import read_bank_csv, sft_table, write_bank_csv
 from ..sources.durable import durable, new_path
 from ..sources.raw_sources import CHAT_SCHEMA, INSTRUCTION_SCHEMA, PAIR_SCHEMA, profile_sources, read_export
-from ..streaming import session_stream as streaming
+from ..streaming import live, session_stream as streaming
 from . import bindings as b
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -337,6 +337,35 @@ def interview_run(spark, sf):
     )
 
 
+def _items(column: str, *fields: str) -> Column:
+    """Digest of a record's list, one text per item."""
+    item = lambda x: F.concat_ws(":", *[F.coalesce(x[f].cast("string"), F.lit("")) for f in fields])
+    return F.md5(F.concat_ws(";", F.transform(column, item)))
+
+
+def _wrapped(report: DataFrame) -> DataFrame:
+    """Wrap-up records with the overview's lines, lists as digests."""
+    total, possible = F.col("total"), F.col("possible")
+    ended = F.col("ended") & (F.col("answered") > 0)
+    return report.select(
+        "session", "difficulty", "answered", "total", "possible", "pct", "done", "ended", "verdict", "last_score", "message",
+        F.when(ended, labels.verdict_advice(labels.percentage(total, possible))).alias("advice"),
+        labels.overall_line(total, possible).alias("overall"),
+        _items("history", "pos", "question", "answer", "score", "feedback", "level").alias("history"),
+        _items("lost_marks", "pos", "question", "score", "lost", "level").alias("lost_marks"),
+    )
+
+
+_WORDS = ("  ", "error", " Quit ")
+
+
+@query
+def interview_report(spark, sf):
+    return _wrapped(interviews.interview_report(
+        b.sessions(spark, sf), b.spoken(spark, sf, _WORDS), b.bank(spark, sf), length_model, quit_ends=True
+    ))
+
+
 @query
 def session_fold(spark, sf):
     return session_ops.session_fold(b.log(spark, sf))
@@ -403,6 +432,24 @@ def session_status(spark, sf):
     return status.withColumn("progress", F.round("progress", 6))
 
 
+def _status_plan(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Accepted starts with their domain, and their question plan."""
+    starts = durable(_accepted(spark, sf), "status-starts")
+    return starts, durable(pools.question_plan(starts, b.bank(spark, sf)), "status-plan")
+
+
+def _open_questions(status: DataFrame, bank: DataFrame) -> DataFrame:
+    texts = pools.question_text(bank).select(F.col("id").alias("question_id"), "question")
+    return status.withColumn("progress", F.round("progress", 6)).join(texts, "question_id", "left").select(*status.columns, "question")
+
+
+@query
+def status_question(spark, sf):
+    starts, plan = _status_plan(spark, sf)
+    status = session_ops.session_status(starts, b.log(spark, sf), session_ops.plan_limits(plan), plan)
+    return _open_questions(status, b.bank(spark, sf))
+
+
 @query
 def phase_flags(spark, sf):
     return session_ops.phase_flags(session_ops.session_status(_accepted(spark, sf).select("session"), b.log(spark, sf)))
@@ -465,13 +512,88 @@ def loss_by_epoch(spark, sf):
 # --- streaming ----------------------------------------------------------------
 
 
+def _event_stream(spark, sf, name: str = "events") -> DataFrame:
+    schema = b.table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def _run(rows: DataFrame, label: str) -> DataFrame:
+    """The rows of a stream over what the source holds."""
+    return rows.sparkSession.read.schema(rows.schema).parquet(streaming.run_available(rows, label))
+
+
 @query
 def stream_session(spark, sf):
-    schema = b.table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    turns = streaming.session_stream(b.events_to_log(events))
-    path = streaming.run_available(turns)
-    return streaming.latest_state(spark.read.schema(streaming.TURN_SCHEMA).parquet(path))
+    return streaming.latest_state(_run(streaming.session_stream(b.events_to_log(_event_stream(spark, sf))), "turns"))
+
+
+@query
+def stream_turns(spark, sf):
+    turns = streaming.session_stream(b.events_to_log(_event_stream(spark, sf)))
+    return streaming.with_message(_run(turns, "turns").where("reason is null")).drop("reason", "medium_score")
+
+
+@query
+def stream_scored(spark, sf):
+    starts = pools.validate_starts(b.sessions(spark, sf), b.bank(spark, sf)).where("accepted").select("session", "domain")
+    plan = durable(pools.question_plan(starts, b.bank(spark, sf)), "live-plan")
+    answers = b.events_to_spoken(_event_stream(spark, sf))
+    scored, limits = live.score_live(answers, plan, b.bank(spark, sf), length_model)
+    return session_ops.session_fold(scored.select("session", "seq", "score", "answer"), limits)
+
+
+@query
+def stream_rejects(spark, sf):
+    rules = streaming.Rules(needs_start=True)
+    asked = b.suppliers_to_starts(_event_stream(spark, sf, "supplier")).join(durable(b.limits(spark, sf), "start-limits"), "session")
+    starts = streaming.start_events(pools.validate_starts(asked, b.bank(spark, sf)), rules, "advance")
+    answers = streaming.answer_events(b.events_to_log(_event_stream(spark, sf)), rules)
+    return streaming.settled_rejects(_run(streaming.run_machine(starts.unionByName(answers), rules), "machine"))
+
+
+@query
+def stream_report(spark, sf):
+    # The log of scored answers goes through the stream again, and records come out as sessions end.
+    rules = streaming.Rules(history=True, quit_ends=True)
+    held = interviews.hold_interviews(
+        b.sessions(spark, sf), b.spoken(spark, sf, _WORDS), b.bank(spark, sf), length_model, quit_ends=True
+    )
+    folder = new_path(spark, "scored")
+    columns = ["session", "seq", "score", "answer", "question", "feedback"]
+    scored = held.scored.select(columns).unionByName(held.quits, allowMissingColumns=True)
+    scored.join(held.limits, "session").write.parquet(folder)
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+    rows = _run(streaming.run_machine(streaming.answer_events(stream, rules), rules), "machine")
+    return _wrapped(streaming.wrap_up(rows))
+
+
+@query
+def status_live(spark, sf):
+    starts, plan = _status_plan(spark, sf)
+    limits = durable(session_ops.plan_limits(plan), "live-limits")
+    log = b.events_to_log(_event_stream(spark, sf)).join(limits, "session")
+    path = new_path(spark, "states")
+    live.keep_states(streaming.session_stream(log), path, new_path(spark, "states-checkpoint"))
+    return _open_questions(live.live_status(starts, live.live_states(spark, path), plan), b.bank(spark, sf))
+
+
+@query
+def stored_sessions(spark, sf):
+    checkpoint = new_path(spark, "turns-state")
+    streaming.run_available(streaming.session_stream(b.events_to_log(_event_stream(spark, sf))), checkpoint=checkpoint)
+    return streaming.stored_sessions(spark, checkpoint)
+
+
+@query
+def stream_takeover(spark, sf):
+    # Answers to the end of a day came in a batch; the others come as a stream that goes on from there.
+    day = b.table(spark, sf, "events").agg(F.percentile("event_id", F.lit(0.5)).alias("m")).first()["m"]
+    early = b.events_to_log(b.table(spark, sf, "events").where(F.col("event_id") <= day))
+    state = durable(streaming.fold_state(session_ops.used_answers(session_ops.first_answers(early))), "fold-state")
+    late = b.events_to_log(_event_stream(spark, sf).where(F.col("event_id") > day))
+    checkpoint = new_path(spark, "takeover-state")
+    streaming.run_available(streaming.session_stream(late, initial=state), checkpoint=checkpoint)
+    return streaming.stored_sessions(spark, checkpoint)
 
 
 for _name in [n for n in _queries if n.endswith("_")]:

@@ -1,149 +1,491 @@
-"""Sessions over a stream of scored answers, with one small state row per session."""
+"""Sessions over a stream: starts and answers in, turns, rejects and wrap-up records out.
+
+Every session has one small row of state, and what a micro-batch brings for it is walked at once, as
+arrays: an answer's level and place follow from its number, the Medium gate from a running sum.
+
+* A session can use as many answers as its phases are long. Rows of a session far behind them in their
+  Arrow batch are certainly refused, so they are grouped apart from the session, batch by batch: a session
+  with a large share of the stream does not fill one task.
+* Rows without a session, a number or a score are refused as well, with the reason, and end nothing.
+* Session keys may be of any type.
+
+Needs the RocksDB state store, see ``run_available``.
+"""
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import labels
-from ..functions.fixed_values import LEVELS, MAX_MARKS, PASS_THRESHOLD, PHASE_LIMITS
-from ..functions.text import strip, text_or
+from ..functions.fixed_values import LEVELS, MAX_MARKS, PHASE_LIMITS
 from ..operators.scoring import ModelFactory, score_answers
+from ..operators.sessions import Phases, is_blank, is_quit, medium_full, medium_pass
 from ..sources.durable import new_path
 
-_STATE = "level int, phase_asked int, phase_score int, total bigint, answered int, done boolean"
-TURN_SCHEMA = (
-    "session bigint, seq bigint, pos int, level string, q_num int, score int, total bigint, possible bigint, "
+_STATE = (
+    "started boolean, easy int, medium int, hard int, answered int, medium_sum int, total bigint, last_score int, "
+    "ended boolean, domain string, timer bigint"
+)
+_STATE_FIELDS = [x.split()[0] for x in _STATE.split(", ")]
+_NEW = dict(zip(_STATE_FIELDS, (False, 0, 0, 0, 0, 0, 0, None, False, None, 0)))
+#: Columns of a turn; ``{key}`` is the type of the session.
+_TURN = (
+    "session {key}, seq bigint, pos int, level string, q_num int, score int, total bigint, possible bigint, "
     "medium_score int, next_level string, next_q_num int, done boolean, reason string"
 )
-_Turn = Row(*[field.split()[0] for field in TURN_SCHEMA.split(", ")])
-_LIMITS = [PHASE_LIMITS[x] for x in LEVELS]
-_MOST = sum(_LIMITS)
-_PASS = round(PASS_THRESHOLD * _LIMITS[1] * MAX_MARKS)
-_MEDIUM, _HARD = 1, 2
-# Rows of one session that stay together per Arrow batch, and lanes for what is beyond.
-_TOGETHER = 64
+_ITEM = "pos int, question string, answer string, score int, feedback string, level string"
+_MORE = "kind string, domain string, ended boolean, last_score int"
+_HISTORY = "history array<struct<" + ",".join(x.replace(" ", ":") for x in _ITEM.split(", ")) + ">>"
+_ITEM_FIELDS = [x.split()[0] for x in _ITEM.split(", ")]
+
+NOT_FOUND, COMPLETE, STARTED_BEFORE, SURPLUS = "session not found", "session complete", "session started before", "surplus"
+#: Lanes for rows that no state can use.
 _LANES = 1024
 
 
-class SessionProcessor(StatefulProcessor):
+def turn_schema(key: str = "bigint") -> str:
+    """Columns of the rows that ``session_stream`` writes, for sessions of type ``key``."""
+    return _TURN.format(key=key)
+
+
+TURN_SCHEMA = turn_schema()
+
+
+@dataclass(frozen=True)
+class Rules:
+    """How sessions run.
+
+    ``needs_start``: answers count only after a start; before it they wait ``patience_ms``, or are refused
+    at once. ``history``: used answers are kept and a wrap-up record comes when the session ends. ``quit_ends``:
+    the word quit ends it. ``idle_ms``: a session silent for so long ends with what it answered, and its
+    state is dropped. ``extra``: text columns of the answers that turns carry along.
+    """
+
+    phases: Phases = field(default_factory=lambda: dict(PHASE_LIMITS))
+    needs_start: bool = False
+    patience_ms: int | None = None
+    history: bool = False
+    quit_ends: bool = False
+    idle_ms: int | None = None
+    extra: tuple[str, ...] = ()
+
+    @property
+    def most(self) -> int:
+        return sum(self.phases.values())
+
+    @property
+    def timed(self) -> bool:
+        return bool(self.patience_ms or self.idle_ms)
+
+    @property
+    def texts(self) -> list[str]:
+        """Text columns that answers bring along."""
+        items = ["question", "answer", "feedback"] if self.history else []
+        return list(dict.fromkeys([*items, *self.extra]))
+
+
+def walk(easy: int, medium: int, hard: int, answered: int, medium_sum: int, scores: np.ndarray, least: int) -> dict[str, np.ndarray]:
+    """The turns of the next answers with ``scores``, as far as the session goes, after ``answered`` of them.
+
+    ``least`` marks pass Medium. Gives one array per column of a turn, and ``medium`` with the running sum.
+    """
+    gate = easy + medium
+    pos = answered + 1 + np.arange(len(scores))
+    sums = medium_sum + np.cumsum(np.where((pos > easy) & (pos <= gate), scores, 0))
+    # Marks of the whole Medium phase, once it has been asked.
+    whole = medium_sum if answered >= gate else sums[gate - answered - 1] if len(scores) >= gate - answered else -1
+    passed = whole >= least
+    end = gate + hard if passed else gate
+    used = int(np.searchsorted(pos, end, "right"))
+    pos, sums = pos[:used], sums[:used]
+    level = (pos > easy).astype(int) + (pos > gate)
+    begin = np.array([0, easy, gate])[level]
+    done = (pos == gate + hard) & passed if passed else pos == gate
+    following = np.where((pos == gate) & passed, 2, np.where(pos == easy, np.maximum(level, 1), level))
+    return {
+        "pos": pos, "level": level, "q_num": pos - begin, "medium": sums, "next": following,
+        "next_q_num": np.where(following != level, 1, pos - begin + 1), "done": done,
+    }
+
+
+class SessionMachine(StatefulProcessor):
     """Walks a session's answers in ``seq`` order inside a micro-batch, in arrival order across them.
 
-    Of a micro-batch only as many answers as the session can still use are held;
-    the others are refused while they stream by, so a session with very many rows
-    needs no more memory than any other.
+    Of a micro-batch only as many answers as a session can use are held; the others are refused while they
+    stream by, so a session with very many rows needs no more memory than any other.
     """
 
-    def __init__(self, ttl_ms: int | None = None) -> None:
-        self._ttl_ms = ttl_ms
+    def __init__(self, rules: Rules) -> None:
+        self.rules = rules
+        self.least = medium_pass(rules.phases)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("session", _STATE, self._ttl_ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        if key[1] > 0:
-            for row in rows:
-                yield self._refused(key[0], row)
-            return
-        state = list(self._state.get()) if self._state.exists() else [0, 0, 0, 0, 0, False]
-        room = 0 if state[5] else _MOST - state[4]
-        waiting: list[tuple] = []
-        for n, row in enumerate(rows):
-            # Largest seq on top; n keeps rows with the same seq apart.
-            heapq.heappush(waiting, (-row.seq, -n, row))
-            if len(waiting) > room:
-                yield self._refused(key[0], heapq.heappop(waiting)[2])
-        for _, _, row in sorted(waiting, key=lambda w: (-w[0], -w[1])):
-            limits = [row.easy, row.medium, row.hard]
-            self._skip_empty(state, limits)
-            if state[5]:
-                yield self._refused(key[0], row)
-            else:
-                yield self._take(key[0], row, state, limits)
-        self._state.update(tuple(state))
+        self.handle = handle
+        self.session = handle.getValueState("session", _STATE)
+        if self.rules.history:
+            self.items = handle.getListState("history", _ITEM)
+        if self.rules.patience_ms:
+            texts = "".join(f", {c} string" for c in self.rules.texts)
+            self.waiting = handle.getListState("waiting", f"seq bigint, score int, quit boolean{texts}")
 
     def close(self) -> None:
         pass
 
-    @staticmethod
-    def _refused(session, row) -> Row:
-        return _Turn(session, row.seq, None, None, None, row.score, None, None, None, None, None, None, "session complete")
-
-    @staticmethod
-    def _skip_empty(state: list, limits: list[int]) -> None:
-        """Leave phases that have nothing (more) to ask."""
-        while not state[5] and state[1] >= limits[state[0]]:
-            if state[0] == _HARD or (state[0] == _MEDIUM and state[2] < _PASS):
-                state[5] = True
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        row = initialState.iloc[0]
+        state = {**_NEW, **{c: row[c] for c in _STATE_FIELDS if c in row}}
+        self.session.update(tuple(_plain(state[c]) for c in _STATE_FIELDS))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        out = _Rows(key[0], self.rules)
+        if key[1] != 0:
+            for frame in rows:
+                out.refuse(frame, SURPLUS if self.rules.needs_start else COMPLETE)
+                yield from out.frames(1 << 12)
+            yield from out.frames()
+            return
+        found = self.session.get()
+        state = dict(zip(_STATE_FIELDS, found)) if found else dict(_NEW)
+        answers = None
+        for frame in rows:
+            begins = frame[frame["kind"] == 0]
+            frame = frame[frame["kind"] != 0]
+            if len(begins):
+                self._start(state, begins, out)
+            if not self.rules.needs_start and not state["started"] and len(frame):
+                first = frame.iloc[0]
+                state.update(started=True, easy=int(first["easy"]), medium=int(first["medium"]), hard=int(first["hard"]))
+            answers = frame if answers is None else pd.concat([answers, frame], ignore_index=True)
+            answers = self._cut(answers, state, out)
+            yield from out.frames(1 << 12)
+        if self.rules.patience_ms:
+            answers = self._wait(key, state, answers, timerValues, out)
+        if len(answers):
+            if state["started"]:
+                self._take(state, answers.sort_values("seq", kind="stable"), out)
             else:
-                state[0], state[1], state[2] = state[0] + 1, 0, 0
-
-    def _take(self, session, row, state: list, limits: list[int]) -> Row:
-        level, q_num = state[0], state[1] + 1
-        state[1] += 1
-        state[2] += row.score
-        state[3] += row.score
-        state[4] += 1
-        medium = state[2] if level == _MEDIUM else None
-        self._skip_empty(state, limits)
-        return _Turn(
-            session, row.seq, state[4], LEVELS[level], q_num, row.score, state[3], state[4] * MAX_MARKS,
-            medium, LEVELS[state[0]], None if state[5] else state[1] + 1, state[5], None,
+                out.refuse(answers, NOT_FOUND)
+        if self.rules.idle_ms and state["started"] and not state["ended"]:
+            self._clock(state, timerValues.getCurrentProcessingTimeInMs() + self.rules.idle_ms)
+        if state["started"] or state["timer"]:
+            self.session.update(tuple(state[c] for c in _STATE_FIELDS))
+        yield from out.frames()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        found = self.session.get()
+        if not found:
+            return
+        out = _Rows(key[0], self.rules)
+        state = dict(zip(_STATE_FIELDS, found))
+        if not state["started"]:
+            out.refuse_items(list(self.waiting.get()), NOT_FOUND)
+            self.waiting.clear()
+        elif not state["ended"]:
+            state["timer"] = 0  # it fires now
+            self._end(state, out, "expired")
+        self.session.clear()
+        yield from out.frames()
+
+    def _start(self, state: dict, begins: pd.DataFrame, out: _Rows) -> None:
+        for row in begins.itertuples(index=False):
+            if state["started"]:
+                out.add(kind="reject", reason=STARTED_BEFORE, domain=row.domain)
+                continue
+            state.update(started=True, easy=int(row.easy), medium=int(row.medium), hard=int(row.hard), domain=row.domain)
+            state["ended"] = state["easy"] + state["medium"] == 0
+            out.add(kind="start", level=LEVELS[0], next_level=LEVELS[0], next_q_num=1, done=state["ended"], domain=row.domain)
+
+    def _cut(self, answers: pd.DataFrame, state: dict, out: _Rows) -> pd.DataFrame:
+        """The first answers by ``seq``, as many as can be used; the others are refused."""
+        room = 0 if state["ended"] else self.rules.most - state["answered"]
+        if len(answers) <= room:
+            return answers
+        order = answers["seq"].argsort(kind="stable").to_numpy()
+        known = state["started"] or not self.rules.needs_start
+        out.refuse(answers.iloc[order[room:]], COMPLETE if known else SURPLUS)
+        return answers.iloc[order[:room]].reset_index(drop=True)
+
+    def _wait(self, key, state: dict, answers: pd.DataFrame, timerValues, out: _Rows) -> pd.DataFrame:
+        """Answers that may be taken now: those that came before the start wait, and join once it is there."""
+        columns = ["seq", "score", "quit", *self.rules.texts]
+        if state["started"]:
+            if state["timer"] and self.rules.idle_ms is None:
+                self._clock(state, 0)
+            earlier = list(self.waiting.get())
+            if earlier:
+                self.waiting.clear()
+                both = pd.concat([pd.DataFrame(earlier, columns=columns), answers[columns]], ignore_index=True)
+                return self._cut(both, state, out)
+            return answers
+        if len(answers):
+            held = list(self.waiting.get())
+            fits = answers.iloc[: max(0, self.rules.most - len(held))]
+            out.refuse(answers.iloc[len(fits) :], SURPLUS)
+            self.waiting.appendList([tuple(map(_plain, row)) for row in fits[columns].itertuples(index=False)])
+            if not state["timer"]:
+                self._clock(state, timerValues.getCurrentProcessingTimeInMs() + self.rules.patience_ms)
+        return answers.iloc[:0]
+
+    def _clock(self, state: dict, at: int) -> None:
+        if state["timer"]:
+            self.handle.deleteTimer(state["timer"])
+        if at:
+            self.handle.registerTimer(at)
+        state["timer"] = at
+
+    def _take(self, state: dict, answers: pd.DataFrame, out: _Rows) -> None:
+        quits = answers["quit"].to_numpy(bool) if self.rules.quit_ends else np.zeros(len(answers), bool)
+        stop = int(quits.argmax()) if quits.any() else len(answers)
+        scores = answers["score"].to_numpy(np.int64)[:stop]
+        limits = [state[x.lower()] for x in LEVELS]
+        turns = walk(*limits, state["answered"], state["medium_sum"], scores, self.least)
+        used = 0 if state["ended"] else len(turns["pos"])
+        totals = state["total"] + np.cumsum(scores)
+        columns = {c: x.tolist() for c, x in turns.items()}
+        seqs, marks, totals = answers["seq"].tolist(), scores.tolist(), totals.tolist()
+        texts = {c: answers[c].tolist() for c in self.rules.texts}
+        items = []
+        for i in range(used):
+            level = LEVELS[columns["level"][i]]
+            done = columns["done"][i]
+            out.add(
+                kind="turn", seq=seqs[i], pos=columns["pos"][i], level=level, q_num=columns["q_num"][i], score=marks[i],
+                total=totals[i], possible=columns["pos"][i] * MAX_MARKS,
+                medium_score=columns["medium"][i] if level == LEVELS[1] else None,
+                next_level=LEVELS[columns["next"][i]], next_q_num=None if done else columns["next_q_num"][i], done=done,
+                **{c: texts[c][i] for c in self.rules.extra},
+            )
+            if self.rules.history:
+                items.append((columns["pos"][i], *(texts[c][i] for c in ("question", "answer")), marks[i], texts["feedback"][i], level))
+        if used:
+            state.update(
+                answered=columns["pos"][used - 1], medium_sum=columns["medium"][used - 1], total=totals[used - 1],
+                last_score=marks[used - 1],
+            )
+        if items:
+            self.items.appendList(items)
+        ending = not state["ended"] and ((used and columns["done"][used - 1]) or (used == stop < len(answers)))
+        if ending:
+            self._end(state, out, None if columns["done"][used - 1 : used] == [True] else "quit")
+        # What comes behind the end is refused; the row that says quit is neither used nor refused.
+        late = answers.iloc[used + (stop == used and stop < len(answers) and ending) :] if state["ended"] else answers.iloc[used:]
+        out.refuse(late, COMPLETE)
+
+    def _end(self, state: dict, out: _Rows, reason: str | None) -> None:
+        state["ended"] = True
+        if state["timer"]:
+            self._clock(state, 0)
+        if not self.rules.history:
+            if reason:
+                out.add(kind="end", ended=True, reason=reason, done=False, total=state["total"], pos=state["answered"])
+            return
+        history = [dict(zip(_ITEM_FIELDS, x)) for x in self.items.get()]
+        self.items.clear()
+        easy, medium, hard = (state[x.lower()] for x in LEVELS)
+        n = state["answered"]
+        passed = n >= easy + medium and state["medium_sum"] >= self.least
+        out.add(
+            kind="report", level=LEVELS[0] if n < easy else LEVELS[2] if passed else LEVELS[1], pos=n, total=state["total"],
+            possible=n * MAX_MARKS, medium_score=state["medium_sum"], done=reason is None, ended=True, reason=reason,
+            domain=state["domain"], last_score=state["last_score"], history=history,
         )
 
 
-def _with_lane(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add ``lane``: 0 for the first answers of a session in the batch, more than it can use
-    at all; one other number per batch for the rest."""
-    for batch in batches:
-        seq = batch.column("seq").to_numpy(zero_copy_only=False)
-        session = batch.column("session").to_numpy(zero_copy_only=False)
-        order = np.lexsort((seq, session))
-        starts = np.r_[True, session[order][1:] != session[order][:-1]] if len(order) else np.zeros(0, bool)
-        at = np.arange(len(order))
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = at - np.maximum.accumulate(np.where(starts, at, 0))
-        beyond = 1 + int(seq.min()) % _LANES if len(seq) else 0
-        lane = np.where(place < _TOGETHER, 0, beyond).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lane)], names=[*batch.schema.names, "lane"])
+def _plain(x):
+    """A state's value out of a pandas cell."""
+    if isinstance(x, np.generic):
+        x = x.item()
+    return None if x is None or x is pd.NaT or (isinstance(x, float) and x != x) else x
 
 
-def session_stream(scored: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """One row per answer of a stream (session, seq, score and optional answer, easy, medium, hard).
+class _Rows:
+    """Output rows of one session, given out as frames."""
+
+    def __init__(self, session, rules: Rules) -> None:
+        self.session, self.names = session, _names(rules)
+        self.columns: dict[str, list] = {c: [] for c in self.names}
+
+    def add(self, **cells) -> None:
+        for c in self.names:
+            self.columns[c].append(cells.get(c))
+        self.columns["session"][-1] = self.session
+
+    def refuse(self, frame: pd.DataFrame, reason: str) -> None:
+        if not len(frame):
+            return
+        for seq, score, fault in zip(frame["seq"].tolist(), frame["score"].tolist(), frame["fault"].tolist() if "fault" in frame else [None] * len(frame)):
+            why = fault or reason
+            self.add(kind="reject", reason=why, seq=None if why == _FAULTS[1] or fault in _START_FAULTS else seq, score=score if score >= 0 else None)
+
+    def refuse_items(self, items: list[tuple], reason: str) -> None:
+        for seq, score, *_ in items:
+            self.add(kind="reject", reason=reason, seq=seq, score=score)
+
+    def frames(self, least: int = 1) -> Iterator[pd.DataFrame]:
+        if len(self.columns["session"]) >= least:
+            frame = pd.DataFrame({c: pd.Series(x, dtype=object) for c, x in self.columns.items()})
+            self.columns = {c: [] for c in self.names}
+            yield frame
+
+
+_FAULTS = ("no session", "no number", "no score")
+_START_FAULTS = ("domain not found", "no question")
+
+
+def _schema(key: str, rules: Rules) -> str:
+    more = [turn_schema(key), _MORE, *([_HISTORY] if rules.history else []), *(f"{c} string" for c in rules.extra)]
+    return ", ".join(more)
+
+
+def _names(rules: Rules) -> list[str]:
+    names = [x.split()[0] for x in f"{turn_schema()}, {_MORE}".split(", ")]
+    return [*names, *(["history"] if rules.history else []), *rules.extra]
+
+
+def _with_lane(together: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds ``lane``: 0 for starts and for the first answers of a session in the batch, more than it can use at
+    all; one other number per batch for the rest, and for rows with a fault."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, batch in enumerate(batches):
+            seq = np.asarray(batch.column("seq"))
+            faulty = np.asarray(pc.is_valid(batch.column("fault")))
+            start = np.asarray(batch.column("kind")) == 0
+            codes = batch.column("session").dictionary_encode().indices
+            session = np.asarray(pc.fill_null(codes, -1))
+            order = np.lexsort((seq, faulty, start, session))
+            group = np.stack([session, start, faulty])[:, order]
+            starts = np.r_[True, (group[:, 1:] != group[:, :-1]).any(0)] if len(order) else np.zeros(0, bool)
+            at = np.arange(len(order))
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = at - np.maximum.accumulate(np.where(starts, at, 0))
+            beyond = 1 + number % _LANES
+            lane = np.where(faulty, -beyond, np.where(start | (place < together), 0, beyond)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lane)], names=[*batch.schema.names, "lane"])
+
+    return run
+
+
+def _event(df: DataFrame, rules: Rules, kind: int, fault: Column, **cells: Column) -> DataFrame:
+    """Rows as the machine takes them, without nulls in their numbers."""
+    number = lambda c, none: F.coalesce(cells[c].cast("bigint"), F.lit(none)) if c in cells else F.lit(none).cast("bigint")
+    none = F.lit(None).cast("string")
+    return df.select(
+        "session", F.lit(kind).alias("kind"), number("seq", 0).alias("seq"), number("score", -1).cast("int").alias("score"),
+        *[number(x.lower(), rules.phases[x]).cast("int").alias(x.lower()) for x in LEVELS],
+        cells.get("domain", none).alias("domain"), cells.get("quit", F.lit(False)).alias("quit"), fault.alias("fault"),
+        *[cells.get(c, none).cast("string").alias(c) for c in rules.texts],
+    )
+
+
+def answer_events(answers: DataFrame, rules: Rules, blank: str = "skip") -> DataFrame:
+    """Answers (session, seq, score, and optional answer, easy, medium, hard, texts) as events.
+
+    Blank answers are left out, or count with no marks (``blank="score"``). Phases are as long as the row
+    says, at most as ``rules`` says.
+    """
+    if blank not in ("skip", "score"):
+        raise ValueError(f"unknown choice {blank!r} for blank")
+    score, quit_ = F.col("score"), F.lit(False)
+    if "answer" in answers.columns:
+        empty = is_blank(F.col("answer"))
+        if blank == "skip":
+            answers = answers.where(~empty)
+        else:
+            score = F.when(empty, F.lit(0)).otherwise(score)
+        quit_ = is_quit(F.col("answer"))
+    fault = (
+        F.when(F.col("session").isNull(), F.lit(_FAULTS[0])).when(F.col("seq").isNull(), F.lit(_FAULTS[1]))
+        .when(score.isNull() & ~(quit_ if rules.quit_ends else F.lit(False)), F.lit(_FAULTS[2]))
+    )
+    limits = {
+        x.lower(): F.least(F.col(x.lower()), F.lit(rules.phases[x])) for x in LEVELS if x.lower() in answers.columns
+    }
+    texts = {c: F.col(c) for c in rules.texts if c in answers.columns}
+    return _event(answers, rules, 1, fault, seq=F.col("seq"), score=score, quit=quit_, **limits, **texts)
+
 
-    Refused answers carry a ``reason``. Sessions live for ever unless ``ttl_ms``
-    is given. Needs the RocksDB state store, see ``run_available``.
+def start_events(starts: DataFrame, rules: Rules, on_empty_easy: str = "reject") -> DataFrame:
+    """Judged starts (session, domain, accepted, reason, and optional easy, medium, hard) as events.
 
-    A session can use 18 answers. Rows of a session far behind them in their Arrow
-    batch are certainly refused, so they are grouped apart from the session, batch
-    by batch: a session with a large share of the stream does not fill one task.
+    A start that is not accepted, or has no Easy question with ``on_empty_easy="reject"``, becomes a reject.
+    """
+    if on_empty_easy not in ("reject", "advance"):
+        raise ValueError(f"unknown choice {on_empty_easy!r} for on_empty_easy")
+    limits = {
+        x.lower(): F.least(F.col(x.lower()), F.lit(rules.phases[x])) for x in LEVELS if x.lower() in starts.columns
+    }
+    fault = F.when(F.col("session").isNull(), F.lit(_FAULTS[0])).when(~F.col("accepted"), F.lit(_START_FAULTS[0]))
+    if on_empty_easy == "reject" and "easy" in limits:
+        fault = fault.when(limits["easy"] <= 0, F.lit(_START_FAULTS[1]))
+    return _event(starts, rules, 0, fault, domain=F.col("domain"), **limits)
+
+
+def run_machine(events: DataFrame, rules: Rules, initial: DataFrame | None = None) -> DataFrame:
+    """All rows of the machine: kind ``start``, ``turn``, ``reject``, ``report`` and, without history, ``end``.
+
+    ``events`` come from ``answer_events`` and ``start_events``. ``initial`` (session and the columns of
+    ``fold_state``) are the states to begin with; they are read in the first micro-batch only.
     """
-    if "answer" in scored.columns:
-        scored = scored.where(strip(text_or(F.col("answer"), "")) != "")
-    for level, n in PHASE_LIMITS.items():
-        name = level.lower()
-        limit = F.least(F.col(name), F.lit(n)) if name in scored.columns else F.lit(n)
-        scored = scored.withColumn(name, limit.cast("int"))
-    rows = scored.select(F.col("session").cast("long"), F.col("seq").cast("long"), F.col("score").cast("int").alias("score"), "easy", "medium", "hard")
-    rows = rows.mapInArrow(_with_lane, "session bigint, seq bigint, score int, easy int, medium int, hard int, lane int")
-    return rows.groupBy("session", "lane").transformWithState(
-        statefulProcessor=SessionProcessor(ttl_ms),
-        outputStructType=TURN_SCHEMA,
+    key = events.schema["session"].dataType.simpleString()
+    lanes = events.mapInArrow(_with_lane(4 * rules.most), f"{_ddl(events)}, lane int")
+    given = None
+    if initial is not None:
+        given = initial.withColumn("lane", F.lit(0)).groupBy("session", "lane")
+    return lanes.groupBy("session", "lane").transformWithStateInPandas(
+        statefulProcessor=SessionMachine(rules),
+        outputStructType=_schema(key, rules),
         outputMode="Append",
-        timeMode="ProcessingTime" if ttl_ms else "None",
+        timeMode="ProcessingTime" if rules.timed else "None",
+        initialState=given,
+    )
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def session_stream(
+    scored: DataFrame, *, rules: Rules | None = None, blank: str = "skip", initial: DataFrame | None = None
+) -> DataFrame:
+    """One row per answer of a stream (session, seq, score and optional answer, easy, medium, hard).
+
+    Refused answers carry a ``reason``. Sessions begin with their first answer and live for ever, unless
+    ``rules`` (without ``needs_start``) says otherwise.
+    """
+    rules = rules or Rules()
+    rows = run_machine(answer_events(scored, rules, blank), rules, initial)
+    return rows.where("kind in ('turn', 'reject')").select(*[x.split()[0] for x in turn_schema().split(", ")], *rules.extra)
+
+
+def fold_state(used: DataFrame) -> DataFrame:
+    """State of every session after a batch's ``used_answers``, to go on from in a stream."""
+    order = F.col("pos")
+    answered = F.count(F.lit(1))
+    state = used.groupBy("session", "_e", "_m", "_h", "_passed").agg(
+        answered.cast("int").alias("answered"), F.max("_medium_sum").cast("int").alias("medium_sum"),
+        F.sum("score").cast("long").alias("total"), F.max_by("score", order).cast("int").alias("last_score"),
+    )
+    end = F.col("_e") + F.col("_m") + F.when(F.col("_passed"), F.col("_h")).otherwise(0)
+    return state.select(
+        "session", F.lit(True).alias("started"), F.col("_e").alias("easy"), F.col("_m").alias("medium"), F.col("_h").alias("hard"),
+        "answered", "medium_sum", "total", "last_score", (F.col("answered") >= end).alias("ended"),
     )
 
 
-def with_message(turns: DataFrame) -> DataFrame:
+def with_message(turns: DataFrame, phases: Phases = PHASE_LIMITS) -> DataFrame:
     """Add the phase message of every turn."""
     changed = (F.col("level") != F.col("next_level")) | F.col("done")
-    medium = F.coalesce("medium_score", F.lit(0)) / F.lit(float(_LIMITS[1] * MAX_MARKS))
+    medium = F.coalesce("medium_score", F.lit(0)) / F.lit(float(medium_full(phases)))
     message = (
         F.when(~changed | F.col("reason").isNotNull(), F.lit(""))
         .when(F.col("done") & (F.col("next_level") == "Hard"), F.lit(labels.HARD_DONE))
@@ -154,18 +496,6 @@ def with_message(turns: DataFrame) -> DataFrame:
     return turns.withColumn("message", message)
 
 
-def score_stream(
-    answers: DataFrame, questions: DataFrame, factory: ModelFactory, **model_options
-) -> DataFrame:
-    """Score a stream of answers (session, seq, answer) where seq numbers a session's answers from 1.
-
-    ``questions`` is a static table (session, seq, question, reference): the plan
-    of every session, one row per answer it can give.
-    """
-    paired = answers.join(questions, ["session", "seq"])
-    return score_answers(paired, factory, **model_options)
-
-
 def latest_state(turns: DataFrame) -> DataFrame:
     """Last state per session out of the turns written so far, in the columns of ``session_fold``."""
     last = (
@@ -174,10 +504,14 @@ def latest_state(turns: DataFrame) -> DataFrame:
         .agg(F.max_by(F.struct("next_level", "pos", "total", "possible", "done"), "pos").alias("s"))
         .select("session", "s.*")
     )
+    return _folded(last.withColumnRenamed("next_level", "difficulty"))
+
+
+def _folded(last: DataFrame) -> DataFrame:
     pct = labels.percentage(F.col("total"), F.col("possible"))
     return last.select(
         "session",
-        F.col("next_level").alias("difficulty"),
+        "difficulty",
         F.col("pos").cast("long").alias("answered"),
         "total",
         "possible",
@@ -187,33 +521,115 @@ def latest_state(turns: DataFrame) -> DataFrame:
     )
 
 
+def settled_rejects(rows: DataFrame) -> DataFrame:
+    """session, seq, reason of every refused answer out of a machine with starts.
+
+    Rows beyond what a session can use are refused before it is known whether the session has started;
+    here they meet the starts written so far.
+    """
+    started = rows.where("kind = 'start'").select("session", F.lit(True).alias("_known")).distinct()
+    rejects = rows.where("kind = 'reject'").join(started, "session", "left")
+    late = F.when(F.col("_known"), F.lit(COMPLETE)).otherwise(F.lit(NOT_FOUND))
+    reason = F.when(F.col("reason") == SURPLUS, late).otherwise(F.col("reason"))
+    return rejects.select("session", "seq", reason.alias("reason"))
+
+
+def wrap_up(rows: DataFrame, phases: Phases = PHASE_LIMITS) -> DataFrame:
+    """Wrap-up records of the sessions that ended, in the columns of the batch ``session_report`` and ``ended``."""
+    lost = F.transform(
+        F.filter("history", lambda x: x["score"] < MAX_MARKS),
+        lambda x: F.struct(x["pos"].alias("pos"), x["question"].alias("question"), x["score"].alias("score"),
+                           (F.lit(MAX_MARKS) - x["score"]).alias("lost"), x["level"].alias("level")),
+    )
+    pct = labels.percentage(F.col("total"), F.col("possible"))
+    ratio = F.col("medium_score") / F.lit(float(medium_full(phases)))
+    closing = F.when(F.col("level") == "Hard", F.lit(labels.HARD_DONE)).otherwise(labels.medium_done(ratio, F.lit(False)))
+    return rows.where("kind = 'report'").select(
+        "session", F.col("level").alias("difficulty"), F.col("pos").cast("long").alias("answered"), "total", "possible",
+        labels.round_half_even(pct, 1).alias("pct"), "done", "ended",
+        F.when(F.col("pos") > 0, labels.verdict(pct)).alias("verdict"), "last_score", "medium_score",
+        "history", lost.alias("lost_marks"), F.when(F.col("done"), closing).alias("message"),
+    )
+
+
+def stored_sessions(spark: SparkSession, checkpoint: str, phases: Phases = PHASE_LIMITS) -> DataFrame:
+    """Last state per session as the state store under ``checkpoint`` has it, in the columns of ``session_fold``.
+
+    A read of the store's files: the stream need not run, and is not touched.
+    """
+    rows = spark.read.format("statestore").option("stateVarName", "session").load(checkpoint)
+    n, gate = F.col("answered"), F.col("easy") + F.col("medium")
+    passed = (n >= gate) & (F.col("medium_sum") >= medium_pass(phases))
+    difficulty = F.when(n < F.col("easy"), F.lit("Easy")).when(passed, F.lit("Hard")).otherwise(F.lit("Medium"))
+    return _folded(rows.select("key.session", "value.*").where("answered > 0").select(
+        "session", difficulty.alias("difficulty"), n.alias("pos"), "total", (n * MAX_MARKS).cast("long").alias("possible"),
+        (n >= gate + F.when(passed, F.col("hard")).otherwise(0)).alias("done"),
+    ))
+
+
+def score_stream(answers: DataFrame, questions: DataFrame, factory: ModelFactory, **model_options) -> DataFrame:
+    """Score a stream of answers (session, seq, answer) where seq numbers a session's answers from 1.
+
+    ``questions`` is a static table (session, seq, question, reference): the plan of every session, one row
+    per answer it can give. See ``live.score_live`` for answers with any numbers.
+    """
+    paired = answers.join(questions, ["session", "seq"])
+    return score_answers(paired, factory, **model_options)
+
+
+def score_stream(answers: DataFrame, questions: DataFrame, factory: ModelFactory, **model_options) -> DataFrame:
+    """Score a stream of answers (session, seq, answer) where seq numbers a session's answers from 1.
+
+    ``questions`` is a static table (session, seq, question, reference): the plan of every session, one row
+    per answer it can give. See ``live.score_live`` for answers with any numbers.
+    """
+    paired = answers.join(questions, ["session", "seq"])
+    return score_answers(paired, factory, **model_options)
+
+
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_available(turns: DataFrame, label: str = "turns", path: str | None = None, checkpoint: str | None = None) -> str:
-    """Process what the source holds now, append the turns as Parquet, return their folder.
+_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Timers ask for batches without data for ever; a run over what is available would not end.
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
 
-    Call it again with the same ``path`` and ``checkpoint`` to go on with the
-    stored sessions.
+def start_query(spark: SparkSession, writer, path: str | None = None):
+    """Start a stream writer with the RocksDB state store.
+
+    A query takes the session's settings when it starts, so they are put back at once.
     """
-    spark: SparkSession = turns.sparkSession
-    path = path or new_path(spark, label)
-    checkpoint = checkpoint or new_path(spark, f"{label}-state")
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in _SETTINGS}
+    for name, value in _SETTINGS.items():
+        spark.conf.set(name, value)
     try:
-        query = (
-            turns.writeStream.format("parquet")
-            .option("checkpointLocation", checkpoint)
-            .outputMode("append")
-            .trigger(availableNow=True)
-            .start(path)
-        )
-        query.awaitTermination()
+        return writer.start(path) if path else writer.start()
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def run_available(
+    rows: DataFrame, label: str = "turns", path: str | None = None, checkpoint: str | None = None,
+    partition_by: Sequence[str] = (),
+) -> str:
+    """Process what the source holds now, append the rows as Parquet, return their folder.
+
+    Call it again with the same ``path`` and ``checkpoint`` to go on with the stored sessions. Timers that are
+    due fire with the next rows that come.
+    """
+    spark: SparkSession = rows.sparkSession
+    path = path or new_path(spark, label)
+    checkpoint = checkpoint or new_path(spark, f"{label}-state")
+    writer = rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    start_query(spark, writer.trigger(availableNow=True), path).awaitTermination()
     return path
