@@ -42,29 +42,35 @@ def cuts(size: int, places: np.ndarray, prices: np.ndarray, last: bool) -> list[
 
     With ``last`` the final place ends a window; otherwise the best place within ``size`` of it does.
     """
-    pos, price = [0, *places.tolist()], [0, *prices.tolist()]
-    index = {p: i for i, p in enumerate(pos)}
-    cost, back = [0] * len(pos), [0] * len(pos)
-    queue: deque[int] = deque([0])  # rising cost(i) + pos(i)
-    powers = [1 << k for k in range(8, 31) if 1 << k < size]
+    every = np.concatenate(([0], places))
+    pos, price = every.tolist(), [0, *(prices + WINDOW).tolist()]
+    first = np.searchsorted(every, every - size).tolist()
+    # Windows of a power of two need no padding: for each place those that lie so far in front of it.
+    even: list[list[int]] = [[] for _ in pos]
+    for power in (1 << k for k in range(8, 31) if 1 << k < size):
+        at = np.searchsorted(every, every - power)
+        hit = np.nonzero(every[at] == every - power)[0]
+        for j, k in zip(hit.tolist(), at[hit].tolist()):
+            even[j].append(k)
+    key, back = [0] * len(pos), [0] * len(pos)  # cost(i) + pos(i)
+    queue: deque[int] = deque([0])  # places of rising key
     for j in range(1, len(pos)):
-        here = pos[j]
-        while pos[queue[0]] < here - size:
+        here, low = pos[j], first[j]
+        while queue[0] < low:
             queue.popleft()
         i = queue[0]
-        best = cost[i] + size - (here - pos[i])
-        for power in powers:
-            k = index.get(here - power)
-            if k is not None and cost[k] < best:
-                best, i = cost[k], k
-        cost[j], back[j] = best + price[j] + WINDOW, i
-        key = cost[j] + here
-        while queue and cost[queue[-1]] + pos[queue[-1]] >= key:
+        best = key[i] + size - here
+        for k in even[j]:
+            if key[k] - pos[k] < best:
+                best, i = key[k] - pos[k], k
+        own = best + price[j] + here
+        key[j], back[j] = own, i
+        while queue and key[queue[-1]] >= own:
             queue.pop()
         queue.append(j)
     j = len(pos) - 1
     if not last:
-        j = min((k for k in range(1, len(pos)) if pos[k] > pos[-1] - size), key=lambda k: (cost[k], -k))
+        j = min((k for k in range(1, len(pos)) if pos[k] > pos[-1] - size), key=lambda k: (key[k] - pos[k], -k))
     found = []
     while j:
         found.append(pos[j])
@@ -98,8 +104,9 @@ def _halved(size: int, ends: list[int]) -> list[int]:
     return ends
 
 
-# Letters whose lower case is all there is to normalising them, then signs that are one token's text.
-_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,!?;:*%&$#]*)").fullmatch
+# Letters whose lower case is all there is to normalising them, and signs that are one token's text behind them.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+_SIGNS = b".,!?;:*%&$#"
 _CHARACTERS = {b: c for c, b in byte_alphabet().items()}
 
 
@@ -125,47 +132,42 @@ class WordIds(dict):
         self.ends_sentence[ends] = True
         self.stems: dict[bytes, bytes] = {}
 
-    def _encode(self, words: list[bytes]) -> None:
-        if len(self.stems) > self.MOST // 2:
-            self.stems.clear()
-        stems, tokenize, other = self.stems, self.model.tokenize, []
-        for word in words:
-            plain = _PLAIN(word.lower())
-            if not plain:
-                other.append(word)
-                continue
-            stem, tail = plain.groups()
-            made = stems.get(stem)
-            if made is None:
-                # Letters of U+00DF to U+00FF are two bytes, each of them a character of the vocabulary.
-                text = stem.decode() if stem.isascii() else stem.decode("latin-1").translate(_CHARACTERS)
-                ids = [t.id for t in tokenize(text)]
-                made = struct.pack(f"<{len(ids)}I", *ids)
-                if len(stem) <= self.LONGEST:
-                    stems[stem] = made
-            if tail:
-                behind = stems.get(tail)
-                if behind is None:
-                    behind = stems[tail] = self._ask([tail])[0]
-                made += behind
+    def __missing__(self, word: bytes) -> bytes:
+        low = word.lower()
+        stem = low.rstrip(_SIGNS)
+        made = self.stems.get(stem) or (self._stem(stem) if _PLAIN(stem) else None)
+        if made is None:
+            made = self._ask(word)
+        elif len(stem) < len(low):
+            tail = low[len(stem) :]
+            behind = self.stems.get(tail) or self._ask(tail)
+            if len(tail) <= self.LONGEST:
+                self.stems[tail] = behind
+            made += behind
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
             self[word] = made
-        self.update(zip(other, self._ask(other)))
-
-    def _ask(self, words: list[bytes]) -> list[bytes]:
-        made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in made]
+        return made
+
+    def _stem(self, stem: bytes) -> bytes:
+        """Ids of a word of plain letters."""
+        # Letters of U+00DF to U+00FF are two bytes, each of them a character of the vocabulary.
+        text = stem.decode() if stem.isascii() else stem.decode("latin-1").translate(_CHARACTERS)
+        ids = [t.id for t in self.model.tokenize(text)]
+        made = struct.pack(f"<{len(ids)}I", *ids)
+        if len(stem) <= self.LONGEST:
+            if len(self.stems) >= self.MOST // 2:
+                self.stems.clear()
+            self.stems[stem] = made
+        return made
+
+    def _ask(self, word: bytes) -> bytes:
+        made = self.tokenizer.encode_batch_fast([word.decode("utf-8", "replace")], add_special_tokens=False)[0]
+        return np.asarray(made.ids, "<u4").tobytes()
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        if len(self) > self.MOST:
-            self.clear()
-        new = list(set().union(*split) - self.keys())
-        long = [w for w in new if len(w) > self.LONGEST]
-        self._encode(new)
-        out = [b"".join(map(self.__getitem__, words)) for words in split]
-        for w in long:
-            del self[w]
-        return out
+        return [b"".join(map(self.__getitem__, t.split())) for t in texts]
 
 
 @functools.lru_cache(maxsize=1)

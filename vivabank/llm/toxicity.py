@@ -237,9 +237,9 @@ class _Words:
             self.words.clear()
         if len(self.cores) > self.MOST:
             self.cores.clear()
-        new = list(words - self.words.keys())
+        new = [w for w in words if w not in self.words]
         cores = [w.lower().strip(_AROUND) or w.lower() for w in new]
-        unseen = list(set(cores) - self.cores.keys())
+        unseen = [c for c in set(cores) if c not in self.cores]
         for i in range(0, len(unseen), self.TOGETHER):
             part = unseen[i : i + self.TOGETHER]
             at, owner = subwords_of_all(part, len(self.values))
