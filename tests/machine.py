@@ -1,59 +1,55 @@
 """A session walked one answer at a time, as the yardstick for the Spark folds."""
 
 LIMITS = {"Easy": 5, "Medium": 8, "Hard": 5}
-ORDER = ["Easy", "Medium", "Hard"]
+
+
+FULL = LIMITS["Medium"] * 10
+# What the end of a phase leads to, and what it says: by level and whether 70 % of a full Medium phase were reached.
+ENDS = {
+    ("Easy", False): ("Medium", "Easy round complete. Advancing to Medium."),
+    ("Easy", True): ("Medium", "Easy round complete. Advancing to Medium."),
+    ("Medium", True): ("Hard", "Medium round complete ({pct:.0f}%). Advancing to Hard."),
+    ("Medium", False): (None, "Medium round complete ({pct:.0f}%). Below threshold (70%). Interview concluded."),
+    ("Hard", False): (None, "Hard round complete. Interview finished!"),
+    ("Hard", True): (None, "Hard round complete. Interview finished!"),
+}
 
 
 class Session:
     def __init__(self, pool=None):
-        self.pool = dict(pool or LIMITS)
-        self.level, self.asked, self.score = "Easy", 0, 0
+        self.length = {k: min(n, (pool or LIMITS)[k]) for k, n in LIMITS.items()}
+        self.level, self.marks = "Easy", []  # marks of the phase
         self.total = self.possible = 0
         self.turns, self.message, self.done, self.quit = [], "", False, False
-        self.left = {k: min(v, LIMITS[k]) for k, v in self.pool.items()}
 
-    def advance(self):
-        if self.asked < LIMITS[self.level]:
-            return False
-        ratio = self.score / (self.asked * 10)
-        if self.level == "Easy":
-            self.message = "Easy round complete. Advancing to Medium."
-        elif self.level == "Hard":
-            self.message, self.done = "Hard round complete. Interview finished!", True
-            return True
-        elif ratio >= 0.7:
-            self.message = f"Medium round complete ({ratio * 100:.0f}%). Advancing to Hard."
-        else:
-            self.message = f"Medium round complete ({ratio * 100:.0f}%). Below threshold (70%). Interview concluded."
-            self.done = True
-            return True
-        self.level = ORDER[ORDER.index(self.level) + 1]
-        self.asked = self.score = 0
-        return True
+    @property
+    def asked(self):
+        """Answers of the phase; a phase that is over counts as full."""
+        return LIMITS[self.level] if self.done else len(self.marks)
 
     def settle(self):
-        """Advance over full and exhausted phases until a question can be asked."""
-        while not self.done:
-            if self.advance():
-                continue
-            if self.left[self.level] > 0:
-                return
-            self.asked = LIMITS[self.level]
+        """Leave phases that have nothing (more) to ask; the last one left gives the message."""
+        while not self.done and len(self.marks) == self.length[self.level]:
+            reached = sum(self.marks)
+            following, text = ENDS[self.level, reached >= 0.7 * FULL]
+            self.message = text.format(pct=reached / FULL * 100)
+            if following is None:
+                self.done = True
+            else:
+                self.level, self.marks = following, []
 
     def answer(self, seq, score):
         if self.done:
             return False
         self.message = ""
         level = self.level
-        self.left[level] -= 1
-        self.asked += 1
-        q_num = self.asked
-        self.score += score
+        self.marks.append(score)
+        q_num = len(self.marks)
         self.total += score
         self.possible += 10
         self.settle()
         self.turns.append((seq, level, q_num, self.total, self.possible, self.message, self.level,
-                           None if self.done else self.asked + 1, self.done))
+                           None if self.done else len(self.marks) + 1, self.done))
         return True
 
     def fold(self):

@@ -59,9 +59,17 @@ def bank_cube(bank: DataFrame) -> DataFrame:
     )
     domain_ok = F.col("Domain").isNotNull() | F.col("gid").isin(2, 3)
     level_ok = F.col("Difficulty_Level").isNotNull() | F.col("gid").isin(1, 3)
-    return cubed.where(domain_ok & level_ok).select(
+    groups = cubed.where(domain_ok & level_ok).select(
         F.col("Domain").alias("domain"), F.col("Difficulty_Level").alias("level"), "gid", "rows", "unique_q"
     )
+    # An empty bank has a total, too.
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+    empty = bank.sparkSession.range(1).select(
+        none.alias("domain"), none.alias("level"), F.lit(3).cast("long").alias("gid"), zero.alias("rows"), zero.alias("unique_q")
+    )
+    return groups.unionByName(empty).groupBy("domain", "level", "gid").agg(
+        F.sum("rows").alias("rows"), F.sum("unique_q").alias("unique_q")
+    )
 
 
 def bank_stats(bank: DataFrame) -> DataFrame:
@@ -106,21 +114,27 @@ def domain_list(bank: DataFrame) -> DataFrame:
     )
 
 
+def first_seen_domains(bank: DataFrame, order: str = "ID") -> DataFrame:
+    """The distinct domains in the order they occur first: (ord, domain), from 1.
+
+    Domains meet as one row each, so the order is over as many rows as there are names.
+    """
+    first = bank.where(F.col("Domain").isNotNull()).groupBy(F.col("Domain").alias("domain")).agg(F.min(order).alias("_seen"))
+    return with_position(first, ["_seen", "domain"], out="_place").select((F.col("_place") + 1).alias("ord"), "domain")
+
+
 def stats_lines(bank: DataFrame) -> DataFrame:
-    """The statistics text: a total line, then one line per cell in key order.
+    """The statistics text: a total line, then one line per cell in key order, out of one cube.
 
     Order by (section, domain, level) to read or write the lines.
     """
-    none = F.lit(None).cast("string")
-    total = bank.agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit(0).alias("section"), none.alias("domain"), none.alias("level"),
-        F.format_string("Total rows: %d", "n").alias("line"),
+    total = F.col("gid") == 3
+    line = F.when(total, F.format_string("Total rows: %d", "rows")).otherwise(
+        F.format_string("%s | %s | %d unique", "domain", "level", "unique_q")
     )
-    cells = bank_cells(bank).select(
-        F.lit(1).alias("section"), "domain", "level",
-        F.format_string("%s | %s | %d unique", "domain", "level", "unique_q").alias("line"),
+    return bank_cube(bank).where("gid in (0, 3)").select(
+        F.when(total, F.lit(0)).otherwise(F.lit(1)).alias("section"), "domain", "level", line.alias("line")
     )
-    return total.unionByName(cells)
 
 
 def summary_lines(bank: DataFrame) -> DataFrame:

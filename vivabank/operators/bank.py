@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import infer_domain, map_level
 from ..functions.fixed_values import BANK_COLUMNS, DEFAULT_DOMAIN, DOMAIN_LEXICON, MIN_CHAT_ANSWER, MISSING_TEXTS
 from ..functions.text import chat_parts, dedup_key, strip, text_or
+from ..sources.durable import durable
 from .positions import with_position
 
 # Columns of a canonical source row; (src_ord, row_ord) is its place in the merge.
@@ -111,7 +112,7 @@ def drop_known(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     return new.join(old.select(key).distinct(), key, "left_anti")
 
 
-def _digest(question: Column) -> Column:
+def question_digest(question: Column) -> Column:
     """Key of a question in joins and windows: 16 bytes, whatever the length of the text."""
     return F.unhex(F.md5(dedup_key(question)))
 
@@ -123,10 +124,10 @@ def new_questions(old: DataFrame, merged: DataFrame) -> DataFrame:
     so they share one shuffle, and copies are gone before it. Of the bank only
     digests move.
     """
-    keyed = merged.withColumn("_key", _digest(F.col("Question")))
+    keyed = merged.withColumn("_key", question_digest(F.col("Question")))
     first = keep_first(keyed, "_key", ["src_ord", "row_ord"])
     # A missing question of the bank prints as nan.
-    known = old.select(_digest(text_or(F.col("Question"), "nan")).alias("_key"))
+    known = old.select(question_digest(text_or(F.col("Question"), "nan")).alias("_key"))
     return drop_known(first, known, "_key").drop("_key")
 
 
@@ -148,6 +149,29 @@ def build_bank(old: DataFrame, *sources: DataFrame, lexicon: Mapping[str, Sequen
     return old.select(BANK_COLUMNS).unionByName(with_domain(fresh, lexicon).select(BANK_COLUMNS))
 
 
+def build_bank_observed(
+    old: DataFrame, names: Sequence[str], *sources: DataFrame, path: str, lexicon: Mapping[str, Sequence[str]] = DOMAIN_LEXICON
+) -> DataFrame:
+    """Append the new questions of the sources to the bank at ``path``, and tell the rows of every stage.
+
+    Gives the rows of ``build_audit``. They are counted as the build runs by: each source and the old bank
+    are read once, by the job that finds the new questions, and the largest ID comes from the same pass.
+    """
+    usable, before, added = Observation("usable"), Observation("old bank"), Observation("new")
+    count = F.count(F.lit(1))
+    merged = merge_sources(*sources).observe(
+        usable, *[F.count(F.when(F.col("src_ord") == i, 1)).alias(str(i)) for i in range(len(names))]
+    )
+    bank = old.observe(before, count.alias("rows"), F.max("ID").alias("largest"))
+    fresh = durable(new_questions(bank, merged).observe(added, count.alias("rows")), "new-questions")
+    placed = with_position(fresh, ["src_ord", "row_ord"], out="_place")
+    numbered = placed.withColumn("ID", F.col("_place") + F.lit((before.get["largest"] or 0) + 1))
+    with_domain(numbered, lexicon).select(BANK_COLUMNS).write.mode("append").parquet(path)
+    counts = [*[usable.get[str(i)] for i in range(len(names))], before.get["rows"], added.get["rows"]]
+    rows = list(zip([*names, "old bank", "new after dedup", "final"], [*counts, counts[-2] + counts[-1]]))
+    return old.sparkSession.createDataFrame(rows, "stage string, rows long")
+
+
 def build_audit(old: DataFrame, names: Sequence[str], *sources: DataFrame) -> DataFrame:
     """Rows per stage of a build: usable per source, old bank, new rows, final bank."""
     merged = merge_sources(*sources)

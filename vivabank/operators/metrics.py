@@ -75,7 +75,7 @@ def latency_box(cases: DataFrame) -> DataFrame:
         (q3 + 1.5 * (q3 - q1)).alias("_high"),
     )
     # Equal latencies as one row: the tier's rows never meet in one task.
-    counted = cases.where("latency_ms is not null").groupBy("tier", "latency_ms").agg(F.count(F.lit(1)).alias("_n"))
+    counted = cases.where(F.col("latency_ms").isNotNull() & ~F.isnan(F.col("latency_ms").cast("double"))).groupBy("tier", "latency_ms").agg(F.count(F.lit(1)).alias("_n"))
     value = F.col("latency_ms").cast("double")
     inside = value.between(F.col("_low"), F.col("_high"))
     joined = counted.join(F.broadcast(fences), F.col("tier") == F.col("_tier"))  # three rows

@@ -348,7 +348,7 @@ def resolve_domains(requests: DataFrame, bank: DataFrame) -> DataFrame:
     without case. Domains and texts meet on the text's first characters (up to
     three), so there is no join of every text with every domain.
     """
-    menu = durable(domain_list(bank), "menu")
+    menu = domain_list(bank)  # numbered from a table written once
     typed = requests.withColumn("_raw", strip(F.coalesce("raw", F.lit("")))).withColumn("_needle", F.lower("_raw"))
     by_number = F.col("_raw").rlike(r"\A[0-9]+\z")
     needles = typed.where(~by_number).select("_needle").distinct().withColumn("_gram", F.substring("_needle", 1, 3))

@@ -95,10 +95,10 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one array ``quantiles`` and ``n`` per group.
 
-    Equal values are counted first, so a value that fills the table is one row;
+    Null and NaN are left out. Equal values are counted first, so a value that fills the table is one row;
     no task ever holds a group's values.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*group_by, value).agg(
+    counted = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*group_by, value).agg(
         F.count(F.lit(1)).alias("_weight")
     )
     placed = with_running_total(counted, [value], "_weight", group_by, "before", "_total")

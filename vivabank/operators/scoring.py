@@ -180,7 +180,7 @@ def call_model_once(df: DataFrame, prompt: str, factory: ModelFactory, *, reply:
     # As many rows at most as the table has rows by HOT_PROMPT; how they meet the table is left to their size.
     hot = durable(replies.where(F.col("_n") >= HOT_PROMPT).select("_key", F.lit(True).alias("_hot")), "hot-prompts")
     every = F.sequence(F.lit(0), F.when(F.col("_n") >= HOT_PROMPT, F.lit(SHARES - 1)).otherwise(F.lit(0)))
-    shares = replies.drop("_n").withColumn("_share", F.explode(every))
+    shares = replies.withColumn("_share", F.explode(every)).drop("_n")
     dealt = rows.join(hot, "_key", "left").withColumn(
         "_share", F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SHARES))).otherwise(F.lit(0)).cast("int")
     )

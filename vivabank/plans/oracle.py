@@ -575,6 +575,7 @@ def all_oracles() -> dict[str, str]:
            union all select 'old bank', count(*) from old_bank
            union all select 'new after dedup', count(*) from fresh
            union all select 'final', (select count(*) from old_bank) + (select count(*) from fresh)""", *build)
+    q["bank_build_observed"] = q["bank_audit"]
     q["csv_roundtrip"] = sql("select ID, Domain, Difficulty_Level, Question, Reference_Answer from bank", "pairs", "bank")
     q["export_scan"] = """
         select 'json' as kind, concat_ws('/', source, lang) as about, text from documents
@@ -606,6 +607,9 @@ def all_oracles() -> dict[str, str]:
     q["domain_list"] = sql(
         """select row_number() over (order by domain) as ord, domain
            from (select distinct Domain as domain from bank where Domain is not null)""", "pairs", "bank")
+    q["domain_first_seen"] = sql(
+        """select row_number() over (order by min(ID), Domain) as ord, Domain as domain
+           from bank where Domain is not null group by Domain""", "pairs", "bank")
     q["stats_lines"] = sql(
         f"""select 0 as section, null::varchar as domain, null::varchar as level, 'Total rows: ' || count(*) as line from cored
             union all select 1, Domain, Difficulty_Level,
@@ -684,6 +688,7 @@ def all_oracles() -> dict[str, str]:
         replied=f"select *, {_STUB_REPLY} as reply from (select *, {_LIVE_LENGTH} as n from live where route = 'model')",
         **_parsed("reply", "replied"))
 
+    q["score_once"] = q["score_answers"]
     q["benchmark_run"] = sql(
         f"""select id, route, case route when 'match' then 10 when 'overlap' then 9 else 0 end as score, true as timed
             from evaled where route <> 'model'

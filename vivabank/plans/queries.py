@@ -89,26 +89,26 @@ def map_difficulty(spark, sf):
 
 
 def _keyed(df: DataFrame) -> DataFrame:
-    return df.withColumn("_norm", dedup_key(F.col("text")))
+    return df.withColumn("_key", bank_ops.question_digest(F.col("text")))
 
 
 @query
 def dedup_against_bank(spark, sf):
-    old = b.old_bank(spark, sf).select(dedup_key(F.col("Question")).alias("_norm"))
-    return bank_ops.drop_known(_keyed(b.new_documents(spark, sf)), old, "_norm").select("doc_id")
+    old = b.old_bank(spark, sf).select(bank_ops.question_digest(F.col("Question")).alias("_key"))
+    return bank_ops.drop_known(_keyed(b.new_documents(spark, sf)), old, "_key").select("doc_id")
 
 
 @query
 def dedup_keep_first(spark, sf):
     docs = _keyed(b.table(spark, sf, "documents").select("doc_id", "text")).drop("text")
-    return bank_ops.keep_first(docs, "_norm", ["doc_id"]).select("doc_id")
+    return bank_ops.keep_first(docs, "_key", ["doc_id"]).select("doc_id")
 
 
 @query
 def bank_append(spark, sf):
     old = b.old_bank(spark, sf).select("ID", (F.col("ID") - 1).alias("doc_id"), F.col("Question").alias("text"))
-    first = bank_ops.keep_first(_keyed(b.new_documents(spark, sf)), "_norm", ["doc_id"])
-    fresh = bank_ops.drop_known(first, _keyed(old), "_norm").select("doc_id")
+    first = bank_ops.keep_first(_keyed(b.new_documents(spark, sf)).select("doc_id", "_key"), "_key", ["doc_id"])
+    fresh = bank_ops.drop_known(first, _keyed(old), "_key").select("doc_id")
     numbered = bank_ops.next_ids(old, fresh, ["doc_id"])
     return old.select(F.col("ID").alias("id"), "doc_id", F.lit("old").alias("origin")).unionByName(
         numbered.select(F.col("ID").alias("id"), "doc_id", F.lit("new").alias("origin"))
@@ -133,6 +133,14 @@ def bank_audit(spark, sf):
     return bank_ops.build_audit(b.old_bank(spark, sf), ["tabular", "chat", "instruction"], *_sources(spark, sf))
 
 
+@query
+def bank_build_observed(spark, sf):
+    path = new_path(spark, "bank")
+    return bank_ops.build_bank_observed(
+        b.old_bank(spark, sf), ["tabular", "chat", "instruction"], *_sources(spark, sf), path=path
+    )
+
+
 @query
 def csv_roundtrip(spark, sf):
     path = new_path(spark, "bank-csv")
@@ -164,6 +172,11 @@ def export_scan(spark, sf):
 # --- bank analytics -----------------------------------------------------------
 
 
+@query
+def domain_first_seen(spark, sf):
+    return analytics.first_seen_domains(b.bank(spark, sf))
+
+
 @query
 def bank_stats(spark, sf):
     return analytics.bank_stats(b.bank(spark, sf))
@@ -306,6 +319,11 @@ def score_answers(spark, sf):
     return scoring.score_answers(b.answers(spark, sf), length_model).select("id", "route", "score", "feedback")
 
 
+@query
+def score_once(spark, sf):
+    return scoring.score_answers(b.answers(spark, sf), length_model, once=True).select("id", "route", "score", "feedback")
+
+
 @query
 def benchmark_run(spark, sf):
     timed = scoring.score_benchmark(b.answers(spark, sf), length_model, answer="answer")
