@@ -1,7 +1,8 @@
 """License scan: phrases, and an exact set-similarity join of text blocks with license notices.
 
-A block is BLOCK words of a document; blocks overlap by half and cover all of it. A notice is found
-in a block that holds at least the share ``containment`` of its distinct words. The join is exact:
+A block is BLOCK words of a document, or twice as many as the notice has where that is more; blocks
+overlap by half and cover all of it, so a notice lies whole in some block. It is found in a block that
+holds at least the share ``containment`` of its distinct words. The join is exact:
 
 * global order: the words of all notices, rarest in the corpus first, counted over every document;
 * prefix: a block that holds ``ceil(c * |T|)`` words of T holds one of its ``|T| - ceil(c * |T|) + 1`` rarest;
@@ -24,11 +25,12 @@ from pyspark.sql import functions as F
 
 from .batches import annotate
 
+#: Least words of a block.
 BLOCK = 96
 
 # Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-# Opening notices of public licenses.
+# Opening notices of public licenses, and paragraphs that stand without them.
 NOTICES = {
     "apache-2.0": "licensed under the apache license version 2 0",
     "apache-2.0-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance"
@@ -41,6 +43,14 @@ NOTICES = {
     " public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "cc-by-notice": "this work is licensed under a creative commons attribution 4 0 international license",
+    "mit-warranty": "the software is provided as is without warranty of any kind express or implied including but not limited to"
+    " the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "bsd-warranty": "this software is provided by the copyright holders and contributors as is and any express or implied warranties"
+    " including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "apache-2.0-warranty": "unless required by applicable law or agreed to in writing software distributed under the license is"
+    " distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "gpl-warranty": "this program is distributed in the hope that it will be useful but without any warranty without even the implied"
+    " warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
 }
 
@@ -58,27 +68,29 @@ class Index:
     def __init__(self, notices: dict[str, str], counts: dict[bytes, int], containment: float):
         self.containment = containment
         self.sets = {label: sorted(set(words_of(t.encode())), key=lambda w: (counts.get(w, 0), w)) for label, t in notices.items()}
+        self.block = {label: max(BLOCK, 2 * len(words_of(t.encode()))) for label, t in notices.items()}
         self.needed = {label: max(1, math.ceil(containment * len(ws) - 1e-9)) for label, ws in self.sets.items()}
         self.rank = {label: {w: i for i, w in enumerate(ws)} for label, ws in self.sets.items()}
-        self.prefix: dict[bytes, list[tuple[str, int]]] = {}
+        # By size of block: word -> notices that have it in their prefix, and its place there.
+        self.prefix: dict[int, dict[bytes, list[tuple[str, int]]]] = {}
         for label, ws in self.sets.items():
             for i, w in enumerate(ws[: len(ws) - self.needed[label] + 1]):
-                self.prefix.setdefault(w, []).append((label, i))
-        self.prefix_words = frozenset(self.prefix)
+                self.prefix.setdefault(self.block[label], {}).setdefault(w, []).append((label, i))
 
     def matches(self, words: list[bytes]) -> list[tuple[int, str, float]]:
-        """(block, label, containment) of every block of a document and notice that reach the threshold."""
-        if self.prefix_words.isdisjoint(words):
-            return []
-        half = BLOCK // 2
-        last = max(0, -(-(len(words) - BLOCK) // half)) if len(words) > BLOCK else 0
-        blocks = {b for i, w in enumerate(words) if w in self.prefix for b in (i // half - 1, i // half) if 0 <= b <= last}
+        """(first word, label, containment) of every block of a document and notice that reach the threshold."""
+        return [m for size, prefix in self.prefix.items() if not prefix.keys().isdisjoint(words) for m in self._in_blocks(words, size, prefix)]
+
+    def _in_blocks(self, words: list[bytes], size: int, prefix: dict[bytes, list[tuple[str, int]]]) -> list[tuple[int, str, float]]:
+        half = size // 2
+        last = max(0, -(-(len(words) - 2 * half) // half)) if len(words) > 2 * half else 0
+        blocks = {b for i, w in enumerate(words) if w in prefix for b in (i // half - 1, i // half) if 0 <= b <= last}
         found = []
         for b in sorted(blocks):
-            own = set(words[b * half : b * half + BLOCK])
+            own = set(words[b * half : (b + 2) * half])
             tried = set()
-            for w in own & self.prefix_words:
-                for label, place in self.prefix[w]:
+            for w in own & prefix.keys():
+                for label, place in prefix[w]:
                     need, ws = self.needed[label], self.sets[label]
                     # Length and position: w may not be the block's first word of T, so count what came before it too.
                     if label in tried or len(own) < need:
@@ -89,7 +101,7 @@ class Index:
                     tried.add(label)
                     overlap = sum(x in own for x in ws)
                     if overlap >= need:
-                        found.append((b, label, overlap / len(ws)))
+                        found.append((b * half, label, overlap / len(ws)))
         return found
 
 
@@ -128,7 +140,8 @@ def scan_licenses(
     ``n_base`` counts all places of phrases; first and last word are the smallest and largest start.
     ``labels`` has the phrases' labels and the notices'. ``score`` is 1 where a phrase stands, else the
     largest containment reached by a block, else 0. ``blocks``: first word, label and containment of
-    each block found. A null or empty text has no words, null places and empty labels.
+    each block found. A null or empty text has no words, null places and empty labels. Repeated rows are
+    scanned each; columns with the added names are replaced.
     """
     every = {w for t in notices.values() for w in words_of(t.encode())}
     index = Index(notices, word_counts(docs, every), containment)
@@ -153,7 +166,7 @@ def scan_licenses(
                 base.append(",".join(sorted(own)))
                 labels.append(",".join(sorted(own | {label for _, label, _ in found})))
                 score.append(1.0 if starts else max((c for _, _, c in found), default=0.0))
-                blocks.append([{"first_word": b * (BLOCK // 2), "label": label, "containment": c} for b, label, c in found])
+                blocks.append([{"first_word": at, "label": label, "containment": c} for at, label, c in found])
             return [np.array(n), np.array(n_base), first, last, base, labels, score, blocks]
 
         return compute
