@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +38,12 @@ def parameters(n: int, cosine: float, width: float, recall: float) -> tuple[int,
     return k, math.ceil(math.log(1 - recall) / math.log1p(-(near**k)))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
+def _by_dimension(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The rows of a batch by the dimension of their vectors, with these as a matrix."""
+    sizes = np.asarray(pc.list_value_length(batch.column(column)))
+    for d in np.unique(sizes):
+        part = batch.filter(pa.array(sizes == d))
+        yield part, np.asarray(part.column(column).flatten()).astype(np.float64).reshape(-1, d)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -51,9 +56,9 @@ def _hashed(vectors: DataFrame, k: int, tables: int, width: float, seed: int) ->
         planes: dict[int, tuple] = {}
         mix = np.random.default_rng(seed + 1).integers(1, 1 << 62, k, dtype=np.int64) | 1
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
-                x = _unit(_matrix(part.column(2)))
+            pieces = (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048))
+            for part, x in (found for piece in pieces for found in _by_dimension(piece, 2)):
+                x = _unit(x)
                 d = x.shape[1]
                 if d not in planes:
                     random = np.random.default_rng(seed)
@@ -70,9 +75,23 @@ def _hashed(vectors: DataFrame, k: int, tables: int, width: float, seed: int) ->
     return vectors.select("label", "rep", "embedding", "copies").mapInArrow(run, schema)
 
 
+def _lowest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest number that each row and column reaches over the marked places of ``near``."""
+    none = np.iinfo(np.int64).max
+    while True:
+        to_left = np.minimum(left, np.where(near, right[None, :], none).min(1, initial=none))
+        to_right = np.minimum(right, np.where(near, to_left[:, None], none).min(0, initial=none))
+        if (to_left == left).all() and (to_right == right).all():
+            return left, right
+        left, right = to_left, to_right
+
+
 def _compare(cosine: float):
-    """Links inside each group of rows; rows come sorted by group."""
-    names = ["a", "b", "copies_a", "copies_b"]
+    """For each row of a group: the links that first show there, and the smallest row it reaches in it.
+
+    Rows come sorted by group. A dense group gives one row per vector, not one per link.
+    """
+    names = ["rep", "n", "low"]
 
     def links(rows: list[dict]) -> pa.RecordBatch:
         rep, copies = np.array([r["rep"] for r in rows]), np.array([r["copies"] for r in rows])
@@ -82,14 +101,20 @@ def _compare(cosine: float):
         low, high, table = rows[0]["low"], rows[0]["high"], rows[0]["table"]
         left = np.nonzero(side == low)[0]
         right = left if low == high else np.nonzero(side == high)[0]
-        i, j = np.nonzero(x[left] @ x[right].T >= cosine)
-        i, j = left[i], right[j]
-        once = rep[i] < rep[j] if low == high else rep[i] != rep[j]
-        i, j = i[once], j[once]
-        # A pair that meets in several tables counts in the first.
-        first = (buckets[i] == buckets[j]).argmax(1) == table
-        i, j = i[first], j[first]
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in (rep[i], rep[j], copies[i], copies[j])], names=names)
+        near = x[left] @ x[right].T >= cosine
+        near &= rep[left][:, None] != rep[right][None, :]
+        least = np.full(len(rows), np.iinfo(np.int64).max)
+        for at, numbers in zip((left, right), _lowest(near, rep[left], rep[right])):
+            least[at] = np.minimum(least[at], numbers)
+        i, j = np.nonzero(near)
+        # A pair that meets in several tables counts in the first; inside a block both rows see it.
+        first = (buckets[left[i]] == buckets[right[j]]).argmax(1) == table
+        i, j = left[i[first]], right[j[first]]
+        n = np.bincount(i, copies[j], len(rows))
+        if low != high:
+            n += np.bincount(j, copies[i], len(rows))
+        linked = (least < rep) | (n > 0)
+        return pa.RecordBatch.from_arrays([pa.array(v[linked]) for v in (rep, n.astype(np.int64), least)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
@@ -143,16 +168,10 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.93, width: float = 2.0, r
     )
     group = [*key, "low", "high"]
     links = durable(
-        dealt.repartition(*group).sortWithinPartitions(*group)
-        .mapInArrow(_compare(cosine), "a long, b long, copies_a long, copies_b long"),
-        "vector-links",
-    )
-    degrees = (
-        links.select(F.col("a").alias("rep"), F.col("copies_b").alias("n"))
-        .unionByName(links.select(F.col("b").alias("rep"), F.col("copies_a").alias("n")))
-        .groupBy("rep").agg(F.sum("n").alias("n"))
+        dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(_compare(cosine), "rep long, n long, low long"), "vector-links"
     )
-    found = components(links).withColumnRenamed("node", "rep")
+    degrees = links.groupBy("rep").agg(F.sum("n").alias("n"))
+    found = components(links.select(F.col("rep").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "rep")
     facts = classes.join(degrees, "rep", "left").join(found, "rep", "left").select(
         "label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("component", "rep").alias("component_id"),
