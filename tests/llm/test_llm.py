@@ -247,14 +247,62 @@ def test_set_join_is_exact():
     index = licenses.Index(notices, {w.encode(): random.randint(0, 9) for w in words}, 0.7)
     for _ in range(40):
         text = [w.encode() for w in random.choices(words + ["z"] * 60, k=random.randint(0, 400))]
-        half, want = licenses.BLOCK // 2, set()
-        for b in range(max(1, -(-(len(text) - licenses.BLOCK) // half) + 1)):
-            own = set(text[b * half : b * half + licenses.BLOCK])
-            for label, notice in notices.items():
-                t = set(notice.encode().split())
-                if len(t & own) / len(t) >= 0.7 - 1e-9:
-                    want.add((b, label))
-        assert {(b, label) for b, label, _ in index.matches(text)} == want
+        want = set()
+        for label, notice in notices.items():
+            half = max(licenses.BLOCK, 2 * len(notice.split())) // 2
+            t = set(notice.encode().split())
+            for b in range(max(1, -(-(len(text) - 2 * half) // half) + 1)):
+                if len(t & set(text[b * half : (b + 2) * half])) / len(t) >= 0.7 - 1e-9:
+                    want.add((b * half, label))
+        assert {(at, label) for at, label, _ in index.matches(text)} == want
+
+
+def test_long_notices_and_phrases_in_random_texts(spark):
+    random.seed(15)
+    long = " ".join(f"law{i}" for i in range(400))
+    words = ["cc", "by", "CC", "general", "public", "license", "all", "rights", "reserved", "x", "é", "cc-by", "by,"]
+    texts = [" ".join(random.choices(words, k=random.randrange(40))) for _ in range(200)]
+    texts += [" ".join(["x"] * k + [long] + ["y"] * 700) for k in (0, 130, 399, 777)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs.unionByName(docs), notices={"long": long}).collect()}
+    assert all((got[i].score, got[i].labels) == (1.0, "long") for i in range(200, 204))
+    for i, text in enumerate(texts[:200]):
+        own = [w for w in "".join(c if c.isalnum() else " " for c in text.lower()).split()]
+        places = [
+            (k, label) for p, label in licenses.PHRASES.items() for k in range(len(own)) if own[k : k + len(p.split())] == p.split()
+        ]
+        starts = [k for k, _ in places]
+        want = (len(own), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places})))
+        assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels) == want
+
+
+def test_repeated_vectors_and_other_dimensions(spark):
+    rows = [(20, [1.0, 2.0]), (20, [1.0, 2.0]), (1, [3.0]), (2, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (None, [1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = inner_products.top_products(frame, k=5).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == [(20, 1, 1, 64 * 192), (20, 2, 2, 64 * 32 + 128 * 32)]
+    assert inner_products.top_products(frame.limit(0)).count() == 0
+    mixed = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0], 1), (3, [2.0, 0.1], 1)], "vec_id long, embedding array<float>, label int")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embeddings.link_vectors(mixed).collect()} == {1: (1, 1), 2: (0, 2), 3: (1, 1)}
+    assert embeddings.link_vectors(mixed.limit(0)).count() == 0
+
+
+def test_rows_without_an_id_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STRATUM", 8)
+    docs = spark.createDataFrame([(None, f"w {i} " * (i % 5), "a") for i in range(400)] + [(1, "x y", "b")], "doc_id long, text string, source string")
+    sizes = mixing.mix(docs).where("source = 'a'").groupBy("size").agg(F.countDistinct("copies").alias("n")).collect()
+    assert len(sizes) == 5
+    whole = mixing.mix(docs).where("source = 'a'").agg(F.sum(F.col("size") * F.col("copies")).alias("t"), F.max("target").alias("w")).first()
+    assert abs(whole.t - whole.w) <= 10 * (400 // 8 + 1)
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, source string, lang string, fingerprint string, component_id long")
+    assert simhash.near_duplicates(docs).count() == simhash.keep_one(docs).count() == 0
+    assert licenses.scan_licenses(docs).count() == 0
+    assert packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).count() == 0
+    model = quality.learn(labelled.Sample([b"a", b"b"], [1, 1], [1.0, 1.0]))
+    assert quality.score_quality(docs, model).count() == 0 and quality.scorer(model)([b"", b"x"]).tolist() == pytest.approx([1.0, 1.0])
 
 
 def test_reply_trees(spark):

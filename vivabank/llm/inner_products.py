@@ -157,12 +157,13 @@ def top_products(vectors: DataFrame, every: int = 20, k: int = 20, scale: float
 
     Vectors (vec_id, embedding) become floor(scale * component). Queries are the rows whose vec_id is
     divisible by ``every``. Ties go to the smaller vec_id. Rows without id, or whose vector is null or
-    holds null or non-finite components, take no part; shorter vectors count as filled with zeros.
+    holds null or non-finite components, take no part; shorter vectors count as filled with zeros. Rows
+    that repeat an id and its vector count once; an id with several vectors is a candidate with each.
     Scores are exact while they fit in 53 bits. Queries are copied to every lane, candidates to every
     block of QUERIES queries: that is the stated set of queries against all rows, in blocks.
     """
     spark = vectors.sparkSession
-    rows = durable(quantised(vectors, scale), "products")
+    rows = durable(quantised(vectors, scale).dropDuplicates(["vec_id", "x"]), "products")
     is_query = F.pmod(F.col("vec_id"), F.lit(every)) == 0
     facts = rows.agg(F.max(F.size("x")).alias("d"), F.count_if(is_query).alias("q")).first()
     dimension = max(1, facts.d or 0)

@@ -60,12 +60,14 @@ def mix(docs: DataFrame, seed: str = "mix", cap: int = 3) -> DataFrame:
     sized = docs.drop("size", "source_size", "target", "copies").withColumn("size", words(F.col("text")))
     # One row per source; small or not is for Spark's own size check to say.
     targets = source_targets(sized.select("source", "size"), cap).withColumn("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
+    # Ids may be null or repeat: the text tells such rows apart.
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
     rows = (
         sized.withColumn("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
         .join(targets.drop("source"), "_key")
         .withColumn("_rate", rate)
-        .withColumn("_h", _number(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+        .withColumn("_h", _number(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest)))
         .withColumn("_stratum", F.col("_h") % F.ceil(F.col("source_docs") / F.lit(STRATUM)))
     )
     place = F.row_number().over(Window.partitionBy("_key", "_stratum").orderBy(F.desc("size"), "_h", "doc_id"))

@@ -123,7 +123,8 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _SIZED = r"""
 sized as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+         md5(coalesce(text, '')) as digest from documents
 )"""
 
 OP8 = f"""
@@ -146,7 +147,7 @@ with recursive {_SIZED}, sources as (
 ), rated as (
   select d.doc_id, d.source, d.size, t.source_size, t.target,
          case when t.source_size > 0 then t.target / t.source_size else 1.0 end as rate,
-         ('0x' || md5('mix:' || coalesce(d.doc_id::varchar, ''))[1:8])::bigint as h,
+         ('0x' || md5('mix:' || coalesce(d.doc_id::varchar, '') || ':' || d.digest)[1:8])::bigint as h,
          coalesce('=' || d.source, 'null') as key, t.docs
   from sized d join targets t on d.source is not distinct from t.source
 ), placed as (
@@ -209,7 +210,7 @@ from v left join (select a, count(*) as n from links group by a) n on n.a = v.ve
 
 OP6 = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings
+  select distinct vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings
   where coalesce(len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0, false)
 ), scored as (
   select q.vec_id as query_id, v.vec_id, list_dot_product(q.e, v.e)::bigint as score
