@@ -1,11 +1,15 @@
 """The session machine: text keys, faults, starts, wrap-up records, take-over, expiry, scoring and the table of states."""
 
+import os
 import random
+import subprocess
+import sys
 import time
 import uuid
 
 import pytest
 from machine import run
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from test_scoring import BANK, graded
 from test_sessions import LOG, folds, make_log, make_pools
@@ -40,6 +44,20 @@ def _machine(spark, events, rules, label="rows"):
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def test_the_processor_needs_nothing_of_the_package(tmp_path):
+    """It is also loaded beside the driver, where the package may not be on the path."""
+    cloudpickle.register_pickle_by_value(stream)
+    try:
+        data = cloudpickle.dumps(stream.SessionMachine(Rules(history=True, patience_ms=5, quit_ends=True), 56))
+    finally:
+        cloudpickle.unregister_pickle_by_value(stream)
+    (tmp_path / "machine").write_bytes(data)
+    code = "import pickle, sys; m = pickle.load(open('machine', 'rb')); assert 'vivabank.operators' not in sys.modules; print(m.rules.most)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, check=False)
+    assert done.stdout.strip() == "18", done.stderr
+
+
 def test_text_keys_and_faulty_rows(spark):
     names = {s: str(uuid.UUID(int=random.Random(s).getrandbits(128))) for s in range(40)}
     log = make_log(31, 40)
@@ -219,10 +237,8 @@ def test_live_scoring_equals_interviews(spark, tmp_path):
     folder = str(tmp_path)
 
     def counted():
-        import os
-
         def ask(prompts):
-            with open(os.path.join(folder, uuid.uuid4().hex), "w") as f:
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
                 f.write("\n".join(str(p.split("worth ")[1].split(" ")[0]) for p in prompts))
             return graded()(prompts)
 

@@ -604,11 +604,11 @@ def stored_sessions(spark, sf):
 
 @query
 def stream_takeover(spark, sf):
-    # Answers to the end of a day came in a batch; the others come as a stream that goes on from there.
-    day = b.table(spark, sf, "events").agg(F.percentile("event_id", F.lit(0.5)).alias("m")).first()["m"]
-    early = b.events_to_log(b.table(spark, sf, "events").where(F.col("event_id") <= day))
+    # The earlier half of the answers came in a batch; the others come as a stream that goes on from there.
+    middle = b.table(spark, sf, "events").agg(F.avg(F.col("event_id").cast("double")).alias("m")).first()["m"]
+    early = b.events_to_log(b.table(spark, sf, "events").where(F.col("event_id") <= middle))
     state = durable(streaming.fold_state(session_ops.used_answers(session_ops.first_answers(early))), "fold-state")
-    late = b.events_to_log(_event_stream(spark, sf).where(F.col("event_id") > day))
+    late = b.events_to_log(_event_stream(spark, sf).where(F.col("event_id") > middle))
     checkpoint = new_path(spark, "takeover-state")
     streaming.run_available(streaming.session_stream(late, initial=state), checkpoint=checkpoint)
     return streaming.stored_sessions(spark, checkpoint)

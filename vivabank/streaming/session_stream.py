@@ -124,9 +124,10 @@ class SessionMachine(StatefulProcessor):
     stream by, so a session with very many rows needs no more memory than any other.
     """
 
-    def __init__(self, rules: Rules) -> None:
+    def __init__(self, rules: Rules, least: int) -> None:
+        # The processor is also loaded where the package may not be at hand: it calls nothing outside this module.
         self.rules = rules
-        self.least = medium_pass(rules.phases)
+        self.least = least  # marks that pass Medium
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -442,7 +443,7 @@ def run_machine(events: DataFrame, rules: Rules, initial: DataFrame | None = Non
     if initial is not None:
         given = initial.withColumn("lane", F.lit(0)).groupBy("session", "lane")
     return lanes.groupBy("session", "lane").transformWithStateInPandas(
-        statefulProcessor=SessionMachine(rules),
+        statefulProcessor=SessionMachine(rules, medium_pass(rules.phases)),
         outputStructType=_schema(key, rules),
         outputMode="Append",
         timeMode="ProcessingTime" if rules.timed else "None",
