@@ -2,10 +2,12 @@
 
 Every session has one small row of state, and what a micro-batch brings for it is walked at once, as
 arrays: an answer's level and place follow from its number, the Medium gate from a running sum.
+Sessions share the groups of the stateful step: a group costs a pass from Spark to Python and back, so there
+are ``Rules.buckets`` of them however many sessions there are, and a bucket is a map of its sessions' rows.
 
 * A session can use as many answers as its phases are long. Rows of a session far behind them in their
-  Arrow batch are certainly refused, so they are grouped apart from the session, batch by batch: a session
-  with a large share of the stream does not fill one task.
+  Arrow batch are certainly refused, so they are grouped apart from the session, batch by batch and bucket by
+  bucket: a session with a large share of the stream does not fill one task.
 * Rows without a session, a number or a score are refused as well, with the reason, and end nothing.
 * Session keys may be of any type.
 
@@ -14,7 +16,7 @@ Needs the RocksDB state store, see ``run_available``.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,6 +39,7 @@ _STATE = (
 )
 _STATE_FIELDS = [x.split()[0] for x in _STATE.split(", ")]
 _NEW = dict(zip(_STATE_FIELDS, (False, 0, 0, 0, 0, 0, 0, None, False, None, 0)))
+_LIMITS = ("easy", "medium", "hard")
 #: Columns of a turn; ``{key}`` is the type of the session.
 _TURN = (
     "session {key}, seq bigint, pos int, level string, q_num int, score int, total bigint, possible bigint, "
@@ -45,6 +48,7 @@ _TURN = (
 _ITEM = "pos int, question string, answer string, score int, feedback string, level string"
 _MORE = "kind string, domain string, ended boolean, last_score int"
 _HISTORY = "history array<struct<" + ",".join(x.replace(" ", ":") for x in _ITEM.split(", ")) + ">>"
+_ITEMS = _HISTORY.removeprefix("history ")
 _ITEM_FIELDS = [x.split()[0] for x in _ITEM.split(", ")]
 
 NOT_FOUND, COMPLETE, STARTED_BEFORE, SURPLUS = "session not found", "session complete", "session started before", "surplus"
@@ -67,7 +71,8 @@ class Rules:
     ``needs_start``: answers count only after a start; before it they wait ``patience_ms``, or are refused
     at once. ``history``: used answers are kept and a wrap-up record comes when the session ends. ``quit_ends``:
     the word quit ends it. ``idle_ms``: a session silent for so long ends with what it answered, and its
-    state is dropped. ``extra``: text columns of the answers that turns carry along.
+    state is dropped. ``extra``: text columns of the answers that turns carry along. ``buckets``: sessions share this many
+    groups of the stateful step, and keep to them as long as a checkpoint lives.
     """
 
     phases: Phases = field(default_factory=lambda: dict(PHASE_LIMITS))
@@ -77,6 +82,7 @@ class Rules:
     quit_ends: bool = False
     idle_ms: int | None = None
     extra: tuple[str, ...] = ()
+    buckets: int = 4096
 
     @property
     def most(self) -> int:
@@ -120,187 +126,272 @@ def walk(easy: int, medium: int, hard: int, answered: int, medium_sum: int, scor
 class SessionMachine(StatefulProcessor):
     """Walks a session's answers in ``seq`` order inside a micro-batch, in arrival order across them.
 
+    Sessions are handed over a bucket at a time: frames are sorted and cut for all of them at once, and each has
+    its own small row in the bucket's map, read and written only if the micro-batch brings something for it.
     Of a micro-batch only as many answers as a session can use are held; the others are refused while they
     stream by, so a session with very many rows needs no more memory than any other.
     """
 
-    def __init__(self, rules: Rules, least: int) -> None:
+    def __init__(self, rules: Rules, least: int, key: str = "bigint") -> None:
         # The processor is also loaded where the package may not be at hand: it calls nothing outside this module.
         self.rules = rules
         self.least = least  # marks that pass Medium
+        self.key = key  # type of the session
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.session = handle.getValueState("session", _STATE)
+        name = f"session {self.key}"
+        self.session = handle.getMapState("session", name, _STATE)
         if self.rules.history:
-            self.items = handle.getListState("history", _ITEM)
+            self.items = handle.getMapState("history", name, f"items {_ITEMS}")
         if self.rules.patience_ms:
-            texts = "".join(f", {c} string" for c in self.rules.texts)
-            self.waiting = handle.getListState("waiting", f"seq bigint, score int, quit boolean{texts}")
+            texts = "".join(f",{c}:string" for c in self.rules.texts)
+            self.waiting = handle.getMapState("waiting", name, f"items array<struct<seq:bigint,score:int,quit:boolean{texts}>>")
+        if self.rules.timed:
+            # The sessions that a timer of the bucket is for; it counts for those whose own clock still says so.
+            self.due = handle.getMapState("due", "at bigint", f"sessions array<{self.key}>")
 
     def close(self) -> None:
         pass
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        row = initialState.iloc[0]
-        state = {**_NEW, **{c: row[c] for c in _STATE_FIELDS if c in row}}
-        self.session.update(tuple(_plain(state[c]) for c in _STATE_FIELDS))
+        given = [c for c in _STATE_FIELDS if c in initialState]
+        columns = {c: initialState[c].tolist() for c in given}
+        for i, session in enumerate(initialState["session"].tolist()):
+            state = {**_NEW, **{c: columns[c][i] for c in given}}
+            self.session.updateValue((session,), tuple(_plain(state[c]) for c in _STATE_FIELDS))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out = _Rows(key[0], self.rules)
+        out = _Rows(self.rules)
         if key[1] != 0:
             for frame in rows:
                 out.refuse(frame, SURPLUS if self.rules.needs_start else COMPLETE)
                 yield from out.frames(1 << 12)
             yield from out.frames()
             return
-        found = self.session.get()
-        state = dict(zip(_STATE_FIELDS, found)) if found else dict(_NEW)
+        states = _States(self.session)
+        clocks: dict[int, list] = {}
         answers = None
         for frame in rows:
-            begins = frame[frame["kind"] == 0]
-            frame = frame[frame["kind"] != 0]
-            if len(begins):
-                self._start(state, begins, out)
-            if not self.rules.needs_start and not state["started"] and len(frame):
-                first = frame.iloc[0]
-                state.update(started=True, easy=int(first["easy"]), medium=int(first["medium"]), hard=int(first["hard"]))
+            begins = frame["kind"].to_numpy() == 0
+            if begins.any():
+                self._start(states, frame[begins], out)
+                frame = frame[~begins]
+            if len(frame) and not self.rules.needs_start:
+                self._open(states, frame)
             answers = frame if answers is None else pd.concat([answers, frame], ignore_index=True)
-            answers = self._cut(answers, state, out)
+            answers = self._cut(answers, states, out)
             yield from out.frames(1 << 12)
-        if self.rules.patience_ms:
-            answers = self._wait(key, state, answers, timerValues, out)
-        if len(answers):
-            if state["started"]:
-                self._take(state, answers.sort_values("seq", kind="stable"), out)
-            else:
-                out.refuse(answers, NOT_FOUND)
-        if self.rules.idle_ms and state["started"] and not state["ended"]:
-            self._clock(state, timerValues.getCurrentProcessingTimeInMs() + self.rules.idle_ms)
-        if state["started"] or state["timer"]:
-            self.session.update(tuple(state[c] for c in _STATE_FIELDS))
+        now = timerValues.getCurrentProcessingTimeInMs() if self.rules.timed else 0
+        parts = self._split(answers)
+        for session in list(states) if self.rules.timed else parts:
+            state = states[session]
+            part = parts.get(session) or {c: [] for c in self._columns}
+            if self.rules.patience_ms:
+                part = self._wait(session, state, part, now, clocks, out)
+            if part["seq"]:
+                if state["started"]:
+                    self._take(session, state, part, out)
+                else:
+                    out.refuse_items(session, zip(part["seq"], part["score"]), NOT_FOUND)
+            if self.rules.idle_ms and state["started"] and not state["ended"]:
+                self._clock(session, state, now + self.rules.idle_ms, clocks)
+        states.save()
+        self._set(clocks)
         yield from out.frames()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        found = self.session.get()
-        if not found:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        due = self.due.getValue((at,))
+        if due is None:
             return
-        out = _Rows(key[0], self.rules)
-        state = dict(zip(_STATE_FIELDS, found))
-        if not state["started"]:
-            out.refuse_items(list(self.waiting.get()), NOT_FOUND)
-            self.waiting.clear()
-        elif not state["ended"]:
-            state["timer"] = 0  # it fires now
-            self._end(state, out, "expired")
-        self.session.clear()
+        self.due.removeKey((at,))
+        out = _Rows(self.rules)
+        for session in due[0]:
+            found = self.session.getValue((session,))
+            state = dict(zip(_STATE_FIELDS, found)) if found else dict(_NEW)
+            if state["timer"] != at:
+                continue  # something came since, and set another clock
+            if not state["started"]:
+                out.refuse_items(session, ((x[0], x[1]) for x in self._held(session)), NOT_FOUND)
+                self.waiting.removeKey((session,))
+            elif not state["ended"]:
+                self._end(session, state, out, "expired", self._history(session) if self.rules.history else [])
+            self.session.removeKey((session,))
         yield from out.frames()
 
-    def _start(self, state: dict, begins: pd.DataFrame, out: _Rows) -> None:
+    @property
+    def _columns(self) -> list[str]:
+        return ["seq", "score", "quit", *self.rules.texts]
+
+    def _start(self, states: _States, begins: pd.DataFrame, out: _Rows) -> None:
         for row in begins.itertuples(index=False):
+            state = states[row.session]
             if state["started"]:
-                out.add(kind="reject", reason=STARTED_BEFORE, domain=row.domain)
+                out.add(session=row.session, kind="reject", reason=STARTED_BEFORE, domain=row.domain)
                 continue
             state.update(started=True, easy=int(row.easy), medium=int(row.medium), hard=int(row.hard), domain=row.domain)
             state["ended"] = state["easy"] + state["medium"] == 0
-            out.add(kind="start", level=LEVELS[0], next_level=LEVELS[0], next_q_num=1, done=state["ended"], domain=row.domain)
+            out.add(
+                session=row.session, kind="start", level=LEVELS[0], next_level=LEVELS[0], next_q_num=1, done=state["ended"],
+                domain=row.domain,
+            )
 
-    def _cut(self, answers: pd.DataFrame, state: dict, out: _Rows) -> pd.DataFrame:
-        """The first answers by ``seq``, as many as can be used; the others are refused."""
-        room = 0 if state["ended"] else self.rules.most - state["answered"]
-        if len(answers) <= room:
+    def _open(self, states: _States, frame: pd.DataFrame) -> None:
+        """Sessions begin with their first answer, which tells the phases."""
+        first = frame.drop_duplicates("session")
+        for session, *limits in zip(*(first[c].tolist() for c in ("session", *_LIMITS))):
+            state = states[session]
+            if not state["started"]:
+                state.update(zip(_LIMITS, limits), started=True)
+
+    def _cut(self, answers: pd.DataFrame, states: _States, out: _Rows) -> pd.DataFrame:
+        """The first answers of every session by ``seq``, as many as can be used, in order; the others are refused."""
+        if not len(answers):
             return answers
-        order = answers["seq"].argsort(kind="stable").to_numpy()
-        known = state["started"] or not self.rules.needs_start
-        out.refuse(answers.iloc[order[room:]], COMPLETE if known else SURPLUS)
-        return answers.iloc[order[:room]].reset_index(drop=True)
-
-    def _wait(self, key, state: dict, answers: pd.DataFrame, timerValues, out: _Rows) -> pd.DataFrame:
+        codes, sessions = pd.factorize(answers["session"])
+        order = np.lexsort((answers["seq"].to_numpy(), codes))
+        sizes = np.bincount(codes, minlength=len(sessions))
+        place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        own = [states[x] for x in sessions.tolist()]
+        beyond = place >= np.repeat([self._room(x) for x in own], sizes)
+        if beyond.any():
+            known = np.array([x["started"] or not self.rules.needs_start for x in own])
+            out.refuse(answers.iloc[order[beyond]], np.where(np.repeat(known, sizes)[beyond], COMPLETE, SURPLUS))
+            order = order[~beyond]
+        return answers.iloc[order]
+
+    def _room(self, state: dict) -> int:
+        return 0 if state["ended"] else self.rules.most - state["answered"]
+
+    def _split(self, answers: pd.DataFrame) -> dict[object, dict[str, list]]:
+        """The columns of every session out of answers in its order."""
+        names = answers["session"].tolist()
+        columns = {c: answers[c].tolist() for c in self._columns}
+        edges = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]] + [len(names)]
+        return {names[a]: {c: x[a:b] for c, x in columns.items()} for a, b in zip(edges, edges[1:])}
+
+    def _held(self, session) -> list[tuple]:
+        found = self.waiting.getValue((session,))
+        return [tuple(x) for x in found[0]] if found else []
+
+    def _history(self, session) -> list[tuple]:
+        found = self.items.getValue((session,))
+        return [tuple(x) for x in found[0]] if found else []
+
+    def _wait(self, session, state: dict, part: dict[str, list], now: int, clocks: dict, out: _Rows) -> dict[str, list]:
         """Answers that may be taken now: those that came before the start wait, and join once it is there."""
-        columns = ["seq", "score", "quit", *self.rules.texts]
+        if not state["started"] and not part["seq"]:
+            return part
+        held = self._held(session)
+        came = list(zip(*(part[c] for c in self._columns)))
         if state["started"]:
-            if state["timer"] and self.rules.idle_ms is None:
-                self._clock(state, 0)
-            earlier = list(self.waiting.get())
-            if earlier:
-                self.waiting.clear()
-                both = pd.concat([pd.DataFrame(earlier, columns=columns), answers[columns]], ignore_index=True)
-                return self._cut(both, state, out)
-            return answers
-        if len(answers):
-            held = list(self.waiting.get())
-            fits = answers.iloc[: max(0, self.rules.most - len(held))]
-            out.refuse(answers.iloc[len(fits) :], SURPLUS)
-            self.waiting.appendList([tuple(map(_plain, row)) for row in fits[columns].itertuples(index=False)])
-            if not state["timer"]:
-                self._clock(state, timerValues.getCurrentProcessingTimeInMs() + self.rules.patience_ms)
-        return answers.iloc[:0]
-
-    def _clock(self, state: dict, at: int) -> None:
-        if state["timer"]:
-            self.handle.deleteTimer(state["timer"])
-        if at:
-            self.handle.registerTimer(at)
+            if self.rules.idle_ms is None:
+                state["timer"] = 0
+            if not held:
+                return part
+            self.waiting.removeKey((session,))
+            both, room = sorted([*held, *came], key=lambda x: x[0]), self._room(state)
+            out.refuse_items(session, (x[:2] for x in both[room:]), COMPLETE)
+            return {c: [x[i] for x in both[:room]] for i, c in enumerate(self._columns)}
+        fits = max(0, self.rules.most - len(held))
+        out.refuse_items(session, (x[:2] for x in came[fits:]), SURPLUS)
+        if came[:fits]:
+            self.waiting.updateValue((session,), ([*held, *(tuple(map(_plain, x)) for x in came[:fits])],))
+        if not state["timer"]:
+            self._clock(session, state, now + self.rules.patience_ms, clocks)
+        return {c: [] for c in self._columns}
+
+    def _clock(self, session, state: dict, at: int, clocks: dict[int, list]) -> None:
         state["timer"] = at
+        clocks.setdefault(at, []).append(session)
 
-    def _take(self, state: dict, answers: pd.DataFrame, out: _Rows) -> None:
-        quits = answers["quit"].to_numpy(bool) if self.rules.quit_ends else np.zeros(len(answers), bool)
-        stop = int(quits.argmax()) if quits.any() else len(answers)
-        scores = answers["score"].to_numpy(np.int64)[:stop]
-        limits = [state[x.lower()] for x in LEVELS]
-        turns = walk(*limits, state["answered"], state["medium_sum"], scores, self.least)
+    def _set(self, clocks: dict[int, list]) -> None:
+        for at, sessions in clocks.items():
+            found = self.due.getValue((at,))
+            self.due.updateValue((at,), ([*found[0], *sessions] if found else sessions,))
+            self.handle.registerTimer(at)
+
+    def _take(self, session, state: dict, part: dict[str, list], out: _Rows) -> None:
+        seqs, n = part["seq"], len(part["seq"])
+        stop = part["quit"].index(True) if self.rules.quit_ends and True in part["quit"] else n
+        scores = np.array(part["score"][:stop], np.int64)
+        turns = walk(*(state[c] for c in _LIMITS), state["answered"], state["medium_sum"], scores, self.least)
         used = 0 if state["ended"] else len(turns["pos"])
-        totals = state["total"] + np.cumsum(scores)
+        totals = (state["total"] + np.cumsum(scores)).tolist()
         columns = {c: x.tolist() for c, x in turns.items()}
-        seqs, marks, totals = answers["seq"].tolist(), scores.tolist(), totals.tolist()
-        texts = {c: answers[c].tolist() for c in self.rules.texts}
+        marks = scores.tolist()
         items = []
         for i in range(used):
             level = LEVELS[columns["level"][i]]
             done = columns["done"][i]
             out.add(
-                kind="turn", seq=seqs[i], pos=columns["pos"][i], level=level, q_num=columns["q_num"][i], score=marks[i],
-                total=totals[i], possible=columns["pos"][i] * MAX_MARKS,
+                session=session, kind="turn", seq=seqs[i], pos=columns["pos"][i], level=level, q_num=columns["q_num"][i],
+                score=marks[i], total=totals[i], possible=columns["pos"][i] * MAX_MARKS,
                 medium_score=columns["medium"][i] if level == LEVELS[1] else None,
                 next_level=LEVELS[columns["next"][i]], next_q_num=None if done else columns["next_q_num"][i], done=done,
-                **{c: texts[c][i] for c in self.rules.extra},
+                **{c: part[c][i] for c in self.rules.extra},
             )
             if self.rules.history:
-                items.append((columns["pos"][i], *(texts[c][i] for c in ("question", "answer")), marks[i], texts["feedback"][i], level))
+                items.append((columns["pos"][i], *(part[c][i] for c in ("question", "answer")), marks[i], part["feedback"][i], level))
+        before = state["answered"]
         if used:
             state.update(
                 answered=columns["pos"][used - 1], medium_sum=columns["medium"][used - 1], total=totals[used - 1],
                 last_score=marks[used - 1],
             )
-        if items:
-            self.items.appendList(items)
-        ending = not state["ended"] and ((used and columns["done"][used - 1]) or (used == stop < len(answers)))
+        ending = not state["ended"] and ((used and columns["done"][used - 1]) or (used == stop < n))
+        if self.rules.history and (items or ending):
+            if before:
+                items = [*self._history(session), *items]
+            if not ending:
+                self.items.updateValue((session,), (items,))
+            elif before:
+                self.items.removeKey((session,))
         if ending:
-            self._end(state, out, None if columns["done"][used - 1 : used] == [True] else "quit")
+            self._end(session, state, out, None if columns["done"][used - 1 : used] == [True] else "quit", items)
         # What comes behind the end is refused; the row that says quit is neither used nor refused.
-        late = answers.iloc[used + (stop == used and stop < len(answers) and ending) :] if state["ended"] else answers.iloc[used:]
-        out.refuse(late, COMPLETE)
+        late = used + (stop == used and stop < n and ending) if state["ended"] else used
+        out.refuse_items(session, zip(seqs[late:], part["score"][late:]), COMPLETE)
 
-    def _end(self, state: dict, out: _Rows, reason: str | None) -> None:
-        state["ended"] = True
-        if state["timer"]:
-            self._clock(state, 0)
+    def _end(self, session, state: dict, out: _Rows, reason: str | None, items: list[tuple]) -> None:
+        state.update(ended=True, timer=0)
         if not self.rules.history:
             if reason:
-                out.add(kind="end", ended=True, reason=reason, done=False, total=state["total"], pos=state["answered"])
+                out.add(session=session, kind="end", ended=True, reason=reason, done=False, total=state["total"], pos=state["answered"])
             return
-        history = [dict(zip(_ITEM_FIELDS, x)) for x in self.items.get()]
-        self.items.clear()
-        easy, medium, hard = (state[x.lower()] for x in LEVELS)
+        history = [dict(zip(_ITEM_FIELDS, x)) for x in items]
+        easy, medium, hard = (state[c] for c in _LIMITS)
         n = state["answered"]
         passed = n >= easy + medium and state["medium_sum"] >= self.least
         out.add(
-            kind="report", level=LEVELS[0] if n < easy else LEVELS[2] if passed else LEVELS[1], pos=n, total=state["total"],
-            possible=n * MAX_MARKS, medium_score=state["medium_sum"], done=reason is None, ended=True, reason=reason,
-            domain=state["domain"], last_score=state["last_score"], history=history,
+            session=session, kind="report", level=LEVELS[0] if n < easy else LEVELS[2] if passed else LEVELS[1], pos=n,
+            total=state["total"], possible=n * MAX_MARKS, medium_score=state["medium_sum"], done=reason is None, ended=True,
+            reason=reason, domain=state["domain"], last_score=state["last_score"], history=history,
         )
 
 
+class _States(dict):
+    """States of a bucket's sessions, read from the map when first asked for."""
+
+    def __init__(self, stored) -> None:
+        super().__init__()
+        self.stored, self.before = stored, {}
+        self.any = stored.exists()
+
+    def __missing__(self, session) -> dict:
+        found = self.stored.getValue((session,)) if self.any else None
+        self.before[session] = found and tuple(found)
+        self[session] = dict(zip(_STATE_FIELDS, found)) if found else dict(_NEW)
+        return self[session]
+
+    def save(self) -> None:
+        for session, state in self.items():
+            row = tuple(state[c] for c in _STATE_FIELDS)
+            if (state["started"] or state["timer"]) and row != self.before[session]:
+                self.stored.updateValue((session,), row)
+
+
 def _plain(x):
     """A state's value out of a pandas cell."""
     if isinstance(x, np.generic):
@@ -309,27 +400,32 @@ def _plain(x):
 
 
 class _Rows:
-    """Output rows of one session, given out as frames."""
+    """Output rows of a bucket's sessions, given out as frames."""
 
-    def __init__(self, session, rules: Rules) -> None:
-        self.session, self.names = session, _names(rules)
+    def __init__(self, rules: Rules) -> None:
+        self.names = _names(rules)
         self.columns: dict[str, list] = {c: [] for c in self.names}
 
     def add(self, **cells) -> None:
-        for c in self.names:
-            self.columns[c].append(cells.get(c))
-        self.columns["session"][-1] = self.session
-
-    def refuse(self, frame: pd.DataFrame, reason: str) -> None:
-        if not len(frame):
-            return
-        for seq, score, fault in zip(frame["seq"].tolist(), frame["score"].tolist(), frame["fault"].tolist() if "fault" in frame else [None] * len(frame)):
-            why = fault or reason
-            self.add(kind="reject", reason=why, seq=None if why == _FAULTS[1] or fault in _START_FAULTS else seq, score=score if score >= 0 else None)
-
-    def refuse_items(self, items: list[tuple], reason: str) -> None:
-        for seq, score, *_ in items:
-            self.add(kind="reject", reason=reason, seq=seq, score=score)
+        for c, x in self.columns.items():
+            x.append(cells.get(c))
+
+    def refuse(self, frame: pd.DataFrame, reason: str | np.ndarray) -> None:
+        """Refuse a frame's rows, with their fault as the reason if they have one."""
+        why = [fault or x for fault, x in zip(frame["fault"].tolist(), np.broadcast_to(reason, len(frame)).tolist())]
+        numberless = (_FAULTS[1], *_START_FAULTS)
+        cells = {
+            "kind": ["reject"] * len(frame), "reason": why,
+            "session": [None if w == _FAULTS[0] else x for w, x in zip(why, frame["session"].tolist())],
+            "seq": [None if w in numberless else x for w, x in zip(why, frame["seq"].tolist())],
+            "score": [x if x >= 0 else None for x in frame["score"].tolist()],
+        }
+        for c, x in self.columns.items():
+            x.extend(cells.get(c) or [None] * len(frame))
+
+    def refuse_items(self, session, items: Iterable[tuple], reason: str) -> None:
+        for seq, score in items:
+            self.add(session=session, kind="reject", reason=reason, seq=seq, score=score if score >= 0 else None)
 
     def frames(self, least: int = 1) -> Iterator[pd.DataFrame]:
         if len(self.columns["session"]) >= least:
@@ -371,7 +467,11 @@ def _with_lane(together: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             place[order] = at - np.maximum.accumulate(np.where(starts, at, 0))
             beyond = 1 + number % _LANES
             lane = np.where(faulty, -beyond, np.where(start | (place < together), 0, beyond)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lane)], names=[*batch.schema.names, "lane"])
+            columns = dict(zip(batch.schema.names, batch.columns))
+            if pa.types.is_integer(columns["session"].type):
+                # Rows without a session have a fault; with nulls beside them, numbers would become floats.
+                columns["session"] = pc.fill_null(columns["session"], 0)
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(lane)], names=[*columns, "lane"])
 
     return run
 
@@ -438,12 +538,14 @@ def run_machine(events: DataFrame, rules: Rules, initial: DataFrame | None = Non
     ``fold_state``) are the states to begin with; they are read in the first micro-batch only.
     """
     key = events.schema["session"].dataType.simpleString()
+    bucket = F.pmod(F.xxhash64("session"), F.lit(rules.buckets)).cast("int").alias("bucket")
+    events = events.select(bucket, "*")
     lanes = events.mapInArrow(_with_lane(4 * rules.most), f"{_ddl(events)}, lane int")
     given = None
     if initial is not None:
-        given = initial.withColumn("lane", F.lit(0)).groupBy("session", "lane")
-    return lanes.groupBy("session", "lane").transformWithStateInPandas(
-        statefulProcessor=SessionMachine(rules, medium_pass(rules.phases)),
+        given = initial.withColumn("session", F.col("session").cast(key)).select(bucket, F.lit(0).alias("lane"), "*").groupBy("bucket", "lane")
+    return lanes.groupBy("bucket", "lane").transformWithStateInPandas(
+        statefulProcessor=SessionMachine(rules, medium_pass(rules.phases), key),
         outputStructType=_schema(key, rules),
         outputMode="Append",
         timeMode="ProcessingTime" if rules.timed else "None",
@@ -562,7 +664,7 @@ def stored_sessions(spark: SparkSession, checkpoint: str, phases: Phases = PHASE
     n, gate = F.col("answered"), F.col("easy") + F.col("medium")
     passed = (n >= gate) & (F.col("medium_sum") >= medium_pass(phases))
     difficulty = F.when(n < F.col("easy"), F.lit("Easy")).when(passed, F.lit("Hard")).otherwise(F.lit("Medium"))
-    return _folded(rows.select("key.session", "value.*").where("answered > 0").select(
+    return _folded(rows.select("user_map_key.session", "user_map_value.*").where("answered > 0").select(
         "session", difficulty.alias("difficulty"), n.alias("pos"), "total", (n * MAX_MARKS).cast("long").alias("possible"),
         (n >= gate + F.when(passed, F.col("hard")).otherwise(0)).alias("done"),
     ))
