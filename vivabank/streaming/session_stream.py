@@ -698,6 +698,8 @@ _SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Timers ask for batches without data for ever; a run over what is available would not end.
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    # A step in Python holds a few copies of its batch, whose rows may carry questions, references and prompts.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "2097152b",
 }
 
 
