@@ -6,7 +6,7 @@ import hashlib
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,21 +145,25 @@ def call_model(
     if timed:
         fields = fields + [T.StructField("latency_ms", T.DoubleType())]
 
-    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Only the prompts become Python values; the other columns pass as they are, a batch at a time.
         model = _worker_model(factory, name)
         for batch in batches:
-            for at in range(0, len(batch), batch_size):
-                part = batch.iloc[at : at + batch_size].copy()
-                asked = part[prompt].notna()
+            prompts = batch.column(batch.schema.get_field_index(prompt)).to_pylist()
+            replies: list[str | None] = [None] * len(prompts)
+            latency: list[float] = []
+            for at in range(0, len(prompts), batch_size):
+                part = range(at, min(at + batch_size, len(prompts)))
+                asked = [i for i in part if prompts[i] is not None]
                 begin = time.perf_counter()
-                part[reply] = pd.Series(None, part.index, object)
-                if asked.any():
-                    part.loc[asked, reply] = pd.Series(model(part.loc[asked, prompt].tolist()), part.index[asked], object)
-                if timed:
-                    part["latency_ms"] = (time.perf_counter() - begin) * 1000.0 / len(part)
-                yield part
-
-    return df.mapInPandas(answer, T.StructType(fields))
+                if asked:
+                    for i, told in zip(asked, model([prompts[i] for i in asked]), strict=True):
+                        replies[i] = told
+                latency += [(time.perf_counter() - begin) * 1000.0 / len(part)] * len(part)
+            columns = [*batch.columns, pa.array(replies, pa.string()), *([pa.array(latency, pa.float64())] if timed else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+
+    return df.mapInArrow(answer, T.StructType(fields))
 
 
 #: Rows with one prompt from which on they are dealt over ``SHARES`` groups to meet its reply.
