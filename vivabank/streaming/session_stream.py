@@ -4,10 +4,12 @@ Every session has one small row of state, and what a micro-batch brings for it i
 arrays: an answer's level and place follow from its number, the Medium gate from a running sum.
 Sessions share the groups of the stateful step: a group costs a pass from Spark to Python and back, so there
 are ``Rules.buckets`` of them however many sessions there are, and a bucket is a map of its sessions' rows.
+A row of the stateful step costs Python far more than a number in it, so a bucket's events are packed: one row
+with arrays for what a task holds of the bucket at a time.
 
-* A session can use as many answers as its phases are long. Rows of a session far behind them in their
-  Arrow batch are certainly refused, so they are grouped apart from the session, batch by batch and bucket by
-  bucket: a session with a large share of the stream does not fill one task.
+* A session can use as many answers as its phases are long. Rows of a session far behind them in what
+  their task holds at a time are certainly refused, so they are grouped apart from the session, block by block
+  and bucket by bucket: a session with a large share of the stream does not fill one task.
 * Rows without a session, a number or a score are refused as well, with the reason, and end nothing.
 * Session keys may be of any type.
 
@@ -164,7 +166,7 @@ class SessionMachine(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         out = _Rows(self.rules)
         if key[1] != 0:
-            for frame in rows:
+            for frame in map(_unpacked, rows):
                 out.refuse(frame, SURPLUS if self.rules.needs_start else COMPLETE)
                 yield from out.frames(1 << 12)
             yield from out.frames()
@@ -172,7 +174,7 @@ class SessionMachine(StatefulProcessor):
         states = _States(self.session)
         clocks: dict[int, list] = {}
         answers = None
-        for frame in rows:
+        for frame in map(_unpacked, rows):
             begins = frame["kind"].to_numpy() == 0
             if begins.any():
                 self._start(states, frame[begins], out)
@@ -319,21 +321,20 @@ class SessionMachine(StatefulProcessor):
         turns = walk(*(state[c] for c in _LIMITS), state["answered"], state["medium_sum"], scores, self.least)
         used = 0 if state["ended"] else len(turns["pos"])
         totals = (state["total"] + np.cumsum(scores)).tolist()
-        columns = {c: x.tolist() for c, x in turns.items()}
+        columns = {c: x[:used].tolist() for c, x in turns.items()}
         marks = scores.tolist()
+        level = [LEVELS[x] for x in columns["level"]]
+        out.extend(
+            used, kind="turn", session=session, seq=seqs[:used], score=marks[:used], total=totals[:used], pos=columns["pos"],
+            level=level, q_num=columns["q_num"], possible=[x * MAX_MARKS for x in columns["pos"]],
+            medium_score=[x if at == LEVELS[1] else None for x, at in zip(columns["medium"], level)],
+            next_level=[LEVELS[x] for x in columns["next"]],
+            next_q_num=[None if done else x for x, done in zip(columns["next_q_num"], columns["done"])], done=columns["done"],
+            **{c: part[c][:used] for c in self.rules.extra},
+        )
         items = []
-        for i in range(used):
-            level = LEVELS[columns["level"][i]]
-            done = columns["done"][i]
-            out.add(
-                session=session, kind="turn", seq=seqs[i], pos=columns["pos"][i], level=level, q_num=columns["q_num"][i],
-                score=marks[i], total=totals[i], possible=columns["pos"][i] * MAX_MARKS,
-                medium_score=columns["medium"][i] if level == LEVELS[1] else None,
-                next_level=LEVELS[columns["next"][i]], next_q_num=None if done else columns["next_q_num"][i], done=done,
-                **{c: part[c][i] for c in self.rules.extra},
-            )
-            if self.rules.history:
-                items.append((columns["pos"][i], *(part[c][i] for c in ("question", "answer")), marks[i], part["feedback"][i], level))
+        if self.rules.history:
+            items = list(zip(columns["pos"], part["question"], part["answer"], marks, part["feedback"], level))
         before = state["answered"]
         if used:
             state.update(
@@ -407,25 +408,32 @@ class _Rows:
         self.columns: dict[str, list] = {c: [] for c in self.names}
 
     def add(self, **cells) -> None:
+        self.extend(1, **{c: [x] for c, x in cells.items()})
+
+    def extend(self, n: int, **cells) -> None:
+        """``n`` rows, by columns; what is no list is the same in all of them, and columns that are not given are null."""
         for c, x in self.columns.items():
-            x.append(cells.get(c))
+            cell = cells.get(c)
+            x.extend(cell if isinstance(cell, list) else [cell] * n)
 
     def refuse(self, frame: pd.DataFrame, reason: str | np.ndarray) -> None:
         """Refuse a frame's rows, with their fault as the reason if they have one."""
         why = [fault or x for fault, x in zip(frame["fault"].tolist(), np.broadcast_to(reason, len(frame)).tolist())]
         numberless = (_FAULTS[1], *_START_FAULTS)
         cells = {
-            "kind": ["reject"] * len(frame), "reason": why,
+            "kind": "reject", "reason": why,
             "session": [None if w == _FAULTS[0] else x for w, x in zip(why, frame["session"].tolist())],
             "seq": [None if w in numberless else x for w, x in zip(why, frame["seq"].tolist())],
             "score": [x if x >= 0 else None for x in frame["score"].tolist()],
         }
-        for c, x in self.columns.items():
-            x.extend(cells.get(c) or [None] * len(frame))
+        self.extend(len(frame), **cells)
 
     def refuse_items(self, session, items: Iterable[tuple], reason: str) -> None:
-        for seq, score in items:
-            self.add(session=session, kind="reject", reason=reason, seq=seq, score=score if score >= 0 else None)
+        items = list(items)
+        self.extend(
+            len(items), session=session, kind="reject", reason=reason, seq=[x[0] for x in items],
+            score=[x[1] if x[1] >= 0 else None for x in items],
+        )
 
     def frames(self, least: int = 1) -> Iterator[pd.DataFrame]:
         if len(self.columns["session"]) >= least:
@@ -448,34 +456,74 @@ def _names(rules: Rules) -> list[str]:
     return [*names, *(["history"] if rules.history else []), *rules.extra]
 
 
-def _with_lane(together: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds ``lane``: 0 for starts and for the first answers of a session in the batch, more than it can use at
-    all; one other number per batch for the rest, and for rows with a fault."""
+#: Bytes of rows that a task packs at a time; bytes and number of rows that one packed row holds at most.
+_BLOCK, _PACKED, _PACKED_ROWS = 8 << 20, 256 << 10, 4096
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch in enumerate(batches):
-            seq = np.asarray(batch.column("seq"))
-            faulty = np.asarray(pc.is_valid(batch.column("fault")))
-            start = np.asarray(batch.column("kind")) == 0
-            codes = batch.column("session").dictionary_encode().indices
-            session = np.asarray(pc.fill_null(codes, -1))
-            order = np.lexsort((seq, faulty, start, session))
-            group = np.stack([session, start, faulty])[:, order]
-            starts = np.r_[True, (group[:, 1:] != group[:, :-1]).any(0)] if len(order) else np.zeros(0, bool)
-            at = np.arange(len(order))
-            place = np.empty(len(order), dtype=np.int64)
-            place[order] = at - np.maximum.accumulate(np.where(starts, at, 0))
-            beyond = 1 + number % _LANES
-            lane = np.where(faulty, -beyond, np.where(start | (place < together), 0, beyond)).astype(np.int32)
-            columns = dict(zip(batch.schema.names, batch.columns))
-            if pa.types.is_integer(columns["session"].type):
+
+def _packed(together: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of one bucket and ``lane``, with every other column as an array, in the order they came.
+
+    Lane 0 has starts and the first answers of a session in a block, more than it can use at all; one other
+    number per block has the rest, and rows with a fault.
+    """
+
+    def lanes(block: pa.RecordBatch, number: int) -> np.ndarray:
+        seq = np.asarray(block.column("seq"))
+        faulty = np.asarray(pc.is_valid(block.column("fault")))
+        start = np.asarray(block.column("kind")) == 0
+        codes = block.column("session").dictionary_encode().indices
+        session = np.asarray(pc.fill_null(codes, -1))
+        order = np.lexsort((seq, faulty, start, session))
+        group = np.stack([session, start, faulty])[:, order]
+        starts = np.r_[True, (group[:, 1:] != group[:, :-1]).any(0)]
+        at = np.arange(len(order))
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = at - np.maximum.accumulate(np.where(starts, at, 0))
+        beyond = 1 + number % _LANES
+        return np.where(faulty, -beyond, np.where(start | (place < together), 0, beyond)).astype(np.int32)
+
+    def pack(batches: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
+        block = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+        bucket, lane = np.asarray(block.column("bucket")), lanes(block, number)
+        order = np.lexsort((lane, bucket))  # rows that tie stay in their order
+        bucket, lane = bucket[order], lane[order]
+        new = np.r_[True, (bucket[1:] != bucket[:-1]) | (lane[1:] != lane[:-1])]
+        at = np.arange(len(order))
+        place = at - np.maximum.accumulate(np.where(new, at, 0))
+        most = max(1, min(_PACKED_ROWS, _PACKED * len(order) // max(1, block.nbytes)))
+        begins = np.flatnonzero(place % most == 0)
+        offsets = pa.array(np.r_[begins, len(order)].astype(np.int32))
+        columns = {"bucket": pa.array(bucket[begins]), "lane": pa.array(lane[begins])}
+        for name, column in zip(block.schema.names, block.columns):
+            if name == "bucket":
+                continue
+            if name == "session" and pa.types.is_integer(column.type):
                 # Rows without a session have a fault; with nulls beside them, numbers would become floats.
-                columns["session"] = pc.fill_null(columns["session"], 0)
-            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(lane)], names=[*columns, "lane"])
+                column = pc.fill_null(column, 0)
+            columns[name] = pa.ListArray.from_arrays(offsets, column.take(pa.array(order)))
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, number = [], 0, 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= _BLOCK:
+                yield pack(held, number)
+                held, size, number = [], 0, number + 1
+        if held:
+            yield pack(held, number)
 
     return run
 
 
+def _unpacked(packed: pd.DataFrame) -> pd.DataFrame:
+    """The events in packed rows."""
+    arrays = {c: np.concatenate(packed[c].tolist()) for c in packed.columns if c not in ("bucket", "lane")}
+    return pd.DataFrame({c: pd.Series(x, dtype=x.dtype) for c, x in arrays.items()})
+
+
 def _event(df: DataFrame, rules: Rules, kind: int, fault: Column, **cells: Column) -> DataFrame:
     """Rows as the machine takes them, without nulls in their numbers."""
     number = lambda c, none: F.coalesce(cells[c].cast("bigint"), F.lit(none)) if c in cells else F.lit(none).cast("bigint")
@@ -539,8 +587,8 @@ def run_machine(events: DataFrame, rules: Rules, initial: DataFrame | None = Non
     """
     key = events.schema["session"].dataType.simpleString()
     bucket = F.pmod(F.xxhash64("session"), F.lit(rules.buckets)).cast("int").alias("bucket")
-    events = events.select(bucket, "*")
-    lanes = events.mapInArrow(_with_lane(4 * rules.most), f"{_ddl(events)}, lane int")
+    arrays = ", ".join(f"{f.name} array<{f.dataType.simpleString()}>" for f in events.schema.fields)
+    lanes = events.select(bucket, "*").mapInArrow(_packed(4 * rules.most), f"bucket int, lane int, {arrays}")
     given = None
     if initial is not None:
         given = initial.withColumn("session", F.col("session").cast(key)).select(bucket, F.lit(0).alias("lane"), "*").groupBy("bucket", "lane")
@@ -553,10 +601,6 @@ def run_machine(events: DataFrame, rules: Rules, initial: DataFrame | None = Non
     )
 
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-
-
 def session_stream(
     scored: DataFrame, *, rules: Rules | None = None, blank: str = "skip", initial: DataFrame | None = None
 ) -> DataFrame:
