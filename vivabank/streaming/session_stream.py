@@ -747,13 +747,30 @@ _SETTINGS = {
 }
 
 
+_PARTITIONS = "spark.sql.shuffle.partitions"
+#: State stores that a new stream gets per core at most.
+_STORES = 2
+
+
+def _settings(spark: SparkSession) -> dict[str, str]:
+    """Settings of a stream.
+
+    A state store costs seconds of a task and a database of its own however little it holds, and shuffle partitions are
+    often set to grow with the tables. Sessions of any number need no more stores than keep the cores busy. A stream
+    that goes on from a checkpoint keeps the number it began with.
+    """
+    stores = min(int(spark.conf.get(_PARTITIONS)), _STORES * spark.sparkContext.defaultParallelism)
+    return {**_SETTINGS, _PARTITIONS: str(stores)}
+
+
 def start_query(spark: SparkSession, writer, path: str | None = None):
     """Start a stream writer with the RocksDB state store.
 
     A query takes the session's settings when it starts, so they are put back at once.
     """
-    before = {name: spark.conf.get(name, None) for name in _SETTINGS}
-    for name, value in _SETTINGS.items():
+    settings = _settings(spark)
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
         spark.conf.set(name, value)
     try:
         return writer.start(path) if path else writer.start()
