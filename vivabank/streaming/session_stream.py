@@ -164,25 +164,26 @@ class SessionMachine(StatefulProcessor):
             self.session.updateValue((session,), tuple(_plain(state[c]) for c in _STATE_FIELDS))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out = _Rows(self.rules)
+        out = _Rows(self.rules, self.key)
         if key[1] != 0:
-            for frame in map(_unpacked, rows):
-                out.refuse(frame, SURPLUS if self.rules.needs_start else COMPLETE)
+            for events in map(_unpacked, rows):
+                out.refuse(events, SURPLUS if self.rules.needs_start else COMPLETE)
                 yield from out.frames(1 << 12)
             yield from out.frames()
             return
         states = _States(self.session)
         clocks: dict[int, list] = {}
         answers = None
-        for frame in map(_unpacked, rows):
-            begins = frame["kind"].to_numpy() == 0
+        for events in map(_unpacked, rows):
+            begins = events["kind"] == 0
             if begins.any():
-                self._start(states, frame[begins], out)
-                frame = frame[~begins]
-            if len(frame) and not self.rules.needs_start:
-                self._open(states, frame)
-            answers = frame if answers is None else pd.concat([answers, frame], ignore_index=True)
-            answers = self._cut(answers, states, out)
+                self._start(states, _taken(events, begins), out)
+                events = _taken(events, ~begins)
+            if not self.rules.needs_start:
+                self._open(states, events)
+            if answers is not None:
+                events = {c: np.concatenate([answers[c], x]) for c, x in events.items()}
+            answers = self._cut(events, states, out)
             yield from out.frames(1 << 12)
         now = timerValues.getCurrentProcessingTimeInMs() if self.rules.timed else 0
         parts = self._split(answers)
@@ -208,7 +209,7 @@ class SessionMachine(StatefulProcessor):
         if due is None:
             return
         self.due.removeKey((at,))
-        out = _Rows(self.rules)
+        out = _Rows(self.rules, self.key)
         for session in due[0]:
             found = self.session.getValue((session,))
             state = dict(zip(_STATE_FIELDS, found)) if found else dict(_NEW)
@@ -226,50 +227,51 @@ class SessionMachine(StatefulProcessor):
     def _columns(self) -> list[str]:
         return ["seq", "score", "quit", *self.rules.texts]
 
-    def _start(self, states: _States, begins: pd.DataFrame, out: _Rows) -> None:
-        for row in begins.itertuples(index=False):
-            state = states[row.session]
+    def _start(self, states: _States, begins: dict[str, np.ndarray], out: _Rows) -> None:
+        for session, domain, *limits in zip(*(_cells(begins[c]) for c in ("session", "domain", *_LIMITS))):
+            state = states[session]
             if state["started"]:
-                out.add(session=row.session, kind="reject", reason=STARTED_BEFORE, domain=row.domain)
+                out.add(session=session, kind="reject", reason=STARTED_BEFORE, domain=domain)
                 continue
-            state.update(started=True, easy=int(row.easy), medium=int(row.medium), hard=int(row.hard), domain=row.domain)
+            state.update(zip(_LIMITS, limits), started=True, domain=domain)
             state["ended"] = state["easy"] + state["medium"] == 0
             out.add(
-                session=row.session, kind="start", level=LEVELS[0], next_level=LEVELS[0], next_q_num=1, done=state["ended"],
-                domain=row.domain,
+                session=session, kind="start", level=LEVELS[0], next_level=LEVELS[0], next_q_num=1, done=state["ended"],
+                domain=domain,
             )
 
-    def _open(self, states: _States, frame: pd.DataFrame) -> None:
+    def _open(self, states: _States, events: dict[str, np.ndarray]) -> None:
         """Sessions begin with their first answer, which tells the phases."""
-        first = frame.drop_duplicates("session")
-        for session, *limits in zip(*(first[c].tolist() for c in ("session", *_LIMITS))):
+        codes, sessions = pd.factorize(events["session"])
+        first = np.unique(codes, return_index=True)[1]
+        for session, *limits in zip(_cells(sessions), *(_cells(events[c][first]) for c in _LIMITS)):
             state = states[session]
             if not state["started"]:
                 state.update(zip(_LIMITS, limits), started=True)
 
-    def _cut(self, answers: pd.DataFrame, states: _States, out: _Rows) -> pd.DataFrame:
+    def _cut(self, answers: dict[str, np.ndarray], states: _States, out: _Rows) -> dict[str, np.ndarray]:
         """The first answers of every session by ``seq``, as many as can be used, in order; the others are refused."""
-        if not len(answers):
+        if not len(answers["seq"]):
             return answers
         codes, sessions = pd.factorize(answers["session"])
-        order = np.lexsort((answers["seq"].to_numpy(), codes))
+        order = np.lexsort((answers["seq"], codes))
         sizes = np.bincount(codes, minlength=len(sessions))
         place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        own = [states[x] for x in sessions.tolist()]
+        own = [states[x] for x in _cells(sessions)]
         beyond = place >= np.repeat([self._room(x) for x in own], sizes)
         if beyond.any():
             known = np.array([x["started"] or not self.rules.needs_start for x in own])
-            out.refuse(answers.iloc[order[beyond]], np.where(np.repeat(known, sizes)[beyond], COMPLETE, SURPLUS))
+            out.refuse(_taken(answers, order[beyond]), np.where(np.repeat(known, sizes)[beyond], COMPLETE, SURPLUS))
             order = order[~beyond]
-        return answers.iloc[order]
+        return _taken(answers, order)
 
     def _room(self, state: dict) -> int:
         return 0 if state["ended"] else self.rules.most - state["answered"]
 
-    def _split(self, answers: pd.DataFrame) -> dict[object, dict[str, list]]:
+    def _split(self, answers: dict[str, np.ndarray]) -> dict[object, dict[str, list]]:
         """The columns of every session out of answers in its order."""
-        names = answers["session"].tolist()
-        columns = {c: answers[c].tolist() for c in self._columns}
+        names = _cells(answers["session"])
+        columns = {c: _cells(answers[c]) for c in self._columns}
         edges = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]] + [len(names)]
         return {names[a]: {c: x[a:b] for c, x in columns.items()} for a, b in zip(edges, edges[1:])}
 
@@ -401,11 +403,15 @@ def _plain(x):
 
 
 class _Rows:
-    """Output rows of a bucket's sessions, given out as frames."""
+    """Output rows of a bucket's sessions, given out as frames.
+
+    A frame costs pandas and Arrow far more by its columns than by its rows, the more so with objects in them,
+    and there is one for every bucket: columns of plain types become Arrow arrays at once.
+    """
 
-    def __init__(self, rules: Rules) -> None:
-        self.names = _names(rules)
-        self.columns: dict[str, list] = {c: [] for c in self.names}
+    def __init__(self, rules: Rules, key: str) -> None:
+        self.kinds = {c: _ARROW.get(kind) for c, kind in (x.split(" ", 1) for x in _schema(key, rules).split(", "))}
+        self.columns: dict[str, list] = {c: [] for c in self.kinds}
 
     def add(self, **cells) -> None:
         self.extend(1, **{c: [x] for c, x in cells.items()})
@@ -416,17 +422,17 @@ class _Rows:
             cell = cells.get(c)
             x.extend(cell if isinstance(cell, list) else [cell] * n)
 
-    def refuse(self, frame: pd.DataFrame, reason: str | np.ndarray) -> None:
-        """Refuse a frame's rows, with their fault as the reason if they have one."""
-        why = [fault or x for fault, x in zip(frame["fault"].tolist(), np.broadcast_to(reason, len(frame)).tolist())]
-        numberless = (_FAULTS[1], *_START_FAULTS)
-        cells = {
-            "kind": "reject", "reason": why,
-            "session": [None if w == _FAULTS[0] else x for w, x in zip(why, frame["session"].tolist())],
-            "seq": [None if w in numberless else x for w, x in zip(why, frame["seq"].tolist())],
-            "score": [x if x >= 0 else None for x in frame["score"].tolist()],
-        }
-        self.extend(len(frame), **cells)
+    def refuse(self, events: dict[str, np.ndarray], reason: str | np.ndarray) -> None:
+        """Refuse events, with their fault as the reason if they have one."""
+        faults, sessions, seqs = (_cells(events[c]) for c in ("fault", "session", "seq"))
+        why = np.broadcast_to(reason, len(faults)).tolist()
+        if any(faults):
+            why = [fault or x for fault, x in zip(faults, why)]
+            numberless = (_FAULTS[1], *_START_FAULTS)
+            sessions = [None if w == _FAULTS[0] else x for w, x in zip(why, sessions)]
+            seqs = [None if w in numberless else x for w, x in zip(why, seqs)]
+        score = [x if x >= 0 else None for x in _cells(events["score"])]
+        self.extend(len(why), kind="reject", reason=why, session=sessions, seq=seqs, score=score)
 
     def refuse_items(self, session, items: Iterable[tuple], reason: str) -> None:
         items = list(items)
@@ -437,11 +443,21 @@ class _Rows:
 
     def frames(self, least: int = 1) -> Iterator[pd.DataFrame]:
         if len(self.columns["session"]) >= least:
-            frame = pd.DataFrame({c: pd.Series(x, dtype=object) for c, x in self.columns.items()})
-            self.columns = {c: [] for c in self.names}
+            frame = pd.DataFrame({c: _array(x, self.kinds[c]) for c, x in self.columns.items()}, copy=False)
+            self.columns = {c: [] for c in self.kinds}
             yield frame
 
 
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def _array(cells: list, kind: pa.DataType | None) -> pd.Series | pd.arrays.ArrowExtensionArray:
+    """A column of a frame; without ``kind`` the values are left to Spark."""
+    if kind is None:
+        return pd.Series(cells, dtype=object)
+    return pd.arrays.ArrowExtensionArray(pa.array(cells, kind, from_pandas=True))
+
+
 _FAULTS = ("no session", "no number", "no score")
 _START_FAULTS = ("domain not found", "no question")
 
@@ -451,11 +467,6 @@ def _schema(key: str, rules: Rules) -> str:
     return ", ".join(more)
 
 
-def _names(rules: Rules) -> list[str]:
-    names = [x.split()[0] for x in f"{turn_schema()}, {_MORE}".split(", ")]
-    return [*names, *(["history"] if rules.history else []), *rules.extra]
-
-
 #: Bytes of rows that a task packs at a time; bytes and number of rows that one packed row holds at most.
 _BLOCK, _PACKED, _PACKED_ROWS = 8 << 20, 256 << 10, 4096
 
@@ -518,10 +529,18 @@ def _packed(together: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def _unpacked(packed: pd.DataFrame) -> pd.DataFrame:
-    """The events in packed rows."""
-    arrays = {c: np.concatenate(packed[c].tolist()) for c in packed.columns if c not in ("bucket", "lane")}
-    return pd.DataFrame({c: pd.Series(x, dtype=x.dtype) for c, x in arrays.items()})
+def _unpacked(packed: pd.DataFrame) -> dict[str, np.ndarray]:
+    """The events in packed rows, by columns."""
+    return {c: np.concatenate(packed[c].tolist()) for c in packed.columns if c not in ("bucket", "lane")}
+
+
+def _taken(events: dict[str, np.ndarray], which: np.ndarray) -> dict[str, np.ndarray]:
+    return {c: x[which] for c, x in events.items()}
+
+
+def _cells(x: np.ndarray) -> list:
+    """An array's values as Python has them; times as pandas has them."""
+    return pd.Series(x).tolist() if x.dtype.kind in "mM" else x.tolist()
 
 
 def _event(df: DataFrame, rules: Rules, kind: int, fault: Column, **cells: Column) -> DataFrame:
