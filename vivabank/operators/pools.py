@@ -175,13 +175,17 @@ def _candidates(requests: DataFrame, pools: Pools, seed: int) -> DataFrame:
                 _digest(seed, "core", h["core_id"]).alias("d"), h["first_row"].alias("first"), h["weight"].alias("n")
             ),
         ),
-        lambda h: F.struct(_waiting(h["d"], h["n"]).alias("ord"), (h["first"] + _number(h["d"], 1) % h["n"]).alias("row")),
+        lambda h: F.struct(_waiting(h["d"], h["n"]).alias("ord"), h["d"].alias("d"), h["first"].alias("first"), h["n"].alias("n")),
     )
     looked = known.select(
         "session", "domain", "lv", F.aggregate(steps, start, arrive).alias("_tail"), rings.alias("_heads"),
         (F.col("n_tail") > 0).alias("_open"),
     )
-    final = F.filter("_heads", lambda h: ~F.col("_open") | (h["ord"] <= F.col("_tail.now")))
+    # Few heads ring in time, and only those need a row.
+    final = F.transform(
+        F.filter("_heads", lambda h: ~F.col("_open") | (h["ord"] <= F.col("_tail.now"))),
+        lambda h: F.struct(h["ord"].alias("ord"), (h["first"] + _number(h["d"], 1) % h["n"]).alias("row")),
+    )
     events = looked.select("session", "domain", "lv", F.inline(F.concat(final, F.col("_tail.all"))))
     return events.join(pools.rows.drop("id"), "row").select("session", "domain", "lv", "ord", "core_id", "row")
 
@@ -227,7 +231,7 @@ def _fold_picks(candidates: DataFrame, limits: Sequence[int]) -> DataFrame:
 
     A session has a bounded number of candidates: the heads and the arrivals looked at.
     """
-    walk = F.array_sort(F.collect_list(F.struct("lv", "ord", "core_id", "row")))
+    walk = F.sort_array(F.collect_list(F.struct("lv", "ord", "core_id", "row")))
     most = F.array(*[F.lit(n) for n in limits])
     start = F.struct(
         F.array().cast("array<bigint>").alias("seen"),
